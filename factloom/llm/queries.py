@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from . import neardup_vectors, warc
+from .jaccard import op5_jaccard_join
+from .langid import op4_language_id
 from .mixing import op1_source_mix
+from .neardup_vectors import op7_near_vectors
+from .packing import op2_best_fit_packing
+from .quality import op10_quality_rules
 from .sharding import op8_uniform_shards
+from .substrings import op6_substring_dedup
+from .warc import op9_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op8_uniform_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix, op2_best_fit_packing, op4_language_id, op5_jaccard_join, op6_substring_dedup,
+        op7_near_vectors, op8_uniform_shards, op9_warc_round_trip, op10_quality_rules,
+    )
+}
+ORACLES: dict[str, str] = {"op7_near_vectors": neardup_vectors.ORACLE, "op9_warc_round_trip": warc.ORACLE}
