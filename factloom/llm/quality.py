@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Words, checkpointed, chunks, grams, mix, text_bytes
@@ -55,7 +56,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [f"{c} long" for c in STAT_COLUMNS])
+    schema = T.StructType([f for f in rows.schema if f.name != "__text"] + [T.StructField(c, T.LongType()) for c in STAT_COLUMNS])
 
     def count(batches):
         for batch in batches:

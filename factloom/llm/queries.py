@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import neardup_vectors, warc
+from .cotraining import op3_quality_classifier
 from .jaccard import op5_jaccard_join
 from .langid import op4_language_id
 from .mixing import op1_source_mix
@@ -16,7 +17,7 @@ from .warc import op9_warc_round_trip
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_source_mix, op2_best_fit_packing, op4_language_id, op5_jaccard_join, op6_substring_dedup,
+        op1_source_mix, op2_best_fit_packing, op3_quality_classifier, op4_language_id, op5_jaccard_join, op6_substring_dedup,
         op7_near_vectors, op8_uniform_shards, op9_warc_round_trip, op10_quality_rules,
     )
 }

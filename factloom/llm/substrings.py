@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Words, grams, text_bytes
@@ -53,10 +54,10 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), n: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), n: int = 13, keep_text: bool = False) -> DataFrame:
     """Removes each word covered by an n-word window that also starts in a document with a smaller key.
 
-    Returns key, `carry` columns, n_words, n_removed, kept_text (the kept words joined by one blank),
+    Returns key, `carry` columns (and the text with keep_text), n_words, n_removed, kept_text (the kept words joined by one blank),
     removed (array of maximal repeats as struct<first, words> in word positions).
 
     1. Documents are dealt at random into parts of about PART_BYTES. Each part lists the distinct
@@ -111,8 +112,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     least = F.min("least").over(Window.partitionBy("k1", "k2"))
     lost = windows.withColumn("first", least).where("first < least").select("k1", F.col("part").alias("in_part"))
 
-    fields = [("k", docs.schema[key].dataType.simpleString()), *[(f"c{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(carry)]]
-    schema = ", ".join([f"{a} {b}" for a, b in fields] + ["n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long>>"])
+    fields = ["k", *["t"] * keep_text, *[f"c{i}" for i in range(len(carry))]]
+    kinds = [rows.schema[c] for c in fields]
+    found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long>>")
+    schema = T.StructType([*kinds, *found.fields])
 
     def remove(table: pa.Table, lost: pa.Table) -> pa.Table:
         data, offsets = text_bytes(table.column("t"))
@@ -143,11 +146,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
             kept.append(b" ".join(own).decode())
             repeats.append(spans)
         shape = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-        out = {name: table.column(name) for name, _ in fields}
+        out = {name: table.column(name) for name in fields}
         return pa.table({**out, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": pa.array(repeats, shape)})
 
     cut = rows.groupBy("part").cogroup(lost.groupBy("in_part")).applyInArrow(remove, schema)
-    names = [F.col("k").alias(key), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]]
+    names = [F.col("k").alias(key), *[F.col("t").alias(text)] * keep_text, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]]
     return cut.select(*names, "n_words", "n_removed", "kept_text", "removed")
 
 
