@@ -35,8 +35,8 @@ def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(words: Words, h: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window: a hash from each of two kinds of word hashes."""
-    return grams(h, n)[starts], grams(words.hashes(1), n, 1)[starts]
+    """96 bits for each window: hashes of 64 and 32 bits from two kinds of word hashes."""
+    return grams(h, n)[starts], (grams(words.hashes(1), n, 1)[starts] >> np.uint64(32)).astype(np.uint32)
 
 
 def _in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -106,9 +106,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         order = np.lexsort((ids, k1))
         first = order[np.concatenate(([True], np.diff(k1[order].view(np.int64)) != 0))] if len(order) else order
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        return pa.table({"k1": _signed(k1[first]), "k2": _signed(k2[first]), "part": pa.array(np.full(len(first), part), pa.int32()), "least": pa.array(ids[first])})
+        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "part": pa.array(np.full(len(first), part), pa.int32()), "least": pa.array(ids[first])})
 
-    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 long, part int, least long")
+    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, part int, least long")
     least = F.min("least").over(Window.partitionBy("k1", "k2"))
     lost = windows.withColumn("first", least).where("first < least").select("k1", F.col("part").alias("in_part"))
 
