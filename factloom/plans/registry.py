@@ -1,4 +1,506 @@
 """All queries of the library by name, with the SQL that gives the same rows where there is one."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import matching as M
+from factloom.functions import normalize as N
+from factloom.operators import compare as C
+from factloom.operators import facts as O
+from factloom.operators import pairs as P
+from factloom.operators import text as X
+
+from .fixtures import NOW, frame, sql
+from .oracles import DUCK, SQL
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(*names: str):
+    """Registers a function of the named tables as a query."""
+
+    def wrap(build):
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(*[_table(spark, sf_dir, n) for n in names])
+        return build
+
+    return wrap
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "facts":
+        return O.normalize_facts(frame(spark, sf_dir, "fx_facts"))
+    if name == "pairs":  # equal subject, predicate and year in one dataset, as structs a and b
+        f = _table(spark, sf_dir, "facts")
+        e = frame(spark, sf_dir, "fx_edges").withColumnRenamed("created_at", "edge_created")
+        side = lambda k: f.select(F.col("id").alias(f"fact_{k}_id"), F.struct(*f.columns).alias(k))
+        return e.join(side("a"), "fact_a_id").join(side("b"), "fact_b_id")
+    if name == "detailed":
+        t = {n: frame(spark, sf_dir, f"fx_{n}") for n in ("edges", "facts", "evidence", "filings")}
+        return O.relationships_detailed(t["edges"], t["facts"], t["evidence"], t["filings"])
+    return frame(spark, sf_dir, name)
+
+
+A, B, now = F.col("a"), F.col("b"), F.expr(NOW)
+IDS = ("fact_a_id", "fact_b_id")
+
+
+# --- sources and sinks
+
+
+@query("pages")
+def validate_files(pages):
+    done = X.validate_files(pages.withColumn("content", F.col("html").cast("binary")), b"<html")
+    return done.select("page_id", "problem")
+
+
+@query("pages")
+def sanitize_filename(pages):
+    return pages.select("page_id", X.sanitize_filename(F.col("url")).alias("filename"))
+
+
+@query("pages")
+def file_hash(pages):
+    return pages.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("file_hash"))
+
+
+@query("documents")
+def dedup_documents(documents):
+    d = documents.select(F.col("doc_id").alias("id"), F.col("source").alias("dataset_id"), F.sha2("text", 256).alias("file_hash"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"), "lang")
+    return O.dedup_documents(d.where("lang <> 'fr'"), d.where("lang = 'fr'")).select("id", "state")
+
+
+@query("nation", "region")
+def register_datasets(nation, region):
+    return O.register_datasets(nation.select(F.col("n_name").alias("name")).unionByName(region.select(F.col("r_name").alias("name"))), region.select(F.col("r_name").alias("name")))
+
+
+@query("fx_pages")
+def storage_path(pages):
+    return pages.select("id", F.concat_ws("/", "dataset_id", "document_id", "id").alias("path"))
+
+
+@query("documents")
+def page_table(documents):
+    return X.page_table(documents.select(F.col("doc_id").alias("document_id"), "text"), "\n").drop("page_text")
+
+
+@query("fx_edges")
+def upsert_relationships(edges):
+    e = edges.select(*IDS, "relationship_type", "confidence", F.concat_ws("/", *IDS).alias("id"))
+    old = e.where("confidence >= 0.7").withColumn("id", F.concat(F.lit("old-"), "id"))
+    return O.upsert(old, e.where("confidence < 0.8").withColumn("confidence", F.lit(0.5)), list(IDS), ["id"])
+
+
+@query("facts", "fx_evidence")
+def append_facts_evidence(facts, evidence):
+    n = facts.groupBy("dataset_id").agg(F.count("*").alias("facts"))
+    e = evidence.join(facts.select(F.col("id").alias("fact_id"), "dataset_id"), "fact_id").groupBy("dataset_id").agg(F.count("*").alias("evidence"))
+    return n.join(e, "dataset_id", "left").fillna(0, ["evidence"])
+
+
+@query("fx_filings", "fx_facts", "fx_evidence", "fx_edges")
+def delete_dataset_cascade(filings, facts, evidence, edges):
+    rest = O.delete_dataset("ASIA", filings, facts, evidence, edges)
+    out = None
+    for name, t in rest.items():
+        row = t.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- projections, filters, checks
+
+
+@query("fx_pages", "fx_evidence")
+def select_pages(pages, evidence):
+    return X.select_pages(pages.select("document_id", F.col("id").alias("page_id"), "page_number"), evidence, 10).select("page_id", "turn")
+
+
+@query("fx_pages")
+def nonblank_pages(pages):
+    return pages.where(N.strip(F.col("text")) != "").select("id")
+
+
+@query("fx_facts")
+def facts_by_dataset(facts):
+    return facts.where("dataset_id = 'ASIA'").orderBy("created_at", "id").select("id", "created_at")
+
+
+@query("fx_facts")
+def facts_search(facts):
+    return O.facts_search(facts, dataset="EUROPE", entity="brand#1", search="REVENUE", limit=50, offset=10).select("id", "created_at", "total")
+
+
+@query("facts", "fx_evidence")
+def fact_view(facts, evidence):
+    return O.fact_view(facts, evidence)
+
+
+@query("detailed")
+def relationship_filters(detailed):
+    return O.relationship_filters(detailed, "CONTRADICTS", 0.6, "cross").select(*IDS, "confidence")
+
+
+@query("detailed")
+def relationship_filters_pages(detailed):
+    return O.relationship_filters(detailed, drop_same_page=True).groupBy("relationship_type").agg(F.count("*").alias("n"))
+
+
+@query("detailed")
+def purge_same_page(detailed):
+    kept, gone = O.purge_same_page(detailed)
+    return kept.agg(F.lit("kept").alias("part"), F.count("*").alias("n")).unionByName(gone.agg(F.lit("removed").alias("part"), F.count("*").alias("n")))
+
+
+@query("detailed")
+def relationship_search(detailed):
+    hit = F.lower("fact_a.filename").contains("asia") | F.lower("fact_b.raw_claim").contains("brand#2")
+    return O.relationship_filters(detailed, least=0.55).where(hit).select(*IDS)
+
+
+@query("fx_filings")
+def document_search(filings):
+    return filings.where(F.lower("filename").contains("am")).select("id", "filename")
+
+
+@query("facts")
+def validate_facts(facts):
+    return O.validate_facts(facts).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("fx_evidence")
+def validate_evidence(evidence):
+    e = evidence.withColumns({"start_offset": F.lit(10), "end_offset": F.lit(10) + F.char_length("quote") - 20})
+    return O.validate_evidence(e).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("fx_edges")
+def validate_relationships(edges):
+    swapped = edges.select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"), "relationship_type", (F.col("confidence") * 1.3).alias("confidence"))
+    return O.validate_relationships(swapped).groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n"))
+
+
+@query("embeddings")
+def validate_vectors(embeddings):
+    return O.validate_vectors(embeddings, 64).select("vec_id", F.size("violations").cast("long").alias("n"))
+
+
+@query("fx_facts")
+def confidence_band(facts):
+    return O.confidence_band(facts).select("id", "band")
+
+
+# --- joins
+
+
+@query("fx_evidence")
+def first_evidence(evidence):
+    return O.first_evidence(evidence)
+
+
+@query("fx_facts", "fx_evidence")
+def facts_for_matching(facts, evidence):
+    return O.facts_for_matching(facts, evidence).select("id", "page_number", "quote")
+
+
+@query("fx_facts", "fx_evidence")
+def facts_with_evidence(facts, evidence):
+    return O.facts_with_evidence(facts, evidence).select("id", "quote", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("n_evidence"))
+
+
+@query("fx_edges", "fx_facts")
+def relationships_basic(edges, facts):
+    return O.relationships_basic(edges, facts, "ASIA").select(*IDS, "claim_a", "claim_b")
+
+
+@query("detailed")
+def relationships_detailed(detailed):
+    return detailed.select(*IDS, F.col("fact_a.filename").alias("file_a"), F.col("fact_b.filename").alias("file_b"), F.col("fact_a.page_number").alias("page_a"), F.col("fact_b.quote").alias("quote_b"))
+
+
+@query("pairs")
+def pair_filters(pairs):
+    return pairs.select(*IDS, M.same_dataset(A, B).alias("flt_dataset"), M.non_self(A, B).alias("flt_non_self"), M.cross_document(A, B).alias("flt_cross_document"), M.not_same_page(A, B).alias("flt_not_same_page"))
+
+
+@query("pairs")
+def temporal_compat(pairs):
+    ok, why = M.temporal(A, B)
+    return pairs.select(*IDS, ok.alias("ok"), why.alias("reason"))
+
+
+@query("pairs")
+def metric_compat(pairs):
+    ok, why = M.metric(A, B)
+    return pairs.select(*IDS, ok.alias("ok"), why.alias("reason"))
+
+
+@query("pairs")
+def is_candidate_pair(pairs):
+    ok, why = M.candidate(A, B)
+    return pairs.select(*IDS, ok.alias("ok"), F.array_join(why, ",").alias("reasons"))
+
+
+# --- scalar functions
+
+
+@query("fx_facts")
+def parse_number(facts):
+    value, negative = N.parse_number(F.col("raw_value_text"))
+    return facts.select("id", value.alias("value"), negative.alias("is_negative"))
+
+
+@query("fx_facts")
+def scale_multiplier(facts):
+    return facts.select("id", N.scale_multiplier(F.col("raw_value_text")).alias("factor"))
+
+
+@query("facts")
+def normalize_number(facts):
+    return facts.select("id", F.col("normalized_value_numeric").alias("value"))
+
+
+@query("facts")
+def normalize_unit(facts):
+    return facts.select("id", "normalized_unit")
+
+
+@query("facts")
+def normalize_period(facts):
+    return facts.select("id", "period_start", "period_end")
+
+
+@query("facts")
+def normalize_facts(facts):
+    return facts.groupBy("dataset_id", "normalized_unit").agg(F.count("*").alias("n"), F.round(F.sum("normalized_value_numeric"), 0).alias("total"), F.min("period_start").alias("first_start"))
+
+
+@query("pairs")
+def predicate_alignment(pairs):
+    ok, score = M.predicate_alignment(A, B)
+    return pairs.select(*IDS, ok.alias("aligned"), F.round(score, 4).alias("score"))
+
+
+@query("pairs")
+def token_jaccard(pairs):
+    return pairs.select(*IDS, F.round(M.token_jaccard(A["raw_claim"], B["raw_claim"]), 4).alias("similarity"))
+
+
+@query("fx_queries", "embeddings")
+def cosine_similarity(queries, embeddings):
+    return queries.crossJoin(embeddings).select("query_id", "vec_id", F.round(M.cosine_similarity(F.col("query"), F.col("embedding")), 4).alias("similarity"))
+
+
+@query("pairs", "fx_vectors")
+def hybrid_score(pairs, vectors):
+    va, vb = vectors.select(F.col("id").alias("fact_a_id"), F.col("embedding").alias("ea")), vectors.select(F.col("id").alias("fact_b_id"), F.col("embedding").alias("eb"))
+    p = pairs.join(va, "fact_a_id").join(vb, "fact_b_id").withColumns({"a": A.withField("embedding", F.col("ea")), "b": B.withField("embedding", F.col("eb"))})
+    return p.select(*IDS, M.hybrid_score(A, B).alias("score"))
+
+
+@query("facts")
+def fact_embedding_text(facts):
+    return facts.select("id", X.fact_embedding_text().alias("text"))
+
+
+@query("documents")
+def printed_page_number(documents):
+    return documents.select("doc_id", X.printed_page_number(F.col("text"), F.col("n_chars")).alias("printed"))
+
+
+@query("documents")
+def redact_secrets(documents):
+    return documents.select("doc_id", F.sha2(X.redact_secrets(F.col("text")), 256).alias("redacted"))
+
+
+@query("facts")
+def format_value(facts):
+    return facts.select("id", X.format_value(F.col("normalized_value_numeric"), F.col("normalized_unit")).alias("shown"))
+
+
+# --- aggregates
+
+
+@query("fx_datasets", "fx_filings", "fx_facts", "fx_edges")
+def dataset_counts(datasets, filings, facts, edges):
+    return O.dataset_counts(datasets, filings, facts, edges).select("id", "documents", "facts", "relationships")
+
+
+@query("fx_evidence", "fx_pages")
+def extracted_pages(evidence, pages):
+    e = evidence.select(F.col("page_document").alias("document_id"), "page_number")
+    return O.extracted_pages(e, pages.where("page_number <= 3")).select("document_id", "n_pages", F.array_join("pages", ",").alias("pages"))
+
+
+@query("detailed")
+def relationship_stats(detailed):
+    return O.relationship_stats(detailed).select("scope", "relationship_type", "n")
+
+
+@query("fx_filings", "fx_facts", "fx_edges", "fx_pages")
+def overview_totals(filings, facts, edges, pages):
+    one = lambda t, name: t.agg(F.count("*").alias(name))
+    return one(filings, "documents").crossJoin(one(facts, "facts")).crossJoin(one(edges, "relationships")).crossJoin(one(pages, "pages"))
+
+
+@query("fx_selection", "fx_facts")
+def document_fact_counts(selection, facts):
+    n = facts.groupBy("document_id").agg(F.count("*").alias("facts"))
+    return selection.join(n, "document_id", "left").select("comparison_id", "ordinal", "document_id", F.coalesce("facts", F.lit(0)).alias("facts"))
+
+
+@query("fx_runs")
+def run_counters(runs):
+    batches = runs.select(F.col("id").alias("run_id"), F.lit(2).alias("facts"), F.lit(1).alias("rejected")).where("facts_extracted > 50")
+    return O.run_counters(runs, batches).select("id", F.col("facts_extracted").cast("long").alias("facts_extracted"))
+
+
+# --- windows and top-k
+
+
+@query("fx_runs")
+def document_status(runs):
+    docs = runs.select(F.col("document_id").alias("id")).distinct()
+    return O.document_status(docs, runs, now).select("id", "shown_status")
+
+
+@query("fx_runs")
+def stale_runs(runs):
+    return O.stale_runs(runs, now).select("id", "status", "changed")
+
+
+@query("fx_runs")
+def active_run(runs):
+    return O.active_run(runs, F.expr("CAST('2024-01-15 12:00:00' AS TIMESTAMP)"), 1440).select("document_id", "id")
+
+
+@query("fx_pages")
+def extraction_batches(pages):
+    chunks = pages.select("document_id", "page_number", F.lit(0).alias("chunk_index"), "text")
+    return X.extraction_batches(chunks, 2).select("document_id", F.col("batch_no").cast("long").alias("batch_no"), F.sha2("prompt", 256).alias("prompt"), "n_chunks")
+
+
+@query("embeddings", "fx_queries")
+def similar_chunks(embeddings, queries):
+    return P.similar_vectors(embeddings.select(F.col("vec_id").alias("id"), "embedding"), queries, 5).select("query_id", "id", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query("embeddings", "fx_queries")
+def nearest_facts(embeddings, queries):
+    hits = P.similar_vectors(embeddings.select(F.col("vec_id").alias("id"), "embedding"), queries, 11, 0.2).where("id <> query_id")
+    return hits.select("query_id", "id", F.round(1 - F.col("distance"), 4).alias("similarity"))
+
+
+@query("detailed")
+def best_case_per_type(detailed):
+    return O.best_case_per_type(detailed).select("relationship_type", *IDS, "confidence")
+
+
+@query("facts")
+def metric_pick(facts):
+    return C.metric_pick(facts).select("document_id", "subject_key", "predicate_key", "id")
+
+
+# --- reasoning
+
+
+@query("pairs")
+def numeric_variance(pairs):
+    return pairs.select(*IDS, F.round(M.numeric_variance(A["normalized_value_numeric"], B["normalized_value_numeric"]), 4).alias("variance"))
+
+
+@query("pairs")
+def deterministic_relationship(pairs):
+    return pairs.withColumn("r", M.rule_relationship(A, B)).select(*IDS, F.col("r.type").alias("type"), F.col("r.confidence").alias("confidence"))
+
+
+@query("pairs")
+def classify_pairs(pairs):
+    given = pairs.where("edge_created >= CAST('2024-01-05' AS TIMESTAMP)").select(*IDS, F.col("relationship_type").alias("verdict_type"), F.col("confidence").alias("verdict_confidence"))
+    return P.classify_pairs(pairs.drop("relationship_type", "confidence"), given).select(*IDS, "relationship_type", "confidence", "reasoning_method")
+
+
+@query("pairs")
+def investigate(pairs):
+    found = M.investigate(A, B, F.col("relationship_type"))
+    return pairs.select(*IDS, *[c.alias(k) for k, c in found.items() if k not in ("relationship",)], found["relationship"].alias("audited"))
+
+
+@query("facts", "fx_evidence")
+def fact_confidence(facts, evidence):
+    return O.fact_confidence(O.facts_for_matching(facts, evidence)).select("id", "score", "level", "positive_count", "negative_count")
+
+
+@query("facts", "fx_selection")
+def compare_documents(facts, selection):
+    out = C.compare_documents(facts, selection.drop("dataset_id"))
+    return out.select("comparison_id", "subject_key", "predicate_key", "category", "percent", "value_a", "value_b")
+
+
+@query("facts", "fx_selection")
+def comparison_summary(facts, selection):
+    return C.comparison_summary(C.compare_documents(facts, selection.drop("dataset_id")))
+
+
+@query("facts", "fx_selection")
+def metric_filters(facts, selection):
+    out = C.compare_documents(facts, selection.drop("dataset_id"))
+    return C.metric_filters(out, "CHANGES_ONLY", "volume").select("comparison_id", "subject_key", "category")
+
+
+@query("facts", "fx_vectors")
+def candidate_pairs(facts, vectors):
+    return P.candidate_scores(facts.join(vectors, "id", "left"), 0.45).select(*IDS, "dataset_id", "score")
+
+
+@query("facts", "fx_vectors", "fx_evidence")
+def relationship_pipeline(facts, vectors, evidence):
+    f = O.facts_for_matching(facts, evidence).drop("quote", "page_id").join(vectors, "id", "left")
+    best = P.max_candidates(P.candidate_pairs(f, 0.45), 20)
+    return P.classify_pairs(best).groupBy("dataset_id", "relationship_type", "reasoning_method").agg(F.count("*").alias("n"))
+
+
+# --- texts
+
+
+@query("fx_pages")
+def split_chunks(pages):
+    return X.split_chunks(pages.select("document_id", F.col("id").alias("page_id"), "text")).withColumn("text", F.sha2("text", 256))
+
+
+@query("fx_evidence", "fx_pages")
+def locate_quote(evidence, pages):
+    j = evidence.select(F.col("id").alias("evidence_id"), "page_id", "quote").join(pages.select(F.col("id").alias("page_id"), "text"), "page_id")
+    found = X.locate_quote(F.col("quote"), F.col("text"))
+    return j.select("evidence_id", *[c.cast("long").alias(k) if k != "grounded" else c.alias(k) for k, c in found.items()])
+
+
+@query("fx_facts", "fx_evidence")
+def dedup_facts(facts, evidence):
+    joined = facts.join(O.first_evidence(evidence).select("fact_id", "quote"), F.col("id") == F.col("fact_id")).select("document_id", F.col("id").alias("position"), "raw_claim", "quote", "k")
+    return X.dedup_facts(joined.where("k > 1").drop("k"), joined.where("k = 1").drop("k")).select("document_id", "position")
+
+
+@query("embeddings", "fx_queries", "documents")
+def rag_context(embeddings, queries, documents):
+    hits = P.similar_vectors(embeddings.select(F.col("vec_id").alias("id"), "embedding"), queries, 3)
+    return X.rag_context(hits, documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 1 << 30).alias("text"))).select("query_id", F.sha2("context", 256).alias("context"))
+
+
+@query("documents")
+def parse_model_answers(documents):
+    item = F.struct(F.lit("chunk_1").alias("chunk_id"), F.col("source").alias("subject"), F.col("lang").alias("predicate"), F.col("text").alias("raw_claim"), F.col("n_chars").cast("string").alias("value_numeric"), F.col("text").alias("quote"))
+    json = F.to_json(F.struct(F.array(item, item).alias("facts")))
+    fenced = F.when(F.col("lang") == "fr", F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("lang") == "es", F.substring(json, 1, 40)).otherwise(json)
+    parsed = X.parse_model_answers(documents.select(F.col("doc_id").alias("batch_id"), fenced.alias("answer")))
+    return parsed.select("batch_id", F.col("position").cast("long").alias("position"), F.col("item.subject").alias("subject"), F.col("item.value_numeric").try_cast("double").alias("value_numeric"))
+
+
+ORACLES: dict[str, str] = {name: sql(body, DUCK) for name, body in SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: relationships of the best candidate pairs by type."""
+    return QUERIES["relationship_pipeline"](spark, sf_dir)
