@@ -50,7 +50,7 @@ RECIPES["fx_selection"] = """SELECT concat(dataset_id, '-', CASE WHEN k <= 2 THE
 
 
 def _names(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text)))
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def sql(query: str, more: dict[str, str] | None = None) -> str:
                 order.append(n)
 
     need(query)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", text)
     head = ",\n".join(f"{n} AS MATERIALIZED ({plain(recipes[n])})" for n in order)
     body = plain(query)
     if head and body.startswith("WITH "):

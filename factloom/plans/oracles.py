@@ -113,7 +113,7 @@ ELSE 0.50 * {_jaccard(_tokens('a.raw_claim'), _tokens('b.raw_claim'))} + 0.5 END
 SQL["fact_embedding_text"] = "SELECT id, concat_ws(' | ', concat('Entity: ', subject), concat('Metric: ', predicate), concat('Claim: ', raw_claim), concat('Period: ', period_text), CASE WHEN normalized_unit IS NOT NULL THEN concat('Unit: ', normalized_unit) END) AS text FROM {d_facts}"
 SQL["printed_page_number"] = r"SELECT doc_id, coalesce(nullif(regexp_extract(lines[-1], '(?i)^(?:page|p\.|-)?\s*(\d{1,4})(?:\s*-)?$', 1), ''), nullif(regexp_extract(lines[1], '(?i)^(?:page|p\.|-)?\s*(\d{1,4})(?:\s*-)?$', 1), ''), CAST(n_chars AS VARCHAR)) AS printed FROM (SELECT doc_id, n_chars, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents)"
 SQL["format_value"] = """SELECT id, CASE WHEN nv IS NULL THEN '—' ELSE concat(CASE WHEN normalized_unit = 'INR' THEN '₹' WHEN normalized_unit = 'USD' THEN '$' ELSE '' END,
-CASE WHEN normalized_unit = 'INR' AND abs(nv) >= 1e7 THEN printf('%.2f Cr', round(nv / 1e7, 2)) WHEN normalized_unit = 'INR' AND abs(nv) >= 1e5 THEN printf('%.2f Lakh', round(nv / 1e5, 2)) WHEN abs(nv) >= 1e9 THEN printf('%.2fB', round(nv / 1e9, 2)) WHEN abs(nv) >= 1e6 THEN printf('%.2fM', round(nv / 1e6, 2)) WHEN abs(nv) >= 1e3 THEN printf('%.2fK', round(nv / 1e3, 2)) ELSE printf('%.2f', round(nv, 2)) END) END AS shown FROM {d_facts}"""
+CASE WHEN normalized_unit = 'INR' AND abs(nv) >= 1e7 THEN concat(CAST(CAST(CAST(nv / 1e7 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), ' Cr') WHEN normalized_unit = 'INR' AND abs(nv) >= 1e5 THEN concat(CAST(CAST(CAST(nv / 1e5 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), ' Lakh') WHEN abs(nv) >= 1e9 THEN concat(CAST(CAST(CAST(nv / 1e9 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'B') WHEN abs(nv) >= 1e6 THEN concat(CAST(CAST(CAST(nv / 1e6 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'M') WHEN abs(nv) >= 1e3 THEN concat(CAST(CAST(CAST(nv / 1e3 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'K') ELSE concat(CAST(CAST(CAST(nv AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), '') END) END AS shown FROM {d_facts}"""
 SQL["dataset_counts"] = """SELECT d.id, (SELECT count(*) FROM {fx_filings} g WHERE g.dataset_id = d.id) AS documents, (SELECT count(*) FROM {fx_facts} f WHERE f.dataset_id = d.id) AS facts, (SELECT count(*) FROM {fx_edges} e JOIN {fx_facts} f ON f.id = e.fact_a_id WHERE f.dataset_id = d.id) AS relationships FROM {fx_datasets} d"""
 SQL["extracted_pages"] = "SELECT document_id, count(DISTINCT page_number) AS n_pages, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages FROM (SELECT page_document AS document_id, page_number FROM {fx_evidence} UNION ALL SELECT document_id, page_number FROM {fx_pages} WHERE page_number <= 3) GROUP BY 1"
 SQL["relationship_stats"] = "SELECT scope, relationship_type, count(*) AS n FROM (SELECT *, CASE WHEN a.document_id <> b.document_id THEN 'cross' ELSE 'same' END AS scope FROM {d_detailed}) GROUP BY CUBE (scope, relationship_type)"
