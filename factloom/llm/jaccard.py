@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, components, grams, text_bytes
+from .common import Words, checkpointed, chunks, components, grams, text_bytes, unzip_array, zipped
 from .tiles import dealt_in_tiles, group_starts, pairs_upto, spanned
 
 #: MinHash values of a signature (a byte each), values of a band, values between two decisions.
@@ -226,11 +226,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     maybe = maybe.join(sizes, "component").select(F.col("id").alias("rep"), F.col("component").alias("comp"), "n")
     maybe = maybe.join(classes.select("rep", "copies", "class_a", "class_b"), "rep")
     # A key may stand on several rows; the one with the class's own set is taken.
-    texts = named.where("k IS NOT NULL").join(maybe, F.col("k") == F.col("rep")).select("rep", "t", "comp", "n", "copies", "class_a", "class_b")
+    texts = zipped(named.where("k IS NOT NULL"), "t").join(maybe, F.col("k") == F.col("rep")).select("rep", "t", "comp", "n", "copies", "class_a", "class_b")
 
     def to_sets(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(unzip_array(batch.column(1)))
             for a, b in chunks(offsets):
                 g, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                 with np.errstate(over="ignore"):

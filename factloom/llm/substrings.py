@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, grams, text_bytes
+from .common import Words, grams, text_bytes, unzip_array, zipped
 
 #: Words of a seed, and bytes of text that a part (the unit that is compared at once) holds.
 SEED_WORDS, PART_BYTES = 5, 3 << 20
@@ -71,7 +71,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
        removes these.
 
     Only anchors, extended windows and their parts are shuffled beside one exchange of the texts
-    that all steps read. Keys compare as integers; a null key counts as the largest, so it never
+    that all steps read, zipped. Keys compare as integers; a null key counts as the largest, so it never
     makes others lose words. Rows with equal keys do not make each other lose words. A null text has
     no words (kept_text ''), an empty table gives an empty result; other columns are ignored.
     """
@@ -79,10 +79,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     n_parts = max(1, -(-size // PART_BYTES))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("k", F.crc32(F.col("t").cast("binary"))), F.lit(n_parts)).cast("int"))
-    rows = rows.repartition("part")
+    fields = ["k", *["t"] * keep_text, *[f"c{i}" for i in range(len(carry))]]
+    kinds = [rows.schema[c] for c in fields]
+    rows = zipped(rows, "t").repartition("part")
 
     def words_of(table: pa.Table) -> Words:
-        return Words(*text_bytes(table.column("t")))
+        return Words(*text_bytes(unzip_array(table.column("t"))))
 
     def keys_of(table: pa.Table, words: Words, starts: np.ndarray) -> np.ndarray:
         ids = table.column("k").fill_null(LAST).to_numpy() if table.num_rows else np.zeros(0, np.int64)
@@ -112,13 +114,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     least = F.min("least").over(Window.partitionBy("k1", "k2"))
     lost = windows.withColumn("first", least).where("first < least").select("k1", F.col("part").alias("in_part"))
 
-    fields = ["k", *["t"] * keep_text, *[f"c{i}" for i in range(len(carry))]]
-    kinds = [rows.schema[c] for c in fields]
     found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long>>")
     schema = T.StructType([*kinds, *found.fields])
 
     def remove(table: pa.Table, lost: pa.Table) -> pa.Table:
-        data, offsets = text_bytes(table.column("t"))
+        texts = unzip_array(table.column("t"))
+        data, offsets = text_bytes(texts)
         words = Words(data, offsets)
         starts, _, h = _windows(words, n)
         k1 = grams(h, n)[starts]
@@ -146,7 +147,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
             kept.append(b" ".join(own).decode())
             repeats.append(spans)
         shape = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-        out = {name: table.column(name) for name in fields}
+        out = {name: texts if name == "t" else table.column(name) for name in fields}
         return pa.table({**out, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": pa.array(repeats, shape)})
 
     cut = rows.groupBy("part").cogroup(lost.groupBy("in_part")).applyInArrow(remove, schema)
