@@ -67,6 +67,9 @@ def mix_sources(docs: DataFrame, source: str = "source", size: Column | None = N
     })
     rows = rows.withColumn("__mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), "shuffle_key"), F.lit(n_blocks)))
 
+    # One key without nulls, so that the windows and the join below share one exchange of the rows.
+    cell = lambda s, b: F.concat(F.coalesce(F.concat(F.lit("s"), F.col(s).cast("string")), F.lit("null")), F.lit(" "), F.col(b).cast("string"))
+    rows = rows.withColumn("__mix_cell", cell("__mix_source", "__mix_block"))
     blocks = checkpointed(rows.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_block").alias("block")).agg(F.sum("mix_size").alias("words")))
     goals = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goals = goals.withColumn("colour", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long"))
@@ -89,13 +92,13 @@ def mix_sources(docs: DataFrame, source: str = "source", size: Column | None = N
     drawn = Window.partitionBy("colour").orderBy(F.xxhash64(F.lit(seed + 3), "colour", "block", "copy"), "block", "copy")
     taken = taken.withColumn("place", (F.row_number().over(drawn) - 1).cast("long"))
     dealt = taken.join(places, ["colour", "place"]).groupBy("colour", "block").agg(F.expr("transform(array_sort(collect_list(struct(copy, shard))), x -> x.shard)").alias("block_shards"))
-    plan = checkpointed(b.join(dealt, ["colour", "block"], "left").select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "source_size", "target", "epochs", "block_copies", (F.col("over") - F.col("start")).alias("rest"), "block_shards"))
+    plan = checkpointed(b.join(dealt, ["colour", "block"], "left").select(cell("source", "block").alias("__mix_cell"), "source_size", "target", "epochs", "block_copies", (F.col("over") - F.col("start")).alias("rest"), "block_shards"))
 
-    inside = Window.partitionBy("__mix_source", "__mix_block").orderBy("shuffle_key", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__mix_cell").orderBy("shuffle_key", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__mix_sum", F.sum("mix_size").over(inside))
-    rows = rows.join(plan, F.col("__mix_source").eqNullSafe(F.col("p_source")) & (F.col("__mix_block") == F.col("p_block")))
+    rows = rows.join(plan, "__mix_cell")
     rows = rows.withColumn("__mix_fits", (F.col("block_copies") > F.col("epochs")) & (F.col("__mix_sum") <= F.col("rest")))
-    block = Window.partitionBy("__mix_source", "__mix_block")
+    block = Window.partitionBy("__mix_cell")
     rows = rows.withColumn("__mix_gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("__mix_fits"), F.col("__mix_sum"))).over(block), F.lit(0)))
     by_gap = block.orderBy("__mix_fits", F.abs(F.col("mix_size") - F.col("__mix_gap")), "shuffle_key", *key)
     fills = (F.row_number().over(by_gap) == 1) & (F.abs(F.col("mix_size") - F.col("__mix_gap")) < F.col("__mix_gap"))
