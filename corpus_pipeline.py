@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_dir
+from factloom.llm.common import shared_dir, unzipped, zipped
 from factloom.llm.jaccard import jaccard_join
 from factloom.llm.mixing import mix_sources, word_count
 from factloom.llm.packing import pack_documents
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents that link with nothing and rows without a doc_id stay.
     """
     gone = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return unzipped(zipped(docs, "text").join(gone, "doc_id", "left_anti").select(*docs.columns), "text")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
