@@ -26,6 +26,8 @@ SHARE, STEPS, LEAST_ROWS, TAIL = 0.75, 6, 100, 1e-6
 GRAIN = 16
 #: Groups whose estimates are broadcast (some 300 bytes each); more are joined by exchange.
 MOST_BROADCAST = 10_000
+#: Narrow rows (vectors and sums) that one task gets in the steps of the estimate.
+TASK_ROWS = 100_000
 #: Names of the group of all rows and of that of failed rows; no language or source holds a NUL.
 ALL, NONE = "\0all", "\0none"
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -172,35 +174,37 @@ def estimate(rows: DataFrame) -> DataFrame:
     """
     names, d = list(FEATURES), len(FEATURES)
     keys = ("g_lang", "g_source")
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)))
     own = rows.select(F.col("m_lang").alias("g_lang"), F.col("m_source").alias("g_source"), *names)
     counts = checkpointed(own.groupBy(*keys).agg(F.count("*").alias("rows")))
+    few = max(1, -(-counts.count() * 256 // TASK_ROWS))  # tasks for a row per group and distance step
     alls = rows.select(F.lit(ALL).alias("g_lang"), F.lit(ALL).alias("g_source"), *names)
     points = own.unionByName(alls)
 
     grain = 64
     melted = points.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(c) * grain).alias("bin")) for i, c in enumerate(names)])).alias("m"))
-    melted = melted.groupBy(*keys, F.col("m.i").alias("i"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n"))
+    melted = melted.groupBy(*keys, F.col("m.i").alias("i"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n")).coalesce(few)
     melted = melted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("bin"))).withColumn("of", F.sum("n").over(Window.partitionBy(*keys, "i")))
     at = lambda p: F.min(F.when(F.col("upto") >= F.col("of") * p, (F.col("bin") + 0.5) / grain))
     quartiles = melted.groupBy(*keys, "i").agg(at(0.5).alias("middle"), ((at(0.75) - at(0.25)) / 1.349).alias("spread"))
     in_order = quartiles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "middle", "spread"))).alias("q"))
     in_order = in_order.withColumn("floors", F.array(*[F.lit(x) for x in FEATURES.values()]))
     diagonal = F.expr(f"transform(sequence(0, {d * d - 1}), k -> CASE WHEN k % {d + 1} = 0 THEN 1 / (pow(q[k DIV {d + 1}].spread, 2) + pow(floors[k DIV {d + 1}], 2)) ELSE 0.0D END)")
-    estimates = checkpointed(in_order.select(*keys, F.expr("transform(q, x -> x.middle)").alias("centre"), diagonal.alias("inverse")))
+    estimates = checkpointed(in_order.select(*keys, F.expr("transform(q, x -> x.middle)").alias("centre"), diagonal.alias("inverse")).coalesce(few))
 
     consistency = SHARE / chi2_cdf(chi2_quantile(SHARE, d), d + 2)
     for _ in range(STEPS):
         near = _with_estimates(points, estimates, *keys).withColumn("step", F.floor(F.log1p(_distance()) * GRAIN))
-        sums = near.groupBy(*keys, "step").agg(*_sums())
+        sums = near.groupBy(*keys, "step").agg(*_sums()).coalesce(few)
         sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("step"))).withColumn("of", F.sum("n").over(Window.partitionBy(*keys)))
         inside = sums.where(F.col("upto") - F.col("n") < F.col("of") * SHARE)
         moments = inside.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in near.groupBy().agg(*_sums()).columns])
-        estimates = checkpointed(_estimates(moments, consistency))
+        estimates = checkpointed(_estimates(moments.coalesce(few), consistency))
 
     pooled = estimates.where(F.col("g_source") == ALL).select(F.col("centre").alias("p_centre"), F.col("inverse").alias("p_inverse"))
     chosen = _with_estimates(counts, estimates, *keys).join(pooled)  # one row
-    few = F.col("rows") < LEAST_ROWS
-    return checkpointed(chosen.select(*keys, F.when(few, F.col("p_centre")).otherwise(F.col("centre")).alias("centre"), F.when(few, F.col("p_inverse")).otherwise(F.col("inverse")).alias("inverse")))
+    small = F.col("rows") < LEAST_ROWS
+    return checkpointed(chosen.select(*keys, F.when(small, F.col("p_centre")).otherwise(F.col("centre")).alias("centre"), F.when(small, F.col("p_inverse")).otherwise(F.col("inverse")).alias("inverse")).coalesce(few))
 
 
 def measured(docs: DataFrame, lang: str, source: str, text: str, carry: dict) -> DataFrame:
