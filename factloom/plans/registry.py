@@ -42,7 +42,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return frame(spark, sf_dir, name)
 
 
-A, B, now = F.col("a"), F.col("b"), F.expr(NOW)
 IDS = ("fact_a_id", "fact_b_id")
 
 
@@ -222,24 +221,24 @@ def relationships_detailed(detailed):
 
 @query("pairs")
 def pair_filters(pairs):
-    return pairs.select(*IDS, M.same_dataset(A, B).alias("flt_dataset"), M.non_self(A, B).alias("flt_non_self"), M.cross_document(A, B).alias("flt_cross_document"), M.not_same_page(A, B).alias("flt_not_same_page"))
+    return pairs.select(*IDS, M.same_dataset(F.col("a"), F.col("b")).alias("flt_dataset"), M.non_self(F.col("a"), F.col("b")).alias("flt_non_self"), M.cross_document(F.col("a"), F.col("b")).alias("flt_cross_document"), M.not_same_page(F.col("a"), F.col("b")).alias("flt_not_same_page"))
 
 
 @query("pairs")
 def temporal_compat(pairs):
-    ok, why = M.temporal(A, B)
+    ok, why = M.temporal(F.col("a"), F.col("b"))
     return pairs.select(*IDS, ok.alias("ok"), why.alias("reason"))
 
 
 @query("pairs")
 def metric_compat(pairs):
-    ok, why = M.metric(A, B)
+    ok, why = M.metric(F.col("a"), F.col("b"))
     return pairs.select(*IDS, ok.alias("ok"), why.alias("reason"))
 
 
 @query("pairs")
 def is_candidate_pair(pairs):
-    ok, why = M.candidate(A, B)
+    ok, why = M.candidate(F.col("a"), F.col("b"))
     return pairs.select(*IDS, ok.alias("ok"), F.array_join(why, ",").alias("reasons"))
 
 
@@ -279,13 +278,13 @@ def normalize_facts(facts):
 
 @query("pairs")
 def predicate_alignment(pairs):
-    ok, score = M.predicate_alignment(A, B)
+    ok, score = M.predicate_alignment(F.col("a"), F.col("b"))
     return pairs.select(*IDS, ok.alias("aligned"), F.round(score, 4).alias("score"))
 
 
 @query("pairs")
 def token_jaccard(pairs):
-    return pairs.select(*IDS, F.round(M.token_jaccard(A["raw_claim"], B["raw_claim"]), 4).alias("similarity"))
+    return pairs.select(*IDS, F.round(M.token_jaccard(F.col("a")["raw_claim"], F.col("b")["raw_claim"]), 4).alias("similarity"))
 
 
 @query("fx_queries", "embeddings")
@@ -296,8 +295,8 @@ def cosine_similarity(queries, embeddings):
 @query("pairs", "fx_vectors")
 def hybrid_score(pairs, vectors):
     va, vb = vectors.select(F.col("id").alias("fact_a_id"), F.col("embedding").alias("ea")), vectors.select(F.col("id").alias("fact_b_id"), F.col("embedding").alias("eb"))
-    p = pairs.join(va, "fact_a_id").join(vb, "fact_b_id").withColumns({"a": A.withField("embedding", F.col("ea")), "b": B.withField("embedding", F.col("eb"))})
-    return p.select(*IDS, M.hybrid_score(A, B).alias("score"))
+    p = pairs.join(va, "fact_a_id").join(vb, "fact_b_id").withColumns({"a": F.col("a").withField("embedding", F.col("ea")), "b": F.col("b").withField("embedding", F.col("eb"))})
+    return p.select(*IDS, M.hybrid_score(F.col("a"), F.col("b")).alias("score"))
 
 
 @query("facts")
@@ -363,12 +362,12 @@ def run_counters(runs):
 @query("fx_runs")
 def document_status(runs):
     docs = runs.select(F.col("document_id").alias("id")).distinct()
-    return O.document_status(docs, runs, now).select("id", "shown_status")
+    return O.document_status(docs, runs, F.expr(NOW)).select("id", "shown_status")
 
 
 @query("fx_runs")
 def stale_runs(runs):
-    return O.stale_runs(runs, now).select("id", "status", "changed")
+    return O.stale_runs(runs, F.expr(NOW)).select("id", "status", "changed")
 
 
 @query("fx_runs")
@@ -408,12 +407,12 @@ def metric_pick(facts):
 
 @query("pairs")
 def numeric_variance(pairs):
-    return pairs.select(*IDS, F.round(M.numeric_variance(A["normalized_value_numeric"], B["normalized_value_numeric"]), 4).alias("variance"))
+    return pairs.select(*IDS, F.round(M.numeric_variance(F.col("a")["normalized_value_numeric"], F.col("b")["normalized_value_numeric"]), 4).alias("variance"))
 
 
 @query("pairs")
 def deterministic_relationship(pairs):
-    return pairs.withColumn("r", M.rule_relationship(A, B)).select(*IDS, F.col("r.type").alias("type"), F.col("r.confidence").alias("confidence"))
+    return pairs.withColumn("r", M.rule_relationship(F.col("a"), F.col("b"))).select(*IDS, F.col("r.type").alias("type"), F.col("r.confidence").alias("confidence"))
 
 
 @query("pairs")
@@ -424,7 +423,7 @@ def classify_pairs(pairs):
 
 @query("pairs")
 def investigate(pairs):
-    found = M.investigate(A, B, F.col("relationship_type"))
+    found = M.investigate(F.col("a"), F.col("b"), F.col("relationship_type"))
     return pairs.select(*IDS, *[c.alias(k) for k, c in found.items() if k not in ("relationship",)], found["relationship"].alias("audited"))
 
 
