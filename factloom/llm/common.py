@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 #: What the contracts call a word, for Spark's and Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass looks at.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows whose texts are zipped or unzipped at once.
+ZIP_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,6 +144,13 @@ def grams(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
 # --- texts in exchanges -----------------------------------------------------------------------
 
 
+def slices(batches):
+    """Batches of at most ZIP_ROWS rows, so that a task never holds a whole batch of texts twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ZIP_ROWS):
+            yield batch.slice(i, ZIP_ROWS)
+
+
 def zipped(df: DataFrame, column: str) -> DataFrame:
     """`df` with a text column as zstandard frames, about half of what an exchange makes of texts."""
     kinds = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in df.schema])
@@ -149,11 +158,11 @@ def zipped(df: DataFrame, column: str) -> DataFrame:
 
     def zip_up(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            columns = batch.columns
+        for part in slices(batches):
+            texts = part.column(at).cast(pa.binary()).to_pylist()
+            columns = part.columns
             columns[at] = pa.array([None if t is None else packer.compress(t) for t in texts], pa.binary())
-            yield pa.record_batch(columns, batch.schema.names)
+            yield pa.record_batch(columns, part.schema.names)
 
     return df.mapInArrow(zip_up, kinds)
 
@@ -170,12 +179,10 @@ def unzipped(df: DataFrame, column: str) -> DataFrame:
     at = df.columns.index(column)
 
     def unzip(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                columns = part.columns
-                columns[at] = unzip_array(part.column(at))
-                yield pa.record_batch(columns, part.schema.names)
+        for part in slices(batches):
+            columns = part.columns
+            columns[at] = unzip_array(part.column(at))
+            yield pa.record_batch(columns, part.schema.names)
 
     return df.mapInArrow(unzip, kinds)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, components, grams, text_bytes, unzip_array, zipped
+from .common import Words, checkpointed, chunks, components, grams, slices, text_bytes, unzip_array, zipped
 from .tiles import dealt_in_tiles, group_starts, pairs_upto, spanned
 
 #: MinHash values of a signature (a byte each), values of a band, values between two decisions.
@@ -229,7 +229,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     texts = zipped(named.where("k IS NOT NULL"), "t").join(maybe, F.col("k") == F.col("rep")).select("rep", "t", "comp", "n", "copies", "class_a", "class_b")
 
     def to_sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_bytes(unzip_array(batch.column(1)))
             for a, b in chunks(offsets):
                 g, first = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
