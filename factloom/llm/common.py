@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 20
 #: Rows whose texts are zipped or unzipped at once.
 ZIP_ROWS = 500
+#: Bytes whose running sums are held at once; hashes do not depend on it.
+SPAN = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,7 +81,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _TABLES.get(which)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, SPAN + SPAN // 8)
         base = int(_SEEDS[which])
         with np.errstate(over="ignore"):
             up = np.full(n, base, np.uint64)
@@ -96,7 +98,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     first = 0
     with np.errstate(over="ignore"):
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 20))))
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + SPAN)))
             at, to = int(starts[first]), int(ends[last - 1])
             up, down = _powers(which, to - at + 1)
             total = np.zeros(to - at + 1, np.uint64)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .common import Words, grams, text_bytes, unzip_array, zipped
 
 #: Words of a seed, and bytes of text that a part (the unit that is compared at once) holds.
-SEED_WORDS, PART_BYTES = 5, 3 << 20
+SEED_WORDS, PART_BYTES = 5, 2 << 20
 LAST = np.iinfo(np.int64).max
 
 
