@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 20
 #: Rows whose texts are zipped or unzipped at once.
 ZIP_ROWS = 500
+#: Bytes of an Arrow batch, which the JVM and the Python task each hold at once.
+BATCH_BYTES = 4 << 20
 #: Bytes whose running sums are held at once; hashes do not depend on it.
 SPAN = 1 << 18
 
@@ -34,9 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES: a batch of 10,000 long texts would take
+    hundreds of MB on both sides. A longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # --- texts as bytes ---------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -157,6 +176,7 @@ def zipped(df: DataFrame, column: str) -> DataFrame:
     """`df` with a text column as zstandard frames, about half of what an exchange makes of texts."""
     kinds = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in df.schema])
     at = df.columns.index(column)
+    small_batches(df.sparkSession)
 
     def zip_up(batches):
         packer = zstandard.ZstdCompressor(level=3)
@@ -165,6 +185,7 @@ def zipped(df: DataFrame, column: str) -> DataFrame:
             columns = part.columns
             columns[at] = pa.array([None if t is None else packer.compress(t) for t in texts], pa.binary())
             yield pa.record_batch(columns, part.schema.names)
+        give_back()
 
     return df.mapInArrow(zip_up, kinds)
 
@@ -185,6 +206,7 @@ def unzipped(df: DataFrame, column: str) -> DataFrame:
             columns = part.columns
             columns[at] = unzip_array(part.column(at))
             yield pa.record_batch(columns, part.schema.names)
+        give_back()
 
     return df.mapInArrow(unzip, kinds)
 

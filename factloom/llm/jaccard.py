@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, components, grams, slices, text_bytes, unzip_array, zipped
+from .common import Words, checkpointed, chunks, components, give_back, grams, slices, text_bytes, unzip_array, zipped
 from .tiles import dealt_in_tiles, group_starts, pairs_upto, spanned
 
 #: MinHash values of a signature (a byte each), values of a band, values between two decisions.
@@ -19,6 +19,8 @@ BANDS = HASHES // BAND
 TOLERANCE = 1e-6
 #: Rows of a tile and of a bucket, for signatures and for shingle sets.
 SIGNATURE_TILE, SIGNATURE_BUCKET, SET_TILE, SET_BUCKET = 512, 4096, 192, 768
+#: Pairs whose band codes (320 bytes a row) are compared at once.
+PAIRS = 25_000
 
 _MULTIPLY = np.random.default_rng(41).integers(0, 1 << 31, HASHES, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(43).integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -93,6 +95,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(sums[0], mask=empty), pa.array(sums[1], mask=empty), pa.array(sizes), pa.array(sigs, pa.binary())],
                     ["k", "class_a", "class_b", "shingles", "sig"],
                 )
+        give_back()
 
     return docs.mapInArrow(describe, "k long, class_a long, class_b long, shingles long, sig binary")
 
@@ -105,6 +108,7 @@ def _prune(threshold: float):
     needed = least_matches(threshold)
 
     def prune(table: pa.Table) -> pa.Table:
+        give_back()
         get = lambda name: table.column(name).to_numpy()
         rep, key, tile, a, b = (get(c) for c in ("rep", "key", "tile", "tile_a", "tile_b"))
         sig = _matrix(table.column("sig"), np.uint8, HASHES)
@@ -114,7 +118,7 @@ def _prune(threshold: float):
         last = np.repeat(starts[1:] - 1, np.diff(starts))
         found = [np.zeros((2, 0), np.int64)]
         band = (key >> 48) & 0xFFFF
-        for i, j in pairs_upto(last, 100_000):
+        for i, j in pairs_upto(last, PAIRS):
             i, j = order[i], order[j]
             meet = (tile[i] != tile[j]) | (a[i] == b[i])
             i, j = i[meet], j[meet]
@@ -156,6 +160,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
+        give_back()
         get = lambda name: table.column(name).to_numpy()
         rep, copies, comp, tile, a, b = (get(c) for c in ("rep", "copies", "comp", "tile", "tile_a", "tile_b"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]

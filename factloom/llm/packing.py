@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, text_bytes
+from .common import checkpointed, chunks, give_back, text_bytes
 from .tokenize import encoder, vocabulary
 
 #: Tokens of a sequence; the id that ends a document; pieces that one task packs; rounds of repacking.
@@ -49,6 +49,7 @@ def tokenized_pieces(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                 columns = [batch.column(j).take(take) for j in range(len(keep))]
                 columns += [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(columns, [*keep, "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return rows.mapInArrow(cut, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, checkpointed, chunks, grams, mix, text_bytes
+from .common import Words, checkpointed, chunks, give_back, grams, mix, text_bytes
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -68,6 +68,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             values = np.concatenate(parts) if parts else np.zeros((0, len(STAT_COLUMNS)), np.int64)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(STAT_COLUMNS))]
             yield pa.record_batch(columns, [*keep, *STAT_COLUMNS])
+        give_back()
 
     return rows.mapInArrow(count, schema)
 

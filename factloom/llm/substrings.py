@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, grams, text_bytes, unzip_array, zipped
+from .common import Words, give_back, grams, text_bytes, unzip_array, zipped
 
 #: Words of a seed, and bytes of text that a part (the unit that is compared at once) holds.
 SEED_WORDS, PART_BYTES = 5, 2 << 20
@@ -91,6 +91,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         return ids[words.rows[starts]]
 
     def list_anchors(table: pa.Table) -> pa.Table:
+        give_back()
         _, anchors, _ = _windows(words_of(table), n)
         anchors = np.unique(anchors)
         return pa.table({"anchor": _signed(anchors), "part": pa.array(np.full(len(anchors), table.column("part")[0].as_py()), pa.int32())})
@@ -99,6 +100,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     shared = anchors.withColumn("parts", F.count("*").over(Window.partitionBy("anchor"))).where("parts > 1").select("anchor", F.col("part").alias("in_part"))
 
     def extend(table: pa.Table, seeds: pa.Table) -> pa.Table:
+        give_back()
         words = words_of(table)
         starts, found, h = _windows(words, n)
         wanted = np.sort(_column(seeds, "anchor").view(np.uint64))
@@ -118,6 +120,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     schema = T.StructType([*kinds, *found.fields])
 
     def remove(table: pa.Table, lost: pa.Table) -> pa.Table:
+        give_back()
         texts = unzip_array(table.column("t"))
         data, offsets = text_bytes(texts)
         words = Words(data, offsets)
