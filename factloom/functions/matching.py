@@ -197,3 +197,23 @@ def investigate(a: Column, b: Column, relationship: Column) -> dict[str, Column]
         "relationship": F.when(close, "CORROBORATES").when(disjoint | ~scope, "CONTEXTUAL_DIFFERENCE").when(material, "CONTRADICTS").otherwise(F.coalesce(relationship, F.lit("CONTEXTUAL_DIFFERENCE"))),
         "audit_confidence": pick(96, 98, 94, 97, 93, 88), "review_required": ~close & ~disjoint & scope & material,
     }
+
+
+def pair_flags(a: Column, b: Column, vector_similarity: Column | None = None) -> dict[str, Column]:
+    """subject_match (overlap of 0.3 or more), predicate_match, temporal_match and vector_reason."""
+    reason = F.lit(None).cast("string") if vector_similarity is None else F.when(vector_similarity.isNotNull(), F.format_string("vector_sim_%.2f", vector_similarity))
+    return {"subject_match": token_jaccard(a["subject"], b["subject"]) >= 0.3, "predicate_match": predicate_alignment(a, b)[0], "temporal_match": temporal(a, b)[0], "vector_reason": reason}
+
+
+def card_variance(x: Column, y: Column, relationship: Column) -> Column:
+    """What a pair's card says of its values: exact under half a percent, else the signed percent of
+    the first; nothing for types that don't compare values."""
+    gap, most = F.abs(y - x), F.greatest(F.abs(x), F.abs(y))
+    percent = F.try_divide(y - x, F.abs(x)) * 100
+    text = F.when((gap == 0) | (F.try_divide(gap, most) < 0.005), "Exact match (~0% variance)").otherwise(F.format_string("%s%.1f%% variance", F.when(percent > 0, "+").otherwise(""), percent))
+    return F.when(F.upper(relationship).isin("CORROBORATES", "CONTRADICTS", "CONTEXTUAL_DIFFERENCE") & x.isNotNull() & y.isNotNull() & ((gap == 0) | percent.isNotNull()), text)
+
+
+def telling_factors(factors: Column) -> Column:
+    """Entries of a map of texts that say something."""
+    return F.map_filter(factors, lambda _, v: F.coalesce(~F.lower(F.trim(v)).isin("", "none", "null", "n/a", "unspecified"), F.lit(False)))

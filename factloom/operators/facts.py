@@ -248,3 +248,29 @@ def fact_confidence(facts: DataFrame, quote: str = "quote", page: str = "page_nu
         "score": score, "level": F.when(score >= 80, "HIGH").when(score >= 60, "MEDIUM").otherwise("LOW"),
         "positive_count": F.size(F.filter(signals, lambda s: s == "pass")), "negative_count": F.size(F.filter(signals, lambda s: s != "pass")),
     })
+
+
+def reset_runs(runs: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
+    """Runs with those of `documents` (document_id) that still process turned to FAILED."""
+    named = documents.select("document_id").distinct().withColumn("named", F.lit(True))
+    out = runs.join(named, "document_id", "left")
+    hit = F.coalesce(F.col("named") & (F.col("status") == "PROCESSING"), F.lit(False))
+    return out.withColumns({"changed": hit, "completed_at": F.when(hit, now), "status": F.when(hit, "FAILED").otherwise(F.col("status"))}).drop("named")
+
+
+def update_columns(stored: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`stored` with `columns` from `updates` where it has the key; other rows keep theirs."""
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("hit"))
+    value = lambda c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c) if c in stored.columns else F.lit(None)).alias(c)
+    return stored.join(new, key, "left").select(*[F.col(c) for c in stored.columns if c not in columns], *[value(c) for c in columns])
+
+
+def document_detail(filings: DataFrame, facts: DataFrame, evidence: DataFrame, chunks: DataFrame, runs: DataFrame, now: Column, last: int = 10) -> DataFrame:
+    """Status, counts of facts and chunks, extracted pages and the last runs (newest first) of each document."""
+    n = lambda t, name: t.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(name))
+    pages = extracted_pages(evidence, chunks).withColumnRenamed("document_id", "id")
+    order = Window.partitionBy("document_id").orderBy(F.col("started_at").desc_nulls_first(), "id")
+    latest = runs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= last)
+    latest = latest.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("id").alias("run_id"), "status", "started_at"))).alias("runs"))
+    out = document_status(filings, runs, now).drop("document_id").join(n(facts, "facts"), "id", "left").join(n(chunks, "chunks"), "id", "left")
+    return out.join(pages, "id", "left").join(latest, "id", "left").fillna(0, ["facts", "chunks", "n_pages"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.matching import candidate, rule_relationship, tokens
+from factloom.functions.matching import candidate, hybrid_score, rule_relationship, tokens
 
 
 def _incidence(lists) -> np.ndarray:
@@ -148,3 +148,21 @@ def similar_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, least: flo
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+
+
+def candidates_for_fact(queries: DataFrame, pool: DataFrame, k: int = 10, least: float = 0.5, require_cross: bool = True, salts: int = 64) -> DataFrame:
+    """(query_id, id, score, rank): the k best candidates of every query fact among a pool of facts.
+
+    Queries are repeated over `salts` parts of the pool, so that a dataset of any size is spread over
+    as many tasks; pairs are scored as they are made, and each task keeps the k best of a query
+    before they are exchanged.
+    """
+    side = lambda t: F.struct(*[c for c in t.columns])
+    q = queries.select("dataset_id", side(queries).alias("a"), F.explode(F.expr(f"sequence(0, {salts - 1})")).alias("salt"))
+    p = pool.select("dataset_id", side(pool).alias("b"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = q.join(p, ["dataset_id", "salt"])
+    ok, _ = candidate(F.col("a"), F.col("b"), require_cross)
+    scored = pairs.where(ok).select(F.col("a.id").alias("query_id"), F.col("b.id").alias("id"), hybrid_score(F.col("a"), F.col("b")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # The bound on the score comes after the rank: before it, scores would be computed twice.
+    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= least))

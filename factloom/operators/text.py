@@ -213,3 +213,19 @@ def format_value(value: Column, unit: Column) -> Column:
     sign = F.when(inr, "₹").when(F.upper(unit) == "USD", "$").otherwise("")
     body = F.when(inr & (size >= 1e7), short(1e7, " Cr")).when(inr & (size >= 1e5), short(1e5, " Lakh")).when(size >= 1e9, short(1e9, "B")).when(size >= 1e6, short(1e6, "M")).when(size >= 1e3, short(1e3, "K")).otherwise(F.format_string("%.2f", value))
     return F.when(value.isNull(), "—").otherwise(F.concat(sign, body))
+
+
+def format_bytes(size: Column) -> Column:
+    """B, KB, MB or GB with one place, which is left out if it is 0."""
+    step = F.least(F.floor(F.log(2.0, size) / 10), F.lit(3)).cast("int")
+    shown = F.regexp_replace(F.format_string("%.1f", size / F.pow(F.lit(1024.0), step)), r"\.0$", "")
+    names = F.array(*[F.lit(x) for x in ("B", "KB", "MB", "GB")])
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "0 B").otherwise(F.concat_ws(" ", shown, F.get(names, step)))
+
+
+def format_date(at: Column) -> Column:
+    return F.coalesce(F.date_format(at, "MMM d, yyyy"), F.lit("—"))
+
+
+def format_confidence(score: Column) -> Column:
+    return F.coalesce(F.concat(F.floor(score * 100 + 0.5).cast("string"), F.lit("%")), F.lit("—"))

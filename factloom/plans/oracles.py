@@ -145,3 +145,41 @@ SQL["candidate_pairs"] = f"""WITH f AS (SELECT f.*, v.embedding, {_tokens('predi
 SELECT * FROM (SELECT a.id AS fact_a_id, b.id AS fact_b_id, a.dataset_id, round(CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN 0.65 * greatest(least(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 1.0), 0.0) + 0.20 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END + 0.15 * {_jaccard('a.ts', 'b.ts')}
 ELSE 0.50 * {_jaccard('a.tc', 'b.tc')} + 0.30 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END + 0.20 * {_jaccard('a.ts', 'b.ts')} END, 4) AS score
 FROM f a JOIN f b ON a.dataset_id = b.dataset_id AND a.id < b.id AND a.document_id <> b.document_id AND (a.normalized_unit IS NULL OR b.normalized_unit IS NULL OR a.normalized_unit = b.normalized_unit OR (a.normalized_unit IN ('INR', 'USD') AND b.normalized_unit IN ('INR', 'USD')))) WHERE score >= 0.45"""
+
+_TRIMMED = _TRIM.format("quote")
+DUCK["d_items"] = """SELECT *, CASE WHEN page_number % 4 < 2 THEN spot END AS named, CASE WHEN page_number % 5 = 0 THEN 'nothing of the kind' ELSE substring(text, 11, 30) END AS quote
+    FROM (SELECT *, concat(document_id, '/', (page_number - 1) // 2) AS batch_id, (page_number - 1) % 2 + 1 AS spot FROM {fx_pages})"""
+DUCK["d_resolved"] = """SELECT i.batch_id, i.page_number AS position, i.quote, CASE WHEN tier < 2 THEN c.id END AS chunk_id, CASE WHEN tier < 2 THEN c.text END AS chunk_text FROM (SELECT i.*, c.id AS c_id, CASE WHEN c.spot = i.named THEN 0 WHEN i.quote <> '' AND contains(c.text, i.quote) THEN 1 ELSE 2 END AS tier, c.spot AS c_spot
+    FROM {d_items} i JOIN {d_items} c ON c.batch_id = i.batch_id) i JOIN {d_items} c ON c.id = i.c_id QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY tier, c_spot) = 1"""
+SQL["chunk_of_fact"] = "SELECT batch_id, position, chunk_id FROM {d_resolved}"
+SQL["rejection_counts"] = rf"SELECT batch_id, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM (SELECT batch_id, coalesce(chunk_id IS NOT NULL AND {_TRIMMED} <> '' AND contains(chunk_text, {_TRIMMED}), false) AS ok FROM {{d_resolved}}) GROUP BY 1"
+SQL["ground_facts"] = rf"""SELECT id, CASE WHEN c > 0 THEN c - 1 WHEN p > 0 THEN p - 1 END AS start, CASE WHEN c > 0 THEN 'chunk' WHEN p > 0 THEN 'page' END AS offset_base, c > 0 OR p > 0 AS grounded
+    FROM (SELECT id, CASE WHEN q = '' OR q IS NULL THEN 0 WHEN page_number % 2 = 1 THEN coalesce(strpos(text, q), 0) ELSE coalesce(strpos(substring(text, 1, 12), q), 0) END AS c, CASE WHEN q = '' OR q IS NULL OR page_number % 3 = 0 THEN 0 ELSE coalesce(strpos(text, q), 0) END AS p
+    FROM (SELECT *, {_TRIM.format("substring(text, 11, 30)")} AS q FROM {{fx_pages}}))"""
+SQL["build_facts"] = """SELECT id AS page_id, dataset_id AS subject, concat('page ', page_number) AS raw_claim, 'q' AS quote, v AS value_text, coalesce(r, v, concat(page_number, '.0')) AS raw_value_text, n AS value_numeric, least(page_number / 10.0, 1.0)::DOUBLE AS confidence
+    FROM (SELECT *, CASE WHEN page_number % 3 = 0 THEN 'v' WHEN n IS NULL THEN coalesce(r, concat('page ', page_number, ' ')) END AS v FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 'raw' END AS r, CASE WHEN page_number % 2 = 0 THEN CAST(page_number AS DOUBLE) END AS n FROM {fx_pages} WHERE page_number % 7 > 0))"""
+SQL["chunk_index"] = "SELECT id, i - 1 AS chunk_index, length(l[i]) AS n_chars FROM (SELECT id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT id, string_split(text, chr(10)) AS l FROM {fx_pages}))"
+SQL["upsert_chunks"] = "SELECT id AS page_id, 0 AS chunk_index, CASE WHEN page_number <= 4 THEN concat('old-', id) ELSE id END AS id, CASE WHEN page_number >= 3 THEN -1 ELSE length(text) END AS n_chars FROM {fx_pages}"
+SQL["validate_chunks"] = r"SELECT id, concat_ws(',', CASE WHEN page_number % 3 = 0 OR NOT coalesce(regexp_matches(text, '\S'), false) THEN 'text' END, CASE WHEN page_number < 2 THEN 'start' END, CASE WHEN page_number % 5 < page_number - 2 THEN 'order' END) AS violations FROM {fx_pages}"
+SQL["update_normalization"] = "SELECT f.id, CASE WHEN f.k <= 2 THEN d.nv END AS normalized_value_numeric, CASE WHEN f.k <= 2 THEN d.normalized_unit END AS normalized_unit FROM {fx_facts} f JOIN {d_facts} d ON d.id = f.id"
+SQL["update_embeddings"] = "SELECT f.id, coalesce(len(v.embedding), 0) AS n FROM {fx_facts} f LEFT JOIN {fx_vectors} v ON v.id = f.id"
+_COUNTED = "length({0}) AS n_chars, length(regexp_replace({0}, '[^0-9]', '', 'g')) AS n_digits"
+SQL["unembedded_facts"] = f"SELECT t.id, {_COUNTED.format('t.text')} FROM ({SQL['fact_embedding_text']}) t JOIN {{fx_vectors}} v ON v.id = t.id WHERE v.embedding IS NULL"
+SQL["reindex_chunks"] = f"SELECT id, {_COUNTED.format('text')} FROM {{fx_pages}}"
+SQL["reset_runs"] = "SELECT id, CASE WHEN s THEN 'FAILED' ELSE status END AS status, s AS changed FROM (SELECT *, status = 'PROCESSING' AND document_id % 7 = 0 AS s FROM {fx_runs})"
+_OWNER = "concat(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][{0} % 5 + 1], '-d', {0} % 3 + 1)"
+SQL["document_detail"] = f"""WITH r AS (SELECT *, {_OWNER.format('document_id')} AS d FROM {{fx_runs}} QUALIFY row_number() OVER (PARTITION BY d ORDER BY started_at DESC NULLS FIRST, id) <= 10),
+    c AS (SELECT {_OWNER.format('page_number')} AS d, page_number FROM {{fx_pages}}), p AS (SELECT f.document_id AS d, e.page_number FROM {{fx_evidence}} e JOIN {{fx_facts}} f ON f.id = e.fact_id UNION ALL SELECT * FROM c)
+    SELECT g.id, coalesce((SELECT arg_min(CASE WHEN status = 'PROCESSING' AND started_at < CAST('2024-01-30 23:55:00' AS TIMESTAMP) THEN 'failed' ELSE lower(status) END, t) FROM (SELECT *, row_number() OVER (ORDER BY started_at DESC NULLS FIRST, id) AS t FROM r WHERE d = g.id)), 'ingested') AS shown_status,
+    (SELECT count(*) FROM {{fx_facts}} WHERE document_id = g.id) AS facts, (SELECT count(*) FROM c WHERE d = g.id) AS chunks, (SELECT count(DISTINCT page_number) FROM p WHERE d = g.id) AS n_pages, (SELECT string_agg(id, ',' ORDER BY started_at DESC NULLS FIRST, id) FROM r WHERE d = g.id) AS runs FROM {{fx_filings}} g"""
+for _name in ("flt_dataset", "flt_non_self", "flt_cross_document", "flt_not_same_page"):
+    SQL[_name] = f"SELECT fact_a_id, fact_b_id, {_name} AS ok FROM ({SQL['pair_filters']})"
+SQL["pair_flags"] = "SELECT fact_a_id, fact_b_id, true AS subject_match, true AS predicate_match, ok_t AS temporal_match FROM {d_pairs}"
+SQL["card_variance"] = """SELECT fact_a_id, fact_b_id, CASE WHEN relationship_type IN ('RELATED', 'UNCERTAIN') OR x IS NULL OR y IS NULL THEN NULL WHEN x = y OR abs(y - x) / greatest(abs(x), abs(y)) < 0.005 THEN 'Exact match (~0% variance)' WHEN x = 0 THEN NULL
+    ELSE concat(CASE WHEN y > x THEN '+' ELSE '' END, printf('%.1f', pct + CASE WHEN abs(pct) * 4 % 2 = 1 THEN sign(pct) * 0.01 ELSE 0 END), '% variance') END AS variance, (sa IS NOT NULL)::INT + (sb IS NOT NULL)::INT + 1 AS n_factors
+    FROM (SELECT *, (y - x) / nullif(abs(x), 0) * 100 AS pct FROM (SELECT *, a.nv AS x, b.nv AS y, a.scope AS sa, b.scope AS sb FROM {d_pairs}))"""
+SQL["max_candidates"] = f"SELECT dataset_id, fact_a_id, fact_b_id, score FROM ({SQL['candidate_pairs']}) QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, fact_a_id, fact_b_id) <= 20"
+SQL["candidates_for_fact"] = f"""SELECT query_id, id, score FROM (SELECT q AS query_id, id, score FROM (SELECT fact_a_id AS q, fact_b_id AS id, score FROM ({SQL['candidate_pairs']}) UNION ALL SELECT fact_b_id, fact_a_id, score FROM ({SQL['candidate_pairs']})))
+    WHERE query_id IN (SELECT id FROM {{fx_facts}} WHERE k = 1 AND bn % 10 = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
+SQL["format_misc"] = """SELECT o_orderkey, CASE WHEN n <= 0 THEN '0 B' ELSE concat(regexp_replace(printf('%.1f', floor(n / pow(1024.0, i) * 10 + 0.5) / 10), '[.]0$', ''), ' ', ['B', 'KB', 'MB', 'GB'][i + 1]) END AS size, strftime(o_orderdate, '%b %-d, %Y') AS day, concat(CAST(o_orderkey % 101 AS BIGINT), '%') AS confidence
+    FROM (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS i FROM (SELECT *, CAST(trunc(o_totalprice * (o_orderkey % 1000)) AS BIGINT) AS n FROM orders))"""

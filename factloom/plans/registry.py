@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from factloom.functions import matching as M
 from factloom.functions import normalize as N
 from factloom.operators import compare as C
+from factloom.operators import extraction as E
 from factloom.operators import facts as O
 from factloom.operators import pairs as P
 from factloom.operators import text as X
 
+from factloom.sources.files import scan_files
+
 from .fixtures import NOW, frame, sql
 from .oracles import DUCK, SQL
 
@@ -497,6 +500,181 @@ def parse_model_answers(documents):
     return parsed.select("batch_id", F.col("position").cast("long").alias("position"), F.col("item.subject").alias("subject"), F.col("item.value_numeric").try_cast("double").alias("value_numeric"))
 
 
+# --- extraction, grounding and stored tables
+
+
+QUERIES["scan_files"] = lambda spark, sf_dir: scan_files(spark, sf_dir, "*.parquet").select("filename", "length")
+
+
+def _chunks(pages):
+    """Whole pages as chunks: two of a document make a batch."""
+    return pages.select(
+        "document_id", F.concat_ws("/", "document_id", F.floor((F.col("page_number") - 1) / 2).cast("string")).alias("batch_id"), ((F.col("page_number") - 1) % 2 + 1).alias("at"),
+        F.col("id").alias("chunk_id"), F.col("id").alias("page_id"), F.col("text").alias("chunk_text"), F.col("text").alias("page_text"), "page_number",
+    )
+
+
+def _items(pages):
+    n = F.col("page_number")
+    label = F.when(n % 4 == 0, F.concat(F.lit("chunk_"), F.col("at").cast("string"))).when(n % 4 == 1, F.concat(F.lit(" CHUNK "), F.col("at").cast("string"))).when(n % 4 == 2, "chunk_9")
+    quote = F.when(n % 5 == 0, "nothing of the kind").otherwise(F.substring("chunk_text", 11, 30))
+    return _chunks(pages).select("batch_id", n.alias("position"), label.alias("label"), quote.alias("quote"))
+
+
+def _resolved(pages):
+    return E.chunk_of_fact(_items(pages), _chunks(pages).drop("document_id", "page_number"))
+
+
+@query("fx_pages")
+def chunk_of_fact(pages):
+    return _resolved(pages).select("batch_id", "position", "chunk_id")
+
+
+@query("fx_pages")
+def ground_facts(pages):
+    n = F.col("page_number")
+    items = pages.select("id", F.substring("text", 11, 30).alias("quote"), F.when(n % 2 == 1, F.col("text")).otherwise(F.substring("text", 1, 12)).alias("chunk_text"), F.when(n % 3 > 0, F.col("text")).alias("page_text"))
+    return X.ground_facts(items).select("id", F.col("start").cast("long").alias("start"), "offset_base", "grounded")
+
+
+@query("fx_pages")
+def rejection_counts(pages):
+    return E.rejection_counts(X.ground_facts(_resolved(pages)), ("batch_id",))
+
+
+@query("fx_pages")
+def build_facts(pages):
+    n = F.col("page_number")
+    item = F.struct(
+        F.concat(F.lit("  "), "dataset_id").alias("subject"), F.col("document_id").alias("predicate"), F.concat(F.lit("page "), n.cast("string"), F.lit(" ")).alias("raw_claim"), F.lit(" q ").alias("quote"),
+        F.when(n % 3 == 0, "v").alias("value_text"), F.when(n % 5 == 0, "raw").otherwise("").alias("raw_value_text"), F.when(n % 2 == 0, n.cast("string")).alias("value_numeric"),
+        *[F.lit(None).cast("string").alias(c) for c in ("unit", "fact_type", "period_text", "scope", "status")], (n / 10).cast("string").alias("confidence"),
+    )
+    rows = pages.select("document_id", F.col("id").alias("batch_id"), n.alias("position"), F.col("id").alias("page_id"), F.col("id").alias("chunk_id"), item.alias("item"), (n % 7 > 0).alias("grounded"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("chunk").alias("offset_base"))
+    return E.build_facts(rows).select("page_id", "subject", "raw_claim", "quote", "value_text", "raw_value_text", "value_numeric", "confidence")
+
+
+@query("fx_pages")
+def process_document(pages):
+    p = pages.select("document_id", F.col("id").alias("page_id"), "page_number", "text")
+    item = F.struct(F.concat(F.lit("chunk_"), F.col("at").cast("string")).alias("chunk_id"), F.col("document_id").alias("subject"), F.lit("words").alias("predicate"), F.substring("text", 1, 80).alias("raw_claim"), F.substring("text", 1, 60).alias("quote"))
+    answers = E.batched_chunks(p).groupBy("batch_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("facts"))).alias("answer"))
+    stored = p.where("page_number = 1").select("document_id", F.substring("text", 1, 80).alias("raw_claim"), F.substring("text", 1, 60).alias("quote"))
+    facts, counts = E.process_documents(p, answers, stored)
+    owner = F.element_at(F.split("batch_id", "/"), 1).alias("document_id")
+    return counts.groupBy(owner).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).join(facts.groupBy("document_id").agg(F.count("*").alias("stored")), "document_id", "left")
+
+
+@query("fx_pages")
+def chunk_index(pages):
+    lines = pages.select("id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"))
+    return lines.select("id", F.col("chunk_index").cast("long").alias("chunk_index"), F.char_length("line").alias("n_chars"))
+
+
+@query("fx_pages")
+def upsert_chunks(pages):
+    c = pages.select(F.col("id").alias("page_id"), F.lit(0).alias("chunk_index"), F.col("id"), F.char_length("text").alias("n_chars"), "page_number")
+    old = c.where("page_number <= 4").withColumn("id", F.concat(F.lit("old-"), "id"))
+    return O.upsert(old, c.where("page_number >= 3").withColumn("n_chars", F.lit(-1)), ["page_id", "chunk_index"], ["id"]).drop("page_number")
+
+
+@query("fx_pages")
+def validate_chunks(pages):
+    n = F.col("page_number")
+    spans = pages.select("id", F.when(n % 3 == 0, " ").otherwise(F.col("text")).alias("text"), (n - 2).alias("start_offset"), (n % 5).alias("end_offset"))
+    return O.validate_evidence(spans, "text").select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("fx_facts", "facts")
+def update_normalization(stored, facts):
+    columns = ["normalized_value_numeric", "normalized_unit"]
+    return O.update_columns(stored, facts.where("k <= 2"), "id", columns).select("id", *columns)
+
+
+@query("fx_facts", "fx_vectors")
+def update_embeddings(stored, vectors):
+    out = O.update_columns(stored, vectors.where("embedding IS NOT NULL"), "id", ["embedding"])
+    return out.select("id", F.size(F.coalesce("embedding", F.array().cast("array<float>"))).cast("long").alias("n"))
+
+
+def _lengths(texts):
+    """Stands for a model: characters and digits of each text."""
+    return [[float(len(t)), float(sum(c in "0123456789" for c in t))] for t in texts]
+
+
+def _embedded(rows, text):
+    done = X.embed(rows.withColumn("embedding", F.lit(None).cast("array<double>")), text, _lengths)
+    return done.select("id", F.col("embedding")[0].cast("long").alias("n_chars"), F.col("embedding")[1].cast("long").alias("n_digits"))
+
+
+@query("facts", "fx_vectors")
+def unembedded_facts(facts, vectors):
+    bare = facts.join(vectors.where("embedding IS NULL").select("id"), "id", "left_semi")
+    return _embedded(bare.select("id", X.fact_embedding_text().alias("text")), "text")
+
+
+@query("fx_pages")
+def reindex_chunks(pages):
+    return _embedded(pages.select("id", "text"), "text")
+
+
+@query("fx_runs")
+def reset_runs(runs):
+    return O.reset_runs(runs, runs.where("document_id % 7 = 0"), F.expr(NOW)).select("id", "status", "changed")
+
+
+@query("fx_filings", "fx_facts", "fx_evidence", "fx_pages", "fx_runs")
+def document_detail(filings, facts, evidence, pages, runs):
+    region = F.array(*[F.lit(x) for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])
+    of = lambda c: F.concat(F.get(region, (F.col(c) % 5).cast("int")), F.lit("-d"), (F.col(c) % 3 + 1).cast("string"))
+    e = evidence.join(facts.select(F.col("id").alias("fact_id"), "document_id"), "fact_id")
+    chunks = pages.select(of("page_number").alias("document_id"), "page_number")
+    out = O.document_detail(filings, facts, e, chunks, runs.withColumn("document_id", of("document_id")), F.expr(NOW))
+    return out.select("id", "shown_status", "facts", "chunks", "n_pages", F.array_join(F.transform("runs", lambda x: x["run_id"].cast("string")), ",").alias("runs"))
+
+
+# --- more of pairs and formats
+
+
+def _one_filter(name: str):
+    rule = {"flt_dataset": M.same_dataset, "flt_non_self": M.non_self, "flt_cross_document": M.cross_document, "flt_not_same_page": M.not_same_page}[name]
+    QUERIES[name] = lambda spark, sf_dir: _table(spark, sf_dir, "pairs").select(*IDS, rule(F.col("a"), F.col("b")).alias("ok"))
+
+
+for _name in ("flt_dataset", "flt_non_self", "flt_cross_document", "flt_not_same_page"):
+    _one_filter(_name)
+
+
+@query("pairs")
+def pair_flags(pairs):
+    flags = M.pair_flags(F.col("a"), F.col("b"))
+    return pairs.select(*IDS, *[c.alias(k) for k, c in flags.items() if k != "vector_reason"])
+
+
+@query("pairs")
+def card_variance(pairs):
+    a, b = F.col("a"), F.col("b")
+    factors = F.create_map(F.lit("scope_a"), a["scope"], F.lit("scope_b"), b["scope"], F.lit("status"), a["status"], F.lit("unit"), F.coalesce(a["unit"], F.lit(" None ")))
+    return pairs.select(*IDS, M.card_variance(a["normalized_value_numeric"], b["normalized_value_numeric"], F.col("relationship_type")).alias("variance"), F.size(M.telling_factors(factors)).cast("long").alias("n_factors"))
+
+
+@query("facts", "fx_vectors")
+def max_candidates(facts, vectors):
+    return P.max_candidates(P.candidate_scores(facts.join(vectors, "id", "left"), 0.45), 20).select("dataset_id", *IDS, "score")
+
+
+@query("facts", "fx_vectors")
+def candidates_for_fact(facts, vectors):
+    f = facts.join(vectors, "id", "left")
+    return P.candidates_for_fact(f.where("k = 1 AND bn % 10 = 1"), f, 10, 0.45).select("query_id", "id", "score")
+
+
+@query("orders")
+def format_misc(orders):
+    return orders.select("o_orderkey", X.format_bytes((F.col("o_totalprice") * (F.col("o_orderkey") % 1000)).cast("long")).alias("size"), X.format_date(F.col("o_orderdate")).alias("day"), X.format_confidence((F.col("o_orderkey") % 101) / 100).alias("confidence"))
+
+
+
 ORACLES: dict[str, str] = {name: sql(body, DUCK) for name, body in SQL.items()}
 
 
