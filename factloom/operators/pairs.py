@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.matching import candidate, hybrid_score, rule_relationship, tokens
+from factloom.functions.matching import candidate, jaccard, rule_relationship, tokens
 
 
 def _incidence(lists) -> np.ndarray:
@@ -150,6 +150,16 @@ def similar_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, least: flo
 
 
 
+def _scored_side(facts: DataFrame) -> DataFrame:
+    """dataset_id and a struct of what a pair's score needs: tokens and the unit vector, made once a fact."""
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    slim = [c for c in facts.columns if c != "embedding"]
+    made = {"vector": unit, "t_predicate": tokens(F.col("predicate")), "t_subject": tokens(F.col("subject")), "t_claim": tokens(F.col("raw_claim"))}
+    return facts.select("dataset_id", F.struct(*slim, *[c.alias(k) for k, c in made.items()]).alias("f"))
+
+
 def candidates_for_fact(queries: DataFrame, pool: DataFrame, k: int = 10, least: float = 0.5, require_cross: bool = True, salts: int = 64) -> DataFrame:
     """(query_id, id, score, rank): the k best candidates of every query fact among a pool of facts.
 
@@ -157,12 +167,16 @@ def candidates_for_fact(queries: DataFrame, pool: DataFrame, k: int = 10, least:
     as many tasks; pairs are scored as they are made, and each task keeps the k best of a query
     before they are exchanged.
     """
-    side = lambda t: F.struct(*[c for c in t.columns])
-    q = queries.select("dataset_id", side(queries).alias("a"), F.explode(F.expr(f"sequence(0, {salts - 1})")).alias("salt"))
-    p = pool.select("dataset_id", side(pool).alias("b"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = q.join(p, ["dataset_id", "salt"])
-    ok, _ = candidate(F.col("a"), F.col("b"), require_cross)
-    scored = pairs.where(ok).select(F.col("a.id").alias("query_id"), F.col("b.id").alias("id"), hybrid_score(F.col("a"), F.col("b")).alias("score"))
+    q = _scored_side(queries).select("dataset_id", F.col("f").alias("a"), F.explode(F.expr(f"sequence(0, {salts - 1})")).alias("salt"))
+    p = _scored_side(pool).select("dataset_id", F.col("f").alias("b"), F.pmod(F.xxhash64("f.id"), F.lit(salts)).cast("int").alias("salt"))
+    a, b = F.col("a"), F.col("b")
+    ok, _ = candidate(a, b, require_cross)
+    share = lambda c: jaccard(a[c], b[c])
+    dot = F.when(F.size(a["vector"]) == F.size(b["vector"]), F.aggregate(F.zip_with(a["vector"], b["vector"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+    vectors = a["vector"].isNotNull() & b["vector"].isNotNull()
+    score = F.when(vectors, 0.65 * F.greatest(F.least(dot, F.lit(1.0)), F.lit(0.0)) + 0.20 * share("t_predicate") + 0.15 * share("t_subject"))
+    score = F.round(score.otherwise(0.50 * share("t_claim") + 0.30 * share("t_predicate") + 0.20 * share("t_subject")), 4)
+    scored = q.join(p, ["dataset_id", "salt"]).where(ok).select(a["id"].alias("query_id"), b["id"].alias("id"), score.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     # The bound on the score comes after the rank: before it, scores would be computed twice.
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= least))

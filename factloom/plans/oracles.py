@@ -176,7 +176,7 @@ for _name in ("flt_dataset", "flt_non_self", "flt_cross_document", "flt_not_same
     SQL[_name] = f"SELECT fact_a_id, fact_b_id, {_name} AS ok FROM ({SQL['pair_filters']})"
 SQL["pair_flags"] = "SELECT fact_a_id, fact_b_id, true AS subject_match, true AS predicate_match, ok_t AS temporal_match FROM {d_pairs}"
 SQL["card_variance"] = """SELECT fact_a_id, fact_b_id, CASE WHEN relationship_type IN ('RELATED', 'UNCERTAIN') OR x IS NULL OR y IS NULL THEN NULL WHEN x = y OR abs(y - x) / greatest(abs(x), abs(y)) < 0.005 THEN 'Exact match (~0% variance)' WHEN x = 0 THEN NULL
-    ELSE concat(CASE WHEN y > x THEN '+' ELSE '' END, printf('%.1f', pct + CASE WHEN abs(pct) * 4 % 2 = 1 THEN sign(pct) * 0.01 ELSE 0 END), '% variance') END AS variance, (sa IS NOT NULL)::INT + (sb IS NOT NULL)::INT + 1 AS n_factors
+    ELSE concat(CASE WHEN y > x THEN '+' ELSE '' END, CAST(round(CAST(CAST(pct AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DECIMAL(38, 1)), '% variance') END AS variance, (sa IS NOT NULL)::INT + (sb IS NOT NULL)::INT + 1 AS n_factors
     FROM (SELECT *, (y - x) / nullif(abs(x), 0) * 100 AS pct FROM (SELECT *, a.nv AS x, b.nv AS y, a.scope AS sa, b.scope AS sb FROM {d_pairs}))"""
 SQL["max_candidates"] = f"SELECT dataset_id, fact_a_id, fact_b_id, score FROM ({SQL['candidate_pairs']}) QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, fact_a_id, fact_b_id) <= 20"
 SQL["candidates_for_fact"] = f"""SELECT query_id, id, score FROM (SELECT q AS query_id, id, score FROM (SELECT fact_a_id AS q, fact_b_id AS id, score FROM ({SQL['candidate_pairs']}) UNION ALL SELECT fact_b_id, fact_a_id, score FROM ({SQL['candidate_pairs']})))
