@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,17 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, mix, text_bytes
+from .common import Words, chunks, give_back, grams, mix, text_bytes
 
 #: Features of the text view (hashed words, word pairs and marks) and of the metadata view (hashed
 #: language and source, and measures of the page's shape).
 TEXT_FEATURES, PAGE_FEATURES = 1 << 14, 1 << 8
-#: Labelled documents of each label and unlabelled documents that the models are fitted on, on
-#: average (they are drawn by a hash); all documents are scored.
-PER_LABEL, POOL = 1500, 3000
-#: Rounds, pseudo-labels of each label that a view gives the other in a round, and the least
-#: calibrated probability of one.
-ROUNDS, GIVEN, SURE = 5, 150, 0.9
+#: Labelled documents of each label that the models are fitted on, on average (they are drawn by a
+#: hash). All other documents take part in every round, and all are scored.
+PER_LABEL = 1500
+#: Rounds, and the least calibrated probability of a pseudo-label.
+ROUNDS, SURE = 5, 0.9
+#: Weight of a pseudo-label; those of one label weigh together at most this times its labelled rows.
+GIVEN_WEIGHT = 0.5
+#: Sums over documents are whole numbers of 1 / UNIT, so that they are the same in any order and
+#: partitioning; they travel in slots of SLOT numbers.
+UNIT, SLOT = 1 << 20, 1 << 12
 EPOCHS, RATE, PENALTY = 10, 0.5, 1e-4
 SHAPE = 8
 
@@ -64,6 +69,19 @@ def page_rows(data: np.ndarray, offsets: np.ndarray, lang: list, source: list) -
     return out
 
 
+@dataclass
+class Given:
+    """A quadratic bound on the loss of a view's pseudo-labelled rows, around the weights at which
+    they were summed: slope and curvature of each weight and of the bias."""
+
+    weights: np.ndarray
+    bias: float
+    slope: np.ndarray
+    curve: np.ndarray
+    slope_b: float
+    curve_b: float
+
+
 @dataclass
 class View:
     """A logistic regression with Platt's two numbers for calibration."""
@@ -79,17 +97,23 @@ class View:
     def calibrated(self, raw):
         return self.scale[0] * raw + self.scale[1]
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, seed: int) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int, given: Given | None = None) -> None:
+        """Adaptive gradient steps on labelled rows; after each pass over them a proximal step in the
+        same metric on the bound that `given` sets to the loss of all pseudo-labelled rows."""
         w, n, b, nb = np.zeros(self.size), np.full(self.size, 1e-8), 0.0, 1e-8
         for epoch in range(EPOCHS):
             for i in np.random.default_rng([seed, epoch]).permutation(len(rows)):
                 at, x = rows[i]
-                g = (1 / (1 + np.exp(-np.clip(x @ w[at] + b, -30, 30))) - y[i]) * weight[i]
+                g = 1 / (1 + np.exp(-np.clip(x @ w[at] + b, -30, 30))) - y[i]
                 step = g * x + PENALTY * w[at]
                 n[at] += step * step
                 w[at] -= RATE * step / np.sqrt(n[at])
                 nb += g * g
                 b -= RATE * g / np.sqrt(nb)
+            if given is not None:
+                metric, metric_b = np.sqrt(n) / RATE, np.sqrt(nb) / RATE
+                w = (metric * w + given.curve * given.weights - given.slope) / (metric + given.curve)
+                b = (metric_b * b + given.curve_b * given.bias - given.slope_b) / (metric_b + given.curve_b)
         self.weights, self.bias = w.astype(np.float32), float(b)
 
     def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
@@ -121,12 +145,39 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(text_logit + page_logit - self.prior, -30, 30)))
 
 
-def co_train(labelled: list, pool: list, seed: int = 5) -> CoTrained:
-    """Fits on (y, text row, page row) and exchanges pseudo-labels on (None, text row, page row).
+def no_sums() -> list[list[np.ndarray]]:
+    """Of each view and label: rows, slope and curvature of the bias, then those of all weights."""
+    return [[np.zeros(3 + 2 * size, np.int64) for _ in range(2)] for size in (TEXT_FEATURES, PAGE_FEATURES)]
+
+
+def add_given(sums: list[list[np.ndarray]], views: list[View], row: tuple) -> None:
+    """Adds an unlabelled row (text row, page row) to the sums of each view that the other is sure for.
+
+    The curvature |x| * sum|x| / 4 of a weight bounds the logistic loss everywhere.
+    """
+    raw = [view.raw(*row[k]) for k, view in enumerate(views)]
+    for k, view in enumerate(views):
+        if view.scale[0] <= 0:  # what tells nothing about the label gives none
+            continue
+        p = 1 / (1 + np.exp(-np.clip(view.calibrated(raw[k]), -30, 30)))
+        if 1 - SURE < p < SURE:
+            continue
+        label, to, (at, x) = int(p >= SURE), 1 - k, row[1 - k]
+        x = x.astype(float)
+        g = 1 / (1 + np.exp(-np.clip(raw[to], -30, 30))) - label
+        most = (np.abs(x).sum() + 1) / 4
+        s, size = sums[to][label], views[to].size
+        s[:3] += 1, round(g * UNIT), round(most * UNIT)
+        s[3 + at] += np.rint(g * x * UNIT).astype(np.int64)
+        s[3 + size + at] += np.rint(np.abs(x) * most * UNIT).astype(np.int64)
+
+
+def co_train(labelled: list, exchange: Callable[[list[View]], list[list[np.ndarray]]], seed: int = 5) -> CoTrained:
+    """Fits on (y, text row, page row) and on the pseudo-labels that the views give each other.
 
     A quarter of the labelled rows is kept back for calibration alone. In each round both views are
-    fitted and calibrated, and each hands the other the pool documents of either label that it is
-    surest of, GIVEN at most and with a probability of SURE or more; these leave the pool.
+    fitted and calibrated, and `exchange` sums over every unlabelled row that a view is sure of, with
+    a probability of SURE or more, what it tells the other view.
     """
     order = np.random.default_rng(seed).permutation(len(labelled))
     held, used = order[: len(order) // 4], order[len(order) // 4 :]
@@ -134,29 +185,23 @@ def co_train(labelled: list, pool: list, seed: int = 5) -> CoTrained:
     yh = np.array([labelled[i][0] for i in held], float)
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     views = [View(TEXT_FEATURES), View(PAGE_FEATURES)]
-    extra: list[list[tuple[int, int]]] = [[], []]
-    left, given = list(range(len(pool))), []
+    pulls: list[Given | None] = [None, None]
+    given = []
     for turn in range(ROUNDS + 1):
         for k, view in enumerate(views):
-            rows = [labelled[i][k + 1] for i in used] + [pool[i][k + 1] for i, _ in extra[k]]
-            target = np.concatenate([y, [c for _, c in extra[k]]])
-            view.fit(rows, target, np.concatenate([np.ones(len(y)), np.full(len(extra[k]), 0.5)]), seed)
+            view.fit([labelled[i][k + 1] for i in used], y, seed, pulls[k])
             view.calibrate(np.array([view.raw(*labelled[i][k + 1]) for i in held]), yh)
-        if turn == ROUNDS or not left:
+        if turn == ROUNDS:
             break
-        gone: set[int] = set()
-        counts = []
-        for k, view in enumerate(views):
-            p = 1 / (1 + np.exp(-np.clip([view.calibrated(view.raw(*pool[i][k + 1])) for i in left], -30, 30)))
-            rank = np.argsort(p, kind="stable")
-            picks = [(left[j], 1) for j in rank[::-1][:GIVEN] if p[j] >= SURE] + [(left[j], 0) for j in rank[:GIVEN] if p[j] <= 1 - SURE]
-            extra[1 - k] += picks
-            gone |= {i for i, _ in picks}
-            counts.append(len(picks))
-        given.append(tuple(counts))
-        left = [i for i in left if i not in gone]
-        if not gone:
+        sums = exchange(views)
+        counts = [[int(s[0]) for s in of] for of in sums]
+        given.append((sum(counts[1]), sum(counts[0])))  # by the view that gives
+        if not any(given[-1]):
             break
+        for k, view in enumerate(views):
+            share = [GIVEN_WEIGHT * min(1.0, float((y == c).sum()) / max(1, counts[k][c])) / UNIT for c in (0, 1)]
+            both = share[0] * sums[k][0] + share[1] * sums[k][1]
+            pulls[k] = Given(view.weights, view.bias, both[3 : 3 + view.size], both[3 + view.size :], both[1], both[2])
     return CoTrained(*views, prior, given)
 
 
@@ -179,20 +224,19 @@ def _views(batch: pa.RecordBatch):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> CoTrained | None:
-    """Fits the classifier on bounded samples of labelled and unlabelled documents; None without both labels."""
+    """Fits the classifier on a bounded sample of labelled documents and on all others, of which every
+    round reads each one; None without both labels."""
     marks = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).where("lk IS NOT NULL AND y IN (0, 1)").groupBy("lk").agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         return None
-    total = max(1, docs.count())
-    u = F.abs(F.xxhash64(F.lit(31), F.col(key)) / F.lit(float(1 << 63)))
     share = F.when(F.col("y") == 1, PER_LABEL / sizes[1]).otherwise(PER_LABEL / sizes[0])
     chosen = marks.where(F.abs(F.xxhash64(F.lit(31), "lk") / F.lit(float(1 << 63))) < share)
     if chosen.count() > 4 * PER_LABEL:
         raise ValueError("the sample of labelled documents is larger than its bound")
     rows = docs.select(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col(key).alias("k"))
     known = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("text", "lang", "source", "k", "y")
-    pool = rows.where(u >= 1 - POOL / total).join(marks, F.col("k") == F.col("lk"), "left_anti").select("text", "lang", "source", "k", F.lit(-1).alias("y"))
+    rest = rows.where("k IS NOT NULL").join(F.broadcast(chosen), F.col("k") == F.col("lk"), "left_anti").select("text", "lang", "source")
 
     def sample(batches):
         for batch in batches:
@@ -201,17 +245,60 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
             yield pa.record_batch([batch.column(3), batch.column(4), *columns], ["k", "y", "ti", "tx", "pi", "px"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = known.unionByName(pool).mapInArrow(sample, f"k {kind}, y int, ti binary, tx binary, pi binary, px binary").collect()
+    found = known.mapInArrow(sample, f"k {kind}, y int, ti binary, tx binary, pi binary, px binary").collect()
     found = sorted(found, key=lambda r: (str(r.k), r.ti, r.tx))
     read = lambda r: (r.y, (np.frombuffer(r.ti, np.int32), np.frombuffer(r.tx, np.float32)), (np.frombuffer(r.pi, np.int32), np.frombuffer(r.px, np.float32)))
-    return co_train([read(r) for r in found if r.y >= 0], [read(r) for r in found if r.y < 0])
+    return co_train([read(r) for r in found], lambda views: _exchange(rest, views))
+
+
+def _exchange(rest: DataFrame, views: list[View]) -> list[list[np.ndarray]]:
+    """`add_given` over all rows (text, lang, source): a pass without an exchange of rows, whose sums
+    are added up slot by slot."""
+    shared = rest.sparkSession.sparkContext.broadcast(views)  # TEXT_FEATURES + PAGE_FEATURES numbers
+
+    def slots(sums):
+        for k in range(2):
+            for c in range(2):
+                for slot in range(0, len(sums[k][c]), SLOT):
+                    part = sums[k][c][slot : slot + SLOT]
+                    if part.any():
+                        yield 2 * k + c, slot, part.tobytes()
+
+    def batch_of(rows):
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["part", "slot", "sums"])
+
+    def add(batches):
+        sums = no_sums()
+        for batch in batches:
+            for row in _views(batch):
+                add_given(sums, shared.value, row)
+        give_back()
+        yield batch_of(slots(sums))
+
+    def total(batches):
+        done: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part, slot, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = np.frombuffer(data, np.int64)
+                done[part, slot] = done[part, slot] + more if (part, slot) in done else more
+        yield batch_of([(*at, x.tobytes()) for at, x in done.items()])
+
+    schema = "part int, slot int, sums binary"
+    sums = no_sums()
+    for r in rest.mapInArrow(add, schema).repartition(8, "part", "slot").mapInArrow(total, schema).collect():
+        x = np.frombuffer(r.sums, np.int64)
+        sums[r.part // 2][r.part % 2][r.slot : r.slot + len(x)] = x
+    shared.unpersist()
+    return sums
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", threshold: float = 0.5) -> DataFrame:
     """(key, text_score, page_score, score, kept) of every row of `docs` (key, text, lang, source).
 
     score is the calibrated probability of label 1 from both views; kept is score >= threshold.
-    Learns from `labels` (key, label 0 or 1; others are ignored, of several the largest counts). A
+    Learns from `labels` (key, label 0 or 1; others are ignored, of several the largest counts), of
+    which a bounded sample is drawn; every other document with a key counts as unlabelled. A
     null text is scored as an empty one, null language and source are values of their own; without
     documents of both labels every score is 0.5. Rows with a null key are scored and never learnt
     from; equal rows get equal scores; an empty table gives an empty result; other columns are
