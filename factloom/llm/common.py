@@ -23,13 +23,18 @@ ZIP_ROWS = 500
 BATCH_BYTES = 4 << 20
 #: Bytes whose running sums are held at once; hashes do not depend on it.
 SPAN = 1 << 18
+#: Keys that may be hot (each with over 1 / HOT_KEYS of all rows), and the tasks that share one.
+HOT_KEYS, SALTS = 100_000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share. A temporary one stands in for it only where driver
+    and executors are one process; on a cluster without a named folder this is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -211,6 +216,24 @@ def unzipped(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(unzip, kinds)
 
 
+# --- joins with hot keys ----------------------------------------------------------------------
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
+    """`rows` joined with `groups` (one row per value of `keys`), with no task that gets a hot key alone.
+
+    size: the column of `groups` that counts a group's rows, total: the rows of the table. Groups that
+    hold over a HOT_KEYS-th of all rows are fewer than HOT_KEYS, so they may be broadcast to mark their
+    rows; these are dealt over SALTS tasks by a hash of `spread`, and their groups repeated as often.
+    Keys must not be null in `groups`; rows with null keys find nothing.
+    """
+    hot = groups.where(F.col(size) > max(1000, total // HOT_KEYS)).select(*keys, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.lit(83), *spread), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col(size) > max(1000, total // HOT_KEYS), F.expr(f"sequence(0, {SALTS - 1})")).otherwise(F.array(F.lit(0)))
+    return rows.join(groups.withColumn("__salt", F.explode(salts)), [*keys, "__salt"], how).drop("__salt")
+
+
 # --- connected components ---------------------------------------------------------------------
 
 
