@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_dir, unzipped, zipped
+from factloom.llm.common import checkpointed, shared_dir, unzipped, zipped
 from factloom.llm.jaccard import jaccard_join
-from factloom.llm.mixing import mix_sources, word_count
+from factloom.llm.mixing import laid_out, mix_sources, word_count
 from factloom.llm.packing import pack_documents
 from factloom.llm.quality import keep_good
 from factloom.llm.substrings import substring_dedup
@@ -28,12 +28,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard similarity 0.8 reach: the smallest doc_id.
+    """One document of each group that links of Jaccard similarity 0.8 reach: the smallest by doc_id,
+    then by a hash of the text.
 
-    Documents that link with nothing and rows without a doc_id stay.
+    Documents that link with nothing and rows without a doc_id stay. A doc_id that stands on several
+    rows names none of them: only the rows whose text links go. Of rows with equal doc_id and text
+    that link with each other or with others, one stays at most.
     """
-    gone = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return unzipped(zipped(docs, "text").join(gone, "doc_id", "left_anti").select(*docs.columns), "text")
+    found = checkpointed(jaccard_join(docs))
+    gone = found.where("NOT kept").select("doc_id", "text_hash").distinct()
+    again = found.where("kept AND n_links > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    rows = zipped(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("others")), "text")
+    rows = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    if not again.isEmpty():  # each task keeps one row of a group before any exchange
+        twice = rows.join(again.drop("n_rows"), ["doc_id", "text_hash"], "left_semi")
+        one = twice.groupBy("doc_id", "text_hash").agg(F.first(F.struct("text", "others")).alias("row")).select("doc_id", "row.text", "text_hash", "row.others")
+        rows = rows.join(again.drop("n_rows"), ["doc_id", "text_hash"], "left_anti").unionByName(one)
+    rows = unzipped(rows, "text")
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +66,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: repeats are repeated rows."""
+    """The documents as often as the mix takes them (repeats are repeated rows), in the shards that drew
+    them and in random order there. Null sources and texts count as mix_sources says."""
     narrow = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count(F.col("text")).alias("words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    mixed = mix_sources(narrow, source="of", size=F.col("words"), key=("id",))
-    return mixed.where("copies > 0").select("doc", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("doc.*")
+    return laid_out(mix_sources(narrow, source="of", size=F.col("words"), key=("id",))).select("doc.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
