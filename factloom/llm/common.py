@@ -224,11 +224,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
     size: the column of `groups` that counts a group's rows, total: the rows of the table. Groups that
     hold over a HOT_KEYS-th of all rows are fewer than HOT_KEYS, so they may be broadcast to mark their
-    rows; these are dealt over SALTS tasks by a hash of `spread`, and their groups repeated as often.
+    rows; these are dealt over SALTS tasks by a hash of `spread` and of the partition they come from, and
+    their groups repeated as often.
     Keys must not be null in `groups`; rows with null keys find nothing.
     """
     hot = groups.where(F.col(size) > max(1000, total // HOT_KEYS)).select(*keys, F.lit(True).alias("__hot"))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.lit(83), *spread), F.lit(SALTS))).otherwise(0).cast("int")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(SALTS))).otherwise(0).cast("int")
     rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
     salts = F.when(F.col(size) > max(1000, total // HOT_KEYS), F.expr(f"sequence(0, {SALTS - 1})")).otherwise(F.array(F.lit(0)))
     return rows.join(groups.withColumn("__salt", F.explode(salts)), [*keys, "__salt"], how).drop("__salt")

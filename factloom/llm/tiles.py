@@ -7,17 +7,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt_in_tiles(rows: DataFrame, group: str, member: str, tiles: Column, per_bucket: int, weight: Column | None = None, weight_per_bucket: int = 1) -> DataFrame:
+def dealt_in_tiles(rows: DataFrame, group: str, member: str, tiles: Column, per_bucket: int, weight: Column | None = None, weight_per_bucket: int = 1, total: int | None = None) -> DataFrame:
     """Adds tile, tile_a, tile_b and bucket to the members of groups; `tiles` is how many a row's group has.
 
     A group's rows are split at random into its tiles, and each row goes to every pair of tiles that
     has its own; two rows meet in exactly one pair (tile_a, tile_b) if their tiles differ, and in
     (tile, tile) if not. Pairs of tiles are hashed into buckets of about `per_bucket` rows and at most
-    about `weight_per_bucket` of their weight, the unit that a task holds.
+    about `weight_per_bucket` of their weight, the unit that a task holds. `total`: the rows of all pairs
+    of tiles if they are known, else they are counted.
     """
     rows = rows.withColumn("tiles", F.greatest(tiles, F.lit(1)).cast("int"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(F.lit(97), member), F.col("tiles")).cast("int"))
-    n, heavy = rows.agg(F.sum("tiles"), F.sum(F.col("tiles") * (F.lit(0) if weight is None else weight))).first()
+    n, heavy = (total, 0) if total is not None else rows.agg(F.sum("tiles"), F.sum(F.col("tiles") * (F.lit(0) if weight is None else weight))).first()
     n = max(1, -(-(n or 0) // per_bucket), -(-(heavy or 0) // weight_per_bucket))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     rows = rows.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
