@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, give_back, text_bytes
+from .common import checkpointed, chunks, give_back, small_batches, text_bytes
 from .tokenize import encoder, vocabulary
 
-#: Tokens of a sequence; the id that ends a document; pieces that one task packs; rounds of repacking.
-LENGTH, END_ID, PARTITION_PIECES, ROUNDS = 2048, 0, 60_000, 2
+#: Tokens of a sequence; the id that ends a document; pieces that one task packs.
+LENGTH, END_ID, PARTITION_PIECES = 2048, 0, 60_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -24,7 +24,8 @@ def tokenized_pieces(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     that takes the remainder, so only the first piece of any document needs packing. `keep` columns
     come along. A null text is an empty one, and every document has a piece.
     """
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [PIECES])
 
     def cut(batches):
@@ -121,53 +122,56 @@ def _pack(group: str):
 
 
 def pack_pieces(pieces: DataFrame, seed: int = 3) -> DataFrame:
-    """Adds sequence_id and offset to (row, length): row is a distinct long, length under 2048.
+    """Adds sequence_id, offset and certified to (row, length): row is a distinct long, length under 2048.
 
     Rows are dealt at random to partitions of about PARTITION_PIECES, each packed by best-fit
-    decreasing in one task and certified by `lower_bound`. Partitions that need more bins than their
-    bound exchange what is in bins that aren't full: two or three of them put it together (the full
-    bins stay) and pack it again, ROUNDS times, or until no partition has a gap.
+    decreasing in one task. A partition that needs no more bins than its `lower_bound` is certified and
+    done. The others have gaps: their full bins stay, and what is in the rest they exchange: it is dealt
+    anew among half as many partitions (of four times PARTITION_PIECES at most) and packed again, until
+    no partition has a gap, a round saves no bin (its packing is then dropped for the one before), or a
+    single partition has nobody to exchange with.
     """
     n = pieces.count()
     n_parts = max(1, round(n / PARTITION_PIECES))
     shape = "row long, length long, part long, bin long, offset long, filled long, bins long, bound long"
-    open_rows = pieces.select("row", "length", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n_parts)).alias("part"))
-    done: list[DataFrame] = []
-    out = ["row", "sequence", "offset"]
-    for turn in range(ROUNDS + 1):
-        packed = checkpointed(open_rows.groupBy("part").applyInArrow(_pack("part"), shape))
-        named = packed.withColumn("sequence", F.struct(F.lit(turn).alias("turn"), F.col("part").alias("part"), F.col("bin").alias("bin")))
-        n_parts = -(-n_parts // 3)
-        if turn == ROUNDS or n_parts * 3 <= 1:
-            done.append(named.select(*out))
+    dealt = lambda rows, turn, n_parts: rows.select("row", "length", F.pmod(F.xxhash64(F.lit(seed + turn), "row"), F.lit(n_parts)).alias("part"))
+    pack = lambda rows: checkpointed(rows.groupBy("part").applyInArrow(_pack("part"), shape))
+    named = lambda df, turn: df.select("row", "offset", F.struct(F.lit(turn).alias("turn"), "part", "bin").alias("sequence"), (F.col("bins") == F.col("bound")).alias("certified"))
+    again = (F.col("bins") > F.col("bound")) & (F.col("filled") < LENGTH)
+    packed, turn, done = pack(dealt(pieces, 0, n_parts)), 0, []
+    while True:
+        n_open, n_bins = packed.where(again).agg(F.count("*"), F.countDistinct("part", "bin")).first()
+        if not n_open or n_parts == 1:
             break
-        again = (F.col("bins") > F.col("bound")) & (F.col("filled") < LENGTH)
-        done.append(named.where(~again).select(*out))
-        open_rows = packed.where(again).select("row", "length", F.floor(F.col("part") / 3).alias("part"))
-        if open_rows.isEmpty():
+        n_parts = max(-(-n_parts // 2), -(-n_open // (4 * PARTITION_PIECES)))
+        better = pack(dealt(packed.where(again), turn + 1, n_parts))
+        if better.agg(F.countDistinct("part", "bin")).first()[0] >= n_bins:
             break
-    result = done[0]
-    for more in done[1:]:
+        done.append(named(packed.where(~again), turn))
+        packed, turn = better, turn + 1
+    result = named(packed, turn)
+    for more in done:
         result = result.unionByName(more)
-    # part and bin fit 21 and 24 bits, and full pieces have ids from 2 ** 62.
+    # part and bin fit 26 and 24 bits, and full pieces have ids from 2 ** 62.
     number = F.shiftleft(F.col("sequence.turn").cast("long"), 50) + F.shiftleft("sequence.part", 24) + F.col("sequence.bin")
-    return result.select("row", number.alias("sequence_id"), "offset")
+    return result.select("row", number.alias("sequence_id"), "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Every piece of every document with its sequence and its place in it.
 
-    Returns `keep` columns, piece, start, length, ids_crc32, sequence_id, offset. Pieces of 2048
-    tokens fill a sequence each; the others are packed. Nulls in `keep` pass through, repeated rows
-    are packed as separate documents, an empty table gives an empty result; other columns are
-    ignored.
+    Returns `keep` columns, piece, start, length, ids_crc32, sequence_id, offset, certified (no packing
+    of the pieces that were packed together has fewer sequences). Pieces of 2048 tokens fill a sequence
+    each; the others are packed. Nulls in `keep` pass through, repeated rows are packed as separate
+    documents, an empty table gives an empty result; other columns are ignored.
     """
     pieces = tokenized_pieces(docs, path or vocabulary(), keep, text)
     pieces = checkpointed(pieces).withColumn("row", F.monotonically_increasing_id())
     rest = pack_pieces(pieces.where(F.col("length") < LENGTH).select("row", "length"))
     pieces = pieces.join(rest, "row", "left")
     whole = F.lit(1 << 62) + F.col("row")
-    return pieces.select(*keep, "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", whole).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    return pieces.select(*kept, "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", whole).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.coalesce("certified", F.lit(True)).alias("certified"))
 
 
 def op2_best_fit_packing(spark, sf_dir):

@@ -48,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # A text with the string of an added token is encoded in one go, as the token takes it apart.
+        self.added = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) or "(?!)")
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.most = most
         self._forget()
@@ -120,12 +122,11 @@ class Encoder:
         """The ids of each text. `data` should hold a few MB; a longer text is cut at line or word starts."""
         ids, first = self.encode(data, offsets)
         out = [ids[first[i] : first[i + 1]] for i in range(len(offsets) - 1)]
-        if (data >= 0x80).any():
-            raw = data.tobytes()
-            text = raw.decode("utf-8", "replace")
-            if _WIDE.search(text):
-                for i in range(len(out)):
-                    own = raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")
-                    if _WIDE.search(own):
-                        out[i] = np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, np.uint32)
+        raw = data.tobytes()
+        text = raw.decode("utf-8", "replace")
+        if self.added.search(text) or ((data >= 0x80).any() and _WIDE.search(text)):
+            for i in range(len(out)):
+                own = raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")
+                if self.added.search(own) or _WIDE.search(own):
+                    out[i] = np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, np.uint32)
         return out
