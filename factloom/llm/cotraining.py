@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, give_back, grams, mix, text_bytes
+from .common import Words, checkpointed, chunks, give_back, grams, mix, small_batches, text_bytes
 
 #: Features of the text view (hashed words, word pairs and marks) and of the metadata view (hashed
 #: language and source, and measures of the page's shape).
 TEXT_FEATURES, PAGE_FEATURES = 1 << 14, 1 << 8
-#: Labelled documents of each label that the models are fitted on, on average (they are drawn by a
-#: hash). All other documents take part in every round, and all are scored.
+#: Labelled documents of each label that the models are fitted on at most (those with the least hashes).
+#: All other documents take part in every round, and all are scored.
 PER_LABEL = 1500
 #: Rounds, and the least calibrated probability of a pseudo-label.
 ROUNDS, SURE = 5, 0.9
@@ -133,16 +133,18 @@ class View:
 
 @dataclass
 class CoTrained:
-    """Two calibrated views; a document's score combines them as far as they are informative."""
+    """Two views, calibrated to the labels as they stand in the whole table (`shift`: by how much their
+    log odds are above the fitted sample's); a document's score combines them."""
 
     text: View
     page: View
     prior: float
     given: list[tuple[int, int]]
+    shift: float = 0.0
 
     def score(self, text_logit: np.ndarray, page_logit: np.ndarray) -> np.ndarray:
         """Views that are independent given the label add their log odds, less the prior's once."""
-        return 1 / (1 + np.exp(-np.clip(text_logit + page_logit - self.prior, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(text_logit + page_logit - self.prior + self.shift, -30, 30)))
 
 
 def no_sums() -> list[list[np.ndarray]]:
@@ -150,7 +152,7 @@ def no_sums() -> list[list[np.ndarray]]:
     return [[np.zeros(3 + 2 * size, np.int64) for _ in range(2)] for size in (TEXT_FEATURES, PAGE_FEATURES)]
 
 
-def add_given(sums: list[list[np.ndarray]], views: list[View], row: tuple) -> None:
+def add_given(sums: list[list[np.ndarray]], views: list[View], row: tuple, shift: float = 0.0) -> None:
     """Adds an unlabelled row (text row, page row) to the sums of each view that the other is sure for.
 
     The curvature |x| * sum|x| / 4 of a weight bounds the logistic loss everywhere.
@@ -159,7 +161,7 @@ def add_given(sums: list[list[np.ndarray]], views: list[View], row: tuple) -> No
     for k, view in enumerate(views):
         if view.scale[0] <= 0:  # what tells nothing about the label gives none
             continue
-        p = 1 / (1 + np.exp(-np.clip(view.calibrated(raw[k]), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(view.calibrated(raw[k]) + shift, -30, 30)))
         if 1 - SURE < p < SURE:
             continue
         label, to, (at, x) = int(p >= SURE), 1 - k, row[1 - k]
@@ -172,8 +174,9 @@ def add_given(sums: list[list[np.ndarray]], views: list[View], row: tuple) -> No
         s[3 + size + at] += np.rint(np.abs(x) * most * UNIT).astype(np.int64)
 
 
-def co_train(labelled: list, exchange: Callable[[list[View]], list[list[np.ndarray]]], seed: int = 5) -> CoTrained:
-    """Fits on (y, text row, page row) and on the pseudo-labels that the views give each other.
+def co_train(labelled: list, exchange: Callable[[list[View], float], list[list[np.ndarray]]], odds: float, seed: int = 5) -> CoTrained:
+    """Fits on (y, text row, page row) and on the pseudo-labels that the views give each other; `odds`
+    are the log odds of label 1 among all labels, of which the rows may hold a different share.
 
     A quarter of the labelled rows is kept back for calibration alone. In each round both views are
     fitted and calibrated, and `exchange` sums over every unlabelled row that a view is sure of, with
@@ -184,6 +187,8 @@ def co_train(labelled: list, exchange: Callable[[list[View]], list[list[np.ndarr
     y = np.array([labelled[i][0] for i in used], float)
     yh = np.array([labelled[i][0] for i in held], float)
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    # Calibration sees the held rows, so its probabilities are those of a table with their odds.
+    shift = odds - float(np.log((yh.sum() + 1) / (len(yh) - yh.sum() + 1)))
     views = [View(TEXT_FEATURES), View(PAGE_FEATURES)]
     pulls: list[Given | None] = [None, None]
     given = []
@@ -193,7 +198,7 @@ def co_train(labelled: list, exchange: Callable[[list[View]], list[list[np.ndarr
             view.calibrate(np.array([view.raw(*labelled[i][k + 1]) for i in held]), yh)
         if turn == ROUNDS:
             break
-        sums = exchange(views)
+        sums = exchange(views, shift)
         counts = [[int(s[0]) for s in of] for of in sums]
         given.append((sum(counts[1]), sum(counts[0])))  # by the view that gives
         if not any(given[-1]):
@@ -202,7 +207,7 @@ def co_train(labelled: list, exchange: Callable[[list[View]], list[list[np.ndarr
             share = [GIVEN_WEIGHT * min(1.0, float((y == c).sum()) / max(1, counts[k][c])) / UNIT for c in (0, 1)]
             both = share[0] * sums[k][0] + share[1] * sums[k][1]
             pulls[k] = Given(view.weights, view.bias, both[3 : 3 + view.size], both[3 + view.size :], both[1], both[2])
-    return CoTrained(*views, prior, given)
+    return CoTrained(*views, prior, given, shift)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -226,16 +231,16 @@ def _views(batch: pa.RecordBatch):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> CoTrained | None:
     """Fits the classifier on a bounded sample of labelled documents and on all others, of which every
     round reads each one; None without both labels."""
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).where("lk IS NOT NULL AND y IN (0, 1)").groupBy("lk").agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("y") == 1, PER_LABEL / sizes[1]).otherwise(PER_LABEL / sizes[0])
-    chosen = marks.where(F.abs(F.xxhash64(F.lit(31), "lk") / F.lit(float(1 << 63))) < share)
-    if chosen.count() > 4 * PER_LABEL:
-        raise ValueError("the sample of labelled documents is larger than its bound")
-    rows = docs.select(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col(key).alias("k"))
-    known = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("text", "lang", "source", "k", "y")
+    draw = F.xxhash64(F.lit(31), "lk")
+    chosen = checkpointed(marks.where("y = 1").orderBy(draw, "lk").limit(PER_LABEL).unionByName(marks.where("y = 0").orderBy(draw, "lk").limit(PER_LABEL)))
+    rows = docs.select(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col(f"`{key}`").alias("k"))
+    known = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk"))  # 2 * PER_LABEL rows
+    known = known.groupBy("k").agg(F.min(F.struct("text", "lang", "source", "y")).alias("row")).select("row.text", "row.lang", "row.source", "k", "row.y")
     rest = rows.where("k IS NOT NULL").join(F.broadcast(chosen), F.col("k") == F.col("lk"), "left_anti").select("text", "lang", "source")
 
     def sample(batches):
@@ -248,10 +253,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     found = known.mapInArrow(sample, f"k {kind}, y int, ti binary, tx binary, pi binary, px binary").collect()
     found = sorted(found, key=lambda r: (str(r.k), r.ti, r.tx))
     read = lambda r: (r.y, (np.frombuffer(r.ti, np.int32), np.frombuffer(r.tx, np.float32)), (np.frombuffer(r.pi, np.int32), np.frombuffer(r.px, np.float32)))
-    return co_train([read(r) for r in found], lambda views: _exchange(rest, views))
+    odds = float(np.log(sizes[1] / sizes[0]))
+    return co_train([read(r) for r in found], lambda views, shift: _exchange(rest, views, shift), odds)
 
 
-def _exchange(rest: DataFrame, views: list[View]) -> list[list[np.ndarray]]:
+def _exchange(rest: DataFrame, views: list[View], shift: float) -> list[list[np.ndarray]]:
     """`add_given` over all rows (text, lang, source): a pass without an exchange of rows, whose sums
     are added up slot by slot."""
     shared = rest.sparkSession.sparkContext.broadcast(views)  # TEXT_FEATURES + PAGE_FEATURES numbers
@@ -272,7 +278,7 @@ def _exchange(rest: DataFrame, views: list[View]) -> list[list[np.ndarray]]:
         sums = no_sums()
         for batch in batches:
             for row in _views(batch):
-                add_given(sums, shared.value, row)
+                add_given(sums, shared.value, row, shift)
         give_back()
         yield batch_of(slots(sums))
 
@@ -298,7 +304,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
 
     score is the calibrated probability of label 1 from both views; kept is score >= threshold.
     Learns from `labels` (key, label 0 or 1; others are ignored, of several the largest counts), of
-    which a bounded sample is drawn; every other document with a key counts as unlabelled. A
+    which a bounded sample is drawn (of rows with one key the smallest is learnt from); every other
+    document with a key counts as unlabelled. A
     null text is scored as an empty one, null language and source are values of their own; without
     documents of both labels every score is 0.5. Rows with a null key are scored and never learnt
     from; equal rows get equal scores; an empty table gives an empty result; other columns are
@@ -317,7 +324,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
                     logits[i] = m.text.raw(*t), m.page.raw(*p)
                 logits = np.stack([m.text.calibrated(logits[:, 0]), m.page.calibrated(logits[:, 1])], 1)
             both = m.score(logits[:, 0], logits[:, 1]) if m is not None else np.full(batch.num_rows, 0.5)
-            views = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+            views = 1 / (1 + np.exp(-np.clip(logits + (m.shift if m is not None else 0), -30, 30)))
             yield pa.record_batch([batch.column(3), pa.array(views[:, 0]), pa.array(views[:, 1]), pa.array(both)], ["k", "text_score", "page_score", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
