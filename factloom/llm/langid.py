@@ -8,12 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Hashed n-gram features, the longest n-gram, and the documents of each language that the model is
-#: fitted on at most (on average; they are drawn by a hash). Everything else covers all documents.
-FEATURES, LONGEST, PER_LANGUAGE = 1 << 15, 3, 400
-#: A model has FEATURES weights for each language; tables with more languages than this are refused.
-MOST_LANGUAGES = 1000
+from .common import checkpointed, small_batches
+
+#: Bits of hashed n-gram features, the longest n-gram, and the documents of each language, and of all
+#: languages together, that the model is fitted on (they are drawn by a hash). Everything else covers
+#: all documents.
+BITS, LONGEST, PER_LANGUAGE, SAMPLE = 15, 3, 400, 40_000
+#: Bits of the number of weights: with more than 2 ** (WEIGHTS - BITS) languages, n-grams fall into
+#: fewer features, so that a model of any number of languages keeps to about 2 ** WEIGHTS numbers.
+WEIGHTS = 25
 #: Follow-the-regularised-leader: learning rate and its offset, penalties, epochs.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 #: Characters that one numpy pass looks at.
@@ -21,9 +26,14 @@ BLOCK = 1 << 20
 _PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def ngram_counts(text: str) -> np.ndarray:
+def feature_bits(n_languages: int) -> int:
+    """Bits of the features of a model of so many languages."""
+    return max(8, min(BITS, WEIGHTS - (max(1, n_languages) - 1).bit_length()))
+
+
+def ngram_counts(text: str, bits: int = BITS) -> np.ndarray:
     """How often each hashed character n-gram of length 1 to LONGEST occurs in a text in lower case."""
-    counts = np.zeros(FEATURES, np.int64)
+    counts = np.zeros(1 << bits, np.int64)
     for at in range(0, len(text), BLOCK):
         piece = text[at : at + BLOCK + LONGEST - 1].lower()
         points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -33,7 +43,7 @@ def ngram_counts(text: str) -> np.ndarray:
             h = (h[: len(points) - n + 1] * _PRIMES[0]) ^ (points[n - 1 :] * _PRIMES[1] + np.uint32(n))
             own = h[: BLOCK] if full else h
             mixed = (own ^ (own >> np.uint32(15))) * _PRIMES[2]
-            counts += np.bincount(mixed >> np.uint32(32 - 15), minlength=FEATURES)
+            counts += np.bincount(mixed >> np.uint32(32 - bits), minlength=1 << bits)
     return counts
 
 
@@ -47,6 +57,10 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    @property
+    def bits(self) -> int:
+        return len(self.idf).bit_length() - 1
+
     def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values of a text's TF-IDF vector of length one."""
         at = np.flatnonzero(counts)
@@ -72,17 +86,18 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, seed
     """
     languages = sorted({s[0] for s in samples})
     c = len(languages)
-    model = Model(languages, idf, np.zeros((FEATURES, c)), np.zeros(c))
+    features = len(idf)
+    model = Model(languages, idf, np.zeros((features, c)), np.zeros(c))
     if c < 2:
         return model
     vectors = []
     for lang, at, counts in samples:
-        dense = np.zeros(FEATURES, np.int64)
+        dense = np.zeros(features, np.int64)
         dense[at] = counts
         vectors.append((languages.index(lang), *model.vector(dense)))
     order = np.random.default_rng(seed).permutation(len(vectors))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
-    z, n = np.zeros((FEATURES, c)), np.zeros((FEATURES, c))
+    z, n = np.zeros((features, c)), np.zeros((features, c))
     zb, nb = np.zeros(c), np.zeros(c)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -127,28 +142,34 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Fits a model on texts and non-null languages of the documents that aren't held out.
 
     Document frequencies are counted over all training documents. The weights are fitted on the
-    driver on a bounded sample, about PER_LANGUAGE documents of each language by a hash of the key.
+    driver on a bounded sample: of each language the PER_LANGUAGE documents with the least hashes, or
+    an equal share of SAMPLE in all if there are many languages.
     """
-    rows = docs.where(~held_out(F.col(key))).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
-    if (n := sizes.count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages; a model has {MOST_LANGUAGES} at most")
-    share = F.xxhash64(F.lit(29), "k", F.crc32(F.col("t").cast("binary"))) / F.lit(float(1 << 63))
-    picked = rows.join(F.broadcast(sizes), "l").where(F.abs(share) < PER_LANGUAGE / F.col("n"))
+    small_batches(docs.sparkSession)
+    rows = docs.where(~held_out(F.col(f"`{key}`"))).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    rows = rows.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
+    sizes = checkpointed(rows.groupBy("l").agg(F.count("*").alias("n")))
+    n_languages = sizes.count()
+    bits, quota = feature_bits(n_languages), max(2, min(PER_LANGUAGE, SAMPLE // max(1, n_languages)))
+    features = 1 << bits
+    # About twice the quota by the hash first, so that the exact choice orders few rows.
+    draw = F.abs(F.xxhash64(F.lit(29), "k", F.crc32(F.col("t").cast("binary"))) / F.lit(float(1 << 63)))
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(sizes) if n_languages <= SAMPLE else sizes, "l").where(F.col("draw") < 2 * (quota + 20) / F.col("n"))
+    first = Window.partitionBy("l").orderBy("draw", "k")
+    picked = drawn.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= quota)
 
     def frequencies(batches):
-        df, n = np.zeros(FEATURES, np.int64), 0
+        df, n = np.zeros(features, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                df += ngram_counts(t.as_py()) > 0
+                df += ngram_counts(t.as_py(), bits) > 0
                 n += 1
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["feature", "df"])
 
     counted = rows.select("t").mapInArrow(frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-    df, total = np.zeros(FEATURES), 0
-    for r in counted.collect():  # FEATURES rows at most
+    df, total = np.zeros(features), 0
+    for r in counted.collect():  # a row per feature at most
         if r.feature < 0:
             total = r.df
         else:
@@ -157,7 +178,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def sample(batches):
         for batch in batches:
-            out = [ngram_counts(t.as_py()) for t in batch.column(0)]
+            out = [ngram_counts(t.as_py(), bits) for t in batch.column(0)]
             at = [np.flatnonzero(c) for c in out]
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for c, a in zip(out, at, strict=True)], pa.binary())], ["l", "k", "at", "counts"])
 
@@ -171,9 +192,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     `und` with score 0 where the text is null or has no letter, or no language was learnt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(key).alias("k"), F.when(letters, F.col(text)).alias("t"))
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 2 ** WEIGHTS numbers at most
+    letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.when(letters, F.col(f"`{text}`")).alias("t"))
 
     def score(batches):
         m = shared.value
@@ -184,7 +206,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     names.append("und")
                     scores.append(0.0)
                     continue
-                p = m.probabilities(m.logits(*m.vector(ngram_counts(t.as_py()))))
+                p = m.probabilities(m.logits(*m.vector(ngram_counts(t.as_py(), m.bits))))
                 best = int(p.argmax())
                 names.append(m.languages[best])
                 scores.append(float(p[best]))
