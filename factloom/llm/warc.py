@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, join_groups, shared_dir, small_batches
 
 CRLF = b"\r\n"
 #: Bytes that the reader takes from a file at a time.
 READ = 1 << 16
+#: Digests of repeated payloads that are broadcast at most (some 60 bytes each).
+MOST_BROADCAST = 500_000
 #: What every record of one run is dated, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,6 +113,8 @@ def read_records(stream) -> Iterator[Record]:
         body = bytearray(got[end + 4 :])
         for piece in member:
             body += piece
+            if len(body) > length + 4:
+                raise WarcError(f"a record of {length} bytes goes on after them")
         if len(body) != length + 4 or not body.endswith(CRLF + CRLF):
             raise WarcError(f"a record of {length} bytes has {len(body) - 4}")
         record = Record(fields, bytes(body[:length]))
@@ -138,11 +142,17 @@ def with_types(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
     Of equal payloads of at least `min_bytes` the one with the largest page_id is the response (all
     rows that share this page_id are). The largest is found by a pre-aggregated group per digest;
-    only digests that occur more than once are joined back.
+    only digests that occur more than once are joined back: by broadcast while they are at most
+    MOST_BROADCAST (then no page is shuffled), else by an exchange that deals hot ones over tasks.
     """
     pages = pages.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    groups = pages.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    joined = pages.join(groups.where("n > 1").drop("n"), (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left").drop("d")
+    groups = pages.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    groups = checkpointed(groups.where("n > 1"))
+    n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_groups <= MOST_BROADCAST:
+        joined = pages.join(F.broadcast(groups.drop("n")), "payload_digest", "left")
+    else:
+        joined = join_groups(pages, groups, ["payload_digest"], "n", n_rows, ["page_id"])
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
@@ -218,6 +228,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 1000, fol
     as null and never refers to another page. Repeated rows give a record each. An empty table gives
     archives without records. Other columns are ignored. Archives stay in the shared folder.
     """
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     written = checkpointed(write_archives(with_types(pages.select("page_id", "url", payload.alias("payload")), min_bytes), folder))
