@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, give_back, grams, text_bytes, unzip_array, zipped
+from .common import Words, give_back, grams, small_batches, text_bytes, unzip_array, zipped
 
 #: Words of a seed, and bytes of text that a part (the unit that is compared at once) holds.
 SEED_WORDS, PART_BYTES = 5, 2 << 20
+#: Parts whose anchors are counted together; an anchor in over HOT of the first GROUP parts is hot, and
+#: what is shared around it is compared in SALTS shares of the parts before these are put together.
+GROUP, HOT, SALTS = 4096, 128, 64
 LAST = np.iinfo(np.int64).max
 
 
@@ -58,27 +61,33 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     """Removes each word covered by an n-word window that also starts in a document with a smaller key.
 
     Returns key, `carry` columns (and the text with keep_text), n_words, n_removed, kept_text (the kept words joined by one blank),
-    removed (array of maximal repeats as struct<first, words> in word positions).
-
-    1. Documents are dealt at random into parts of about PART_BYTES. Each part lists the distinct
-       anchors of its windows once.
-    2. Seeds: anchors that occur in more than one part. A group has a row per part at most, however
-       many documents share the passage.
-    3. Extension: around those anchors a part extends the seed to every n-word window that it anchors
-       and reports each distinct window once, with its smallest key.
-    4. Windows of which another part has a smaller key go back to the part. It joins them with the
-       repeats among its own documents (judged locally in the same way) into maximal repeats and
-       removes these.
+    removed (the maximal repeats, array of struct<first, words, source> in word positions; source is a
+    smaller key that has the repeat's first n words).
+
+    1. Seeds: a document's anchors are the winnowed SEED_WORDS-word hashes, one of which lies in every
+       n-word window. Documents are dealt at random into parts of about PART_BYTES, each of which lists
+       its distinct anchors once, and parts are joined on the anchors that they share. A group has a row
+       per part at most, however many documents share the passage.
+    2. Extension: a part extends each shared anchor by l words to the left and n - SEED_WORDS - l to the
+       right, for every l with which the anchor is the window's own, and reports each distinct window
+       once, with its smallest key.
+    3. Matches of which another part has a smaller key go back to the part, with that key. It joins them
+       with the matches among its own documents (found locally in the same way), goes on in both
+       directions as long as the next window matches too, and removes the maximal repeats.
+
+    No task gets all of a hot group: anchors are counted in groups of GROUP parts first, and windows
+    around hot anchors are compared in SALTS shares first; only what is single or smallest there goes on.
 
     Only anchors, extended windows and their parts are shuffled beside one exchange of the texts
     that all steps read, zipped. Keys compare as integers; a null key counts as the largest, so it never
     makes others lose words. Rows with equal keys do not make each other lose words. A null text has
     no words (kept_text ''), an empty table gives an empty result; other columns are ignored.
     """
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_parts = max(1, -(-size // PART_BYTES))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("k", F.crc32(F.col("t").cast("binary"))), F.lit(n_parts)).cast("int"))
+    rows = docs.withColumn("part", F.pmod(F.xxhash64("k", F.crc32(F.col("t").cast("binary"))), F.lit(n_parts)).cast("int"))
     fields = ["k", *["t"] * keep_text, *[f"c{i}" for i in range(len(carry))]]
     kinds = [rows.schema[c] for c in fields]
     rows = zipped(rows, "t").repartition("part")
@@ -97,26 +106,41 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         return pa.table({"anchor": _signed(anchors), "part": pa.array(np.full(len(anchors), table.column("part")[0].as_py()), pa.int32())})
 
     anchors = rows.groupBy("part").applyInArrow(list_anchors, "anchor long, part int")
-    shared = anchors.withColumn("parts", F.count("*").over(Window.partitionBy("anchor"))).where("parts > 1").select("anchor", F.col("part").alias("in_part"))
+    counted = anchors.withColumn("group", F.floor(F.col("part") / GROUP)).withColumn("parts", F.count("*").over(Window.partitionBy("anchor", "group")))
+    shared = counted.where("parts > 1").select("anchor", "part")
+    if n_parts > GROUP:
+        single = counted.where("parts = 1").withColumn("times", F.count("*").over(Window.partitionBy("anchor")))
+        several = counted.where("parts > 1").select("anchor", "group").distinct().groupBy("anchor").agg(F.count("*").alias("groups"))
+        alone = single.join(several, "anchor", "left").where(F.col("times") + F.coalesce("groups", F.lit(0)) > 1)
+        shared = shared.unionByName(alone.select("anchor", "part"))
+    # At most GROUP parts' anchors / HOT rows. The filter names the count, so that both readers share one exchange.
+    hot = counted.where(F.when(F.col("group") == 0, F.col("parts")).otherwise(0) > HOT).select("anchor").distinct()
+    shared = shared.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left").select("anchor", F.col("part").alias("in_part"), F.coalesce("hot", F.lit(False)).alias("hot"))
 
     def extend(table: pa.Table, seeds: pa.Table) -> pa.Table:
         give_back()
         words = words_of(table)
         starts, found, h = _windows(words, n)
-        wanted = np.sort(_column(seeds, "anchor").view(np.uint64))
-        starts = starts[_in(found, wanted)]
+        wanted, hot = _column(seeds, "anchor").view(np.uint64), seeds.column("hot").to_numpy(zero_copy_only=False)
+        popular = _in(found, np.sort(wanted[hot]))
+        seeded = _in(found, np.sort(wanted))
+        starts, popular = starts[seeded], popular[seeded]
         k1, k2 = _keys(words, h, starts, n)
         ids = keys_of(table, words, starts)
         order = np.lexsort((ids, k1))
         first = order[np.concatenate(([True], np.diff(k1[order].view(np.int64)) != 0))] if len(order) else order
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "part": pa.array(np.full(len(first), part), pa.int32()), "least": pa.array(ids[first])})
+        salt = np.where(popular[first], part % SALTS, -1).astype(np.int8)
+        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "salt": pa.array(salt), "part": pa.array(np.full(len(first), part), pa.int32()), "least": pa.array(ids[first])})
 
-    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, part int, least long")
-    least = F.min("least").over(Window.partitionBy("k1", "k2"))
-    lost = windows.withColumn("first", least).where("first < least").select("k1", F.col("part").alias("in_part"))
+    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, salt byte, part int, least long")
+    least = lambda *by: F.min("least").over(Window.partitionBy(*by))
+    lost = windows.withColumn("first", least("k1", "k2", "salt"))
+    # Of salted windows the smallest of each share are compared with each other.
+    heads = lost.where(F.when(F.col("first") == F.col("least"), F.col("salt")).otherwise(-1) >= 0).withColumn("first", least("k1", "k2"))
+    lost = lost.where("first < least").unionByName(heads.where("first < least")).select("k1", F.col("part").alias("in_part"), "first")
 
-    found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long>>")
+    found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long, source:long>>")
     schema = T.StructType([*kinds, *found.fields])
 
     def remove(table: pa.Table, lost: pa.Table) -> pa.Table:
@@ -127,31 +151,39 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         starts, _, h = _windows(words, n)
         k1 = grams(h, n)[starts]
         ids = keys_of(table, words, starts)
-        gone = _in(k1, np.sort(_column(lost, "k1").view(np.uint64)))
         _, inverse = np.unique(k1, return_inverse=True)
         smallest = np.full(int(inverse.max()) + 1 if len(inverse) else 0, LAST)
         np.minimum.at(smallest, inverse, ids)
-        gone |= ids > smallest[inverse]
+        source = smallest[inverse]
+        theirs, where = np.unique(_column(lost, "k1").view(np.uint64), return_index=True)
+        if len(theirs):
+            place = np.minimum(np.searchsorted(theirs, k1), len(theirs) - 1)
+            source = np.where(theirs[place] == k1, np.minimum(source, _column(lost, "first")[where[place]]), source)
+        gone = ids > source
         inside = np.zeros(len(h) + 1, np.int32)
         np.add.at(inside, starts[gone], 1)
         np.subtract.at(inside, starts[gone] + n, 1)
         covered = np.cumsum(inside[:-1]) > 0
         removed = np.bincount(words.rows[covered], minlength=table.num_rows)
+        # A maximal repeat goes on in both directions as long as the next window matches too.
+        match, origin = starts[gone], source[gone]
+        begins = np.ones(len(match), bool)
+        begins[1:] = (np.diff(match) != 1) | (words.rows[match[1:]] != words.rows[match[:-1]])
+        at = np.flatnonzero(begins)
+        ends = match[np.append(at[1:], len(match)) - 1] + n if len(at) else at
+        spans = {"first": match[at] - words.first[words.rows[match[at]]], "words": ends - match[at], "source": origin[at]}
+        spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in spans.values()], list(spans))
+        upto = np.searchsorted(words.rows[match[at]], np.arange(table.num_rows + 1)).astype(np.int32)
+        repeats = pa.ListArray.from_arrays(pa.array(upto), spans)
         raw = data.tobytes()
-        kept, repeats = [], []
+        kept = []
         for i in range(table.num_rows):
             own = raw[offsets[i] : offsets[i + 1]].split()
-            spans = []
             if removed[i]:
-                mask = covered[words.first[i] : words.first[i + 1]]
-                own = compress(own, (~mask).tolist())
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                spans = [{"first": a, "words": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                own = compress(own, (~covered[words.first[i] : words.first[i + 1]]).tolist())
             kept.append(b" ".join(own).decode())
-            repeats.append(spans)
-        shape = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
         out = {name: texts if name == "t" else table.column(name) for name in fields}
-        return pa.table({**out, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": pa.array(repeats, shape)})
+        return pa.table({**out, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": repeats})
 
     cut = rows.groupBy("part").cogroup(lost.groupBy("in_part")).applyInArrow(remove, schema)
     names = [F.col("k").alias(key), *[F.col("t").alias(text)] * keep_text, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]]
