@@ -137,7 +137,7 @@ def numeric_variance(x: Column, y: Column) -> Column:
 
 
 def rule_relationship(a: Column, b: Column, tolerance: float = 0.015) -> Column:
-    """struct<type, confidence, factors> of the first rule that decides, or nulls."""
+    """struct<type, confidence, factors, reason> of the first rule that decides, or nulls."""
     ok_t, why_t = temporal(a, b)
     ok_m, _ = metric(a, b)
     aligned, _ = predicate_alignment(a, b)
@@ -150,16 +150,19 @@ def rule_relationship(a: Column, b: Column, tolerance: float = 0.015) -> Column:
     ca, cb = low(a["scope"]), low(b["scope"])
     scopes = (ca != "") & (cb != "") & (ca != cb)
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    out = lambda kind, conf, *kv: F.struct(F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.create_map(*kv).alias("factors"))
+    out = lambda kind, conf, why, *kv: F.struct(F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.create_map(*kv).alias("factors"), why.alias("reason"))
+    percent = F.concat(F.format_string("%.2f", v * 100), F.lit(" %"))
+    values = F.concat_ws(" and ", F.format_string("%.1f", x), F.format_string("%.1f", y))
+    say = lambda *parts: F.concat(*[F.coalesce(p, F.lit("?")) if isinstance(p, Column) else F.lit(p) for p in parts])
     pt = lambda x, d: F.coalesce(nonblank(x["period_text"]), F.lit(d))
-    nothing = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,string>").alias("factors"))
+    nothing = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,string>").alias("factors"), F.lit(None).cast("string").alias("reason"))
     return (
-        F.when((sa != sb) & (sa.isin(*planned) | sb.isin(*planned)), out("CONTEXTUAL_DIFFERENCE", 0.92, F.lit("status_factor"), F.concat(sa, F.lit(" vs "), sb)))
-        .when(numbers & ok_t & (v <= tolerance), out("CORROBORATES", 0.96, F.lit("variance"), text(F.round(v, 5)), F.lit("temporal_overlap"), F.lit("true")))
-        .when(numbers & ok_t & (v > 0.05) & scopes, out("CONTEXTUAL_DIFFERENCE", 0.90, F.lit("scope_factor"), F.concat(ca, F.lit(" vs "), cb), F.lit("variance"), text(F.round(v, 4))))
-        .when(numbers & ok_t & (v > 0.05), out("CONTRADICTS", 0.92, F.lit("variance"), text(F.round(v, 4)), F.lit("period"), text(a["period_text"])))
-        .when(numbers & (why_t == "disjoint_period_range"), out("CONTEXTUAL_DIFFERENCE", 0.95, F.lit("temporal_difference"), F.concat(pt(a, "Period A"), F.lit(" vs "), pt(b, "Period B"))))
-        .when(~aligned & (F.lower(F.coalesce(a["subject"], F.lit(""))) == F.lower(F.coalesce(b["subject"], F.lit("")))), out("RELATED", 0.85, F.lit("shared_subject"), text(a["subject"])))
+        F.when((sa != sb) & (sa.isin(*planned) | sb.isin(*planned)), out("CONTEXTUAL_DIFFERENCE", 0.92, say("One fact is ", sa, ", the other ", sb, "."), F.lit("status_factor"), F.concat(sa, F.lit(" vs "), sb)))
+        .when(numbers & ok_t & (v <= tolerance), out("CORROBORATES", 0.96, say("The values ", values, " differ by ", percent, ", which rounding explains."), F.lit("variance"), text(F.round(v, 5)), F.lit("temporal_overlap"), F.lit("true")))
+        .when(numbers & ok_t & (v > 0.05) & scopes, out("CONTEXTUAL_DIFFERENCE", 0.90, say("The scopes ", ca, " and ", cb, " explain a difference of ", percent, "."), F.lit("scope_factor"), F.concat(ca, F.lit(" vs "), cb), F.lit("variance"), text(F.round(v, 4))))
+        .when(numbers & ok_t & (v > 0.05), out("CONTRADICTS", 0.92, say("For one metric (", a["predicate"], ") and period the values ", values, " differ by ", percent, ", and nothing explains it."), F.lit("variance"), text(F.round(v, 4)), F.lit("period"), text(a["period_text"])))
+        .when(numbers & (why_t == "disjoint_period_range"), out("CONTEXTUAL_DIFFERENCE", 0.95, say("The periods differ: ", pt(a, "Period A"), " and ", pt(b, "Period B"), "."), F.lit("temporal_difference"), F.concat(pt(a, "Period A"), F.lit(" vs "), pt(b, "Period B"))))
+        .when(~aligned & (F.lower(F.coalesce(a["subject"], F.lit(""))) == F.lower(F.coalesce(b["subject"], F.lit("")))), out("RELATED", 0.85, say("Both are about ", a["subject"], ", but measure ", a["predicate"], " and ", b["predicate"], "."), F.lit("shared_subject"), text(a["subject"])))
         .otherwise(nothing)
     )
 
@@ -188,6 +191,18 @@ def investigate(a: Column, b: Column, relationship: Column) -> dict[str, Column]
     material = F.coalesce(F.abs(percent) > 1.5, F.lit(False)) & period & scope
     pick = lambda *v: F.when(close & units_differ, v[0]).when(close, v[1]).when(disjoint, v[2]).when(~scope, v[3]).when(material, v[4]).otherwise(v[5])
     same_document = F.coalesce(a["document_id"] == b["document_id"], F.lit(False))
+    change = F.coalesce(F.format_string("%+.2f %%", percent), F.lit("n/a"))
+    metric_name = F.coalesce(nonblank(a["predicate"]), nonblank(b["predicate"]), F.lit("the metric"))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    named = lambda c: F.coalesce(nonblank(c), F.lit("not named"))
+    explanation = pick(
+        say("Both state one figure (", shown(a, x), " and ", shown(b, y), ") in different units: ", pairs["unit"][0], " and ", pairs["unit"][1], "."),
+        F.when(percent.isNull(), say("Both state the same about ", metric_name, ".")).otherwise(say("Both agree on ", metric_name, " within rounding (", change, ").")),
+        say("They are about different periods, ", pa, " and ", pb, "; the change of ", change, " is no contradiction."),
+        say("They have different scopes, ", named(pairs["scope"][0]), " and ", named(pairs["scope"][1]), ", which explain the difference of ", change, "."),
+        say("For ", metric_name, ", one period and one scope they differ by ", change, "; the sources should be checked."),
+        F.when(percent.isNull(), "The statements differ in what they mean or in their context.").otherwise(say("They differ by ", change, ", but also in context or terms.")),
+    )
     return {
         "entity_match": inside(pairs["entity"]), "predicate_match": inside(pairs["predicate"]), "period_match": period, "scope_match": scope, "unit_match": unit,
         "currency_match": money(pairs["unit"][0]) == money(pairs["unit"][1]), "same_document": same_document,
@@ -195,7 +210,7 @@ def investigate(a: Column, b: Column, relationship: Column) -> dict[str, Column]
         "variance_percent": percent, "absolute_difference": F.round(y - x, 4),
         "verdict_type": pick("UNIT_DIFFERENCE", "CORROBORATED", "TEMPORAL_DIFFERENCE", "CONTEXTUAL_DIFFERENCE", "TRUE_CONTRADICTION", "CONTEXTUAL_DIFFERENCE"),
         "relationship": F.when(close, "CORROBORATES").when(disjoint | ~scope, "CONTEXTUAL_DIFFERENCE").when(material, "CONTRADICTS").otherwise(F.coalesce(relationship, F.lit("CONTEXTUAL_DIFFERENCE"))),
-        "audit_confidence": pick(96, 98, 94, 97, 93, 88), "review_required": ~close & ~disjoint & scope & material,
+        "audit_confidence": pick(96, 98, 94, 97, 93, 88), "review_required": ~close & ~disjoint & scope & material, "explanation": explanation,
     }
 
 

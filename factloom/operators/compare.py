@@ -45,7 +45,7 @@ def compare_documents(facts: DataFrame, selection: DataFrame) -> DataFrame:
         F.when(has_a & ~has_b, "NOT_FOUND").when(~has_a & has_b, "ADDED").when(~has_a, "UNCHANGED").when(scopes, "CONTEXT_CHANGED")
         .when(percent > 0.5, "INCREASED").when(percent < -0.5, "DECREASED").when(numbers, "UNCHANGED").when(text(a) == text(b), "UNCHANGED").otherwise("CONTEXT_CHANGED")
     )
-    out = by_metric.withColumns({"value_a": x, "value_b": y, "percent": percent, "category": category, "in_pair": has_a | has_b})
+    out = by_metric.withColumns({"value_a": x, "value_b": y, "raw_a": a["raw_value_text"], "raw_b": b["raw_value_text"], "percent": percent, "category": category, "in_pair": has_a | has_b})
     label = (
         F.when(F.col("category") == "NOT_FOUND", F.concat(F.lit("Not found in "), "second_file")).when(F.col("category") == "ADDED", F.concat(F.lit("Added in "), "second_file"))
         .when(has_a & has_b & scopes, F.concat(F.lit("Scope changed: "), F.initcap(scope(a)), F.lit(" → "), F.initcap(scope(b)))).when(percent > 0.5, F.format_string("+%.2f%% ↑", percent))
@@ -63,7 +63,8 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
 
 
 def metric_filters(compared: DataFrame, category: str = "ALL", search: str = "") -> DataFrame:
-    """Rows by category, CHANGES_ONLY, ADDED_OR_NOT_FOUND, and a text in subject or predicate."""
+    """Rows by category, CHANGES_ONLY, ADDED_OR_NOT_FOUND, and a text in subject, predicate or a raw value,
+    whatever its case."""
     out = compared
     if category == "CHANGES_ONLY":
         out = out.where("category <> 'UNCHANGED'")
@@ -71,4 +72,7 @@ def metric_filters(compared: DataFrame, category: str = "ALL", search: str = "")
         out = out.where(F.col("category").isin("ADDED", "NOT_FOUND"))
     elif category != "ALL":
         out = out.where(F.col("category") == category)
-    return out.where(F.col("predicate_key").contains(search.lower()) | F.col("subject_key").contains(search.lower()))
+    hit = F.lit(False)
+    for c in ("predicate_key", "subject_key", "raw_a", "raw_b"):
+        hit = hit | F.coalesce(F.lower(c).contains(search.lower()), F.lit(False))
+    return out.where(hit)

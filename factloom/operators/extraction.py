@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.normalize import nonblank, strip
+from factloom.functions.normalize import strip
 
-from .facts import normalize_facts
-from .text import dedup_facts, extraction_batches, ground_facts, locate_quote, parse_model_answers, split_chunks
+from .facts import normalize_facts, run_counters, upsert
+from .text import dedup_facts, embed, extraction_batches, ground_facts, locate_quote, nonblank_pages, parse_model_answers, printed_page_number, select_pages, split_chunks
 
 
 def chunk_of_fact(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -42,8 +44,12 @@ def build_facts(grounded: DataFrame) -> DataFrame:
     """A row with fact and evidence columns for every grounded item (column `item` as parsed).
 
     Texts are trimmed; without any value the raw value text or the claim stands for it; confidence
-    is held to 0 to 1. Ids are hashes of batch and position, so a rerun gives the same ids.
+    is held to 0 to 1. metadata holds the page number (column page_number, if there is one), the number
+    printed on the page and the chunk. Ids are hashes of batch and position, so a rerun gives the same ids.
     """
+    text = lambda c: F.col(c).cast("string") if c in grounded.columns else F.lit(None).cast("string")
+    printed = printed_page_number(F.col("page_text"), F.col("page_number")) if {"page_text", "page_number"} <= set(grounded.columns) else text("page_number")
+    metadata = F.map_filter(F.create_map(F.lit("pdf_page_number"), text("page_number"), F.lit("printed_page_number"), printed, F.lit("chunk_id"), text("chunk_id")), lambda _, v: v.isNotNull())
     i = lambda c: F.col("item")[c]
     number = i("value_numeric").try_cast("double")
     value = F.coalesce(i("value_text"), F.when(number.isNull(), F.coalesce(F.nullif(i("raw_value_text"), F.lit("")), i("raw_claim"))))
@@ -54,14 +60,13 @@ def build_facts(grounded: DataFrame) -> DataFrame:
         *[strip(i(c)).alias(c) for c in ("subject", "predicate", "raw_claim", "quote")],
         value.alias("value_text"), F.coalesce(F.nullif(i("raw_value_text"), F.lit("")), F.nullif(value, F.lit("")), shown).alias("raw_value_text"),
         number.alias("value_numeric"), *[i(c).alias(c) for c in ("unit", "fact_type", "period_text", "scope", "status")],
-        F.least(F.greatest(i("confidence").try_cast("double"), F.lit(0.0)), F.lit(1.0)).alias("confidence"), "start", "end", "offset_base",
+        F.least(F.greatest(i("confidence").try_cast("double"), F.lit(0.0)), F.lit(1.0)).alias("confidence"), "start", "end", "offset_base", metadata.alias("metadata"),
     )
 
 
 def batched_chunks(pages: DataFrame, n: int = 2) -> DataFrame:
     """Chunks of the pages (document_id, page_id, page_number, text) with their batch and place in it."""
-    filled = pages.where(nonblank(F.col("text")).isNotNull())
-    chunks = split_chunks(filled, keep=("document_id", "page_id", "page_number"))
+    chunks = split_chunks(nonblank_pages(pages), keep=("document_id", "page_id", "page_number"))
     order = Window.partitionBy("document_id").orderBy("page_number", "page_id", "chunk_index")
     chunks = chunks.withColumn("place", F.row_number().over(order) - 1)
     return chunks.withColumns({
@@ -75,19 +80,40 @@ def prompts(pages: DataFrame, n: int = 2) -> DataFrame:
     return extraction_batches(batched_chunks(pages, n).select("document_id", "page_number", "chunk_index", "text"), n)
 
 
-def process_documents(pages: DataFrame, answers: DataFrame, stored: DataFrame, n: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(new facts with evidence columns, accepted and rejected items per batch) of many documents.
+def process_documents(
+    pages: DataFrame, answers: DataFrame, stored: dict[str, DataFrame], n: int = 2, most: int | None = None, numbers: list[int] | None = None, offset: int = 0,
+    embedder: Callable[[list[str]], list[list[float]]] | None = None, now: Column | None = None,
+) -> dict[str, DataFrame]:
+    """What processing many documents adds: chunks, facts (with evidence columns), counts and runs.
 
-    pages: document_id, page_id, page_number, text; answers: batch_id, answer; stored: document_id,
-    raw_claim, quote of facts that are there already. Pages are cut in chunks, answers parsed, their
-    items grounded, built, normalized and freed of repeats.
+    pages: document_id, page_id, page_number, text; answers: batch_id, answer. stored: facts (document_id,
+    raw_claim, quote), and if there are any extracted (page_id of pages done before), chunks (page_id,
+    chunk_index, ...) and runs (id, document_id, ...). Pages are chosen as `select_pages` does, cut in
+    chunks, which get vectors from `embedder` and are upserted; answers are parsed and their items
+    grounded, built, normalized and freed of repeats; each run of a document of these pages gets its
+    counts and the status COMPLETED.
     """
-    texts = pages.select("page_id", F.col("text").alias("page_text"))
-    chunks = batched_chunks(pages, n).join(texts, "page_id")
-    slim = chunks.select("batch_id", "at", "chunk_id", "page_id", F.col("text").alias("chunk_text"), "page_text")
-    owner = chunks.select("batch_id", "document_id").distinct()
+    extracted = stored.get("extracted", pages.select("page_id").limit(0))
+    chosen = select_pages(pages, extracted, most, numbers, offset).select("document_id", "page_id", "page_number", "text")
+    cut = batched_chunks(chosen, n)
+    chunks = cut.select(F.col("chunk_id").alias("id"), "document_id", "page_id", "chunk_index", "text", "start_offset", "end_offset", F.lit(None).cast("array<double>").alias("embedding"))
+    if embedder is not None:
+        chunks = embed(chunks, "text", embedder)
+    added = chunks
+    if "chunks" in stored:
+        chunks = upsert(stored["chunks"], chunks, ["page_id", "chunk_index"], ["id"])
+    full = cut.join(chosen.select("page_id", F.col("text").alias("page_text")), "page_id")
+    slim = full.select("batch_id", "at", "chunk_id", "page_id", F.col("text").alias("chunk_text"), "page_text")
+    owner = full.select("batch_id", "document_id").distinct()
     items = parse_model_answers(answers).select("batch_id", "position", "item", F.col("item.chunk_id").alias("label"), F.col("item.quote").alias("quote"))
-    grounded = ground_facts(chunk_of_fact(items, slim)).join(owner, "batch_id")
+    grounded = ground_facts(chunk_of_fact(items, slim)).join(owner, "batch_id").join(chosen.select("page_id", "page_number"), "page_id", "left")
     built = build_facts(grounded).withColumn("position", F.struct(F.element_at(F.split("batch_id", "/"), -1).cast("int").alias("batch"), F.col("position").alias("place")))
     ordered = built.withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("position")))
-    return normalize_facts(dedup_facts(ordered, stored)), rejection_counts(grounded)
+    facts, counts = normalize_facts(dedup_facts(ordered, stored["facts"])), rejection_counts(grounded)
+    out = {"chunks": chunks, "facts": facts, "counts": counts}
+    if "runs" in stored:
+        of = lambda t, *aggs: t.groupBy("document_id").agg(*aggs)
+        done = of(added, F.count("*").alias("chunks")).join(of(facts, F.count("*").alias("facts")), "document_id", "left").join(of(counts, F.sum("rejected").alias("rejected")), "document_id", "left").fillna(0)
+        batches = stored["runs"].select(F.col("id").alias("run_id"), "document_id").join(done, "document_id").drop("document_id")
+        out["runs"] = run_counters(stored["runs"], batches, "COMPLETED", now)
+    return out

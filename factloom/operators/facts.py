@@ -10,12 +10,14 @@ from factloom.functions.normalize import nonblank, normalize_number, normalize_p
 
 
 def normalize_facts(facts: DataFrame) -> DataFrame:
-    """Adds normalized_value_numeric, normalized_unit, period_start and period_end; one narrow pass."""
+    """Adds normalized_value_numeric, normalized_unit, period_start and period_end; one narrow pass.
+    Period bounds that a fact has already stay."""
     start, end = normalize_period(F.col("period_text"))
+    kept = lambda c, new: F.coalesce(F.col(c).cast("date"), new) if c in facts.columns else new
     return facts.withColumns({
         "normalized_value_numeric": normalize_number(F.col("value_numeric"), F.col("raw_value_text"), F.col("unit")),
         "normalized_unit": normalize_unit(F.col("unit"), F.col("raw_value_text")),
-        "period_start": start, "period_end": end,
+        "period_start": kept("period_start", start), "period_end": kept("period_end", end),
     })
 
 
@@ -39,14 +41,16 @@ def facts_with_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def facts_search(facts: DataFrame, dataset: str | None = None, document: str | None = None, category: str | None = None, entity: str | None = None, search: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
-    """Newest first, with the total before paging; texts match anywhere, whatever their case."""
+    """Newest first, with the total before paging; texts match anywhere, whatever their case. A fact's
+    category is the one in its metadata (a map, if there is one), else its type."""
     out = facts
+    kind = F.coalesce(F.col("metadata")["category"], F.col("fact_type")) if "metadata" in facts.columns else F.col("fact_type")
     if dataset:
         out = out.where(F.col("dataset_id") == dataset)
     if document:
         out = out.where(F.col("document_id") == document)
     if category:
-        out = out.where(F.col("fact_type") == category)
+        out = out.where(kind == category)
     if entity:
         out = out.where(F.col("subject").ilike(f"%{entity}%"))
     if search:
@@ -77,10 +81,10 @@ def relationships_basic(edges: DataFrame, facts: DataFrame, dataset: str | None
     return out if dataset is None else out.where((F.col("dataset_a") == dataset) & (F.col("dataset_b") == dataset))
 
 
-def relationship_filters(detailed: DataFrame, kind: str | None = None, least: float | None = None, scope: str = "all", drop_same_page: bool = False) -> DataFrame:
-    """By type, confidence, and scope cross, same or all; unknown pages keep a pair."""
+def relationship_filters(detailed: DataFrame, kind: str | None = None, least: float | None = None, scope: str = "all", drop_same_page: bool = False, dataset: str | None = None) -> DataFrame:
+    """By type, confidence, dataset (of fact A), and scope cross, same or all; unknown pages keep a pair."""
     a, b = F.col("fact_a"), F.col("fact_b")
-    out = detailed
+    out = detailed if dataset is None else detailed.where(a["dataset_id"] == dataset)
     if kind:
         out = out.where(F.col("relationship_type") == kind)
     if least is not None:
@@ -93,6 +97,44 @@ def relationship_filters(detailed: DataFrame, kind: str | None = None, least: fl
     return out.where((a["document_id"] != b["document_id"]) | apart) if drop_same_page else out
 
 
+def relationship_search(detailed: DataFrame, text: str, kind: str | None = None, least: float | None = None, scope: str = "all") -> DataFrame:
+    """`relationship_filters` with a text that one of the file names, predicates, claims, entities or the
+    reason holds, whatever its case."""
+    fields = [F.col(f"fact_{k}")[c] for k in "ab" for c in ("filename", "predicate", "raw_claim", "subject")]
+    fields += [F.col("reason")] if "reason" in detailed.columns else []
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.coalesce(F.lower(f).contains(text.lower()), F.lit(False))
+    return relationship_filters(detailed, kind, least, scope).where(hit)
+
+
+def facts_by_dataset(facts: DataFrame, dataset: str | None = None) -> DataFrame:
+    """All facts, or a dataset's, in order of creation."""
+    return (facts if dataset is None else facts.where(F.col("dataset_id") == dataset)).orderBy("created_at", "id")
+
+
+def document_search(filings: DataFrame, text: str) -> DataFrame:
+    """Documents whose file name holds a text, whatever its case."""
+    return filings.where(F.lower("filename").contains(text.lower()))
+
+
+def storage_path(dataset: str = "dataset_id", document: str = "document_id", filename: str = "filename") -> Column:
+    """Where a document's file is stored: dataset / document / base name."""
+    return F.concat_ws("/", dataset, document, F.element_at(F.split(F.replace(F.col(filename), F.lit("\\"), F.lit("/")), "/"), -1))
+
+
+def overview_totals(filings: DataFrame, facts: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row with the numbers of documents, facts, relationships and pages."""
+    one = lambda t, name: t.agg(F.count("*").alias(name))
+    return one(filings, "documents").crossJoin(one(facts, "facts")).crossJoin(one(edges, "relationships")).crossJoin(one(pages, "pages"))
+
+
+def document_fact_counts(selection: DataFrame, facts: DataFrame) -> DataFrame:
+    """Selected documents with the number of their facts, 0 if there are none."""
+    n = facts.groupBy("document_id").agg(F.count("*").alias("facts"))
+    return selection.join(n, "document_id", "left").fillna(0, ["facts"])
+
+
 def purge_same_page(detailed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): pairs of one page of one document go if both pages are known."""
     a, b = F.col("fact_a"), F.col("fact_b")
@@ -116,13 +158,16 @@ def validate_facts(facts: DataFrame) -> DataFrame:
 
 
 def validate_evidence(evidence: DataFrame, text: str = "quote") -> DataFrame:
+    """Text, offsets and (where there is one) extraction_confidence, which may be null."""
     rules = {"text": F.coalesce(strip(F.col(text)), F.lit("")) != "", "start": F.col("start_offset") >= 0, "order": F.col("end_offset") >= F.col("start_offset")}
+    if "extraction_confidence" in evidence.columns:
+        rules["confidence"] = F.col("extraction_confidence").isNull() | F.col("extraction_confidence").between(0, 1)
     return evidence.withColumn("violations", violations(rules))
 
 
 def validate_relationships(edges: DataFrame) -> DataFrame:
     kinds = ("CORROBORATES", "CONTRADICTS", "CONTEXTUAL_DIFFERENCE", "RELATED", "UNCERTAIN")
-    rules = {"order": F.col("fact_a_id") < F.col("fact_b_id"), "type": F.col("relationship_type").isin(*kinds), "confidence": F.col("confidence").between(0, 1)}
+    rules = {"order": F.col("fact_a_id") < F.col("fact_b_id"), "type": F.col("relationship_type").isin(*kinds), "confidence": F.col("confidence").between(0, 1), "reason": F.coalesce(F.col("reason") != "", F.lit(False))}
     return edges.withColumn("violations", violations(rules))
 
 
@@ -131,7 +176,9 @@ def validate_vectors(vectors: DataFrame, dim: int, column: str = "embedding") ->
 
 
 def confidence_band(facts: DataFrame) -> DataFrame:
-    score = F.coalesce(F.round(F.col("confidence") * 100).cast("int"), F.lit(85))
+    """HIGH from 90, MEDIUM from 70, else LOW; by `score` if there is one, else by the confidence, else 85."""
+    own = [F.col("score").cast("int")] if "score" in facts.columns else []
+    score = F.coalesce(*own, F.round(F.col("confidence") * 100).cast("int"), F.lit(85))
     return facts.withColumn("band", F.when(score >= 90, "HIGH").when(score >= 70, "MEDIUM").otherwise("LOW"))
 
 
@@ -165,12 +212,17 @@ def best_case_per_type(detailed: DataFrame) -> DataFrame:
 
 
 def document_status(filings: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """Status of each document's latest run; one that processes for over five minutes counts as failed."""
+    """Documents, newest first, with page_count and file_size_bytes (from their metadata) or 0, and the
+    status of the latest run; one that processes for over five minutes counts as failed."""
     latest = Window.partitionBy("document_id").orderBy(F.col("started_at").desc_nulls_first(), "id")
     last = runs.withColumn("rank", F.row_number().over(latest)).where("rank = 1")
     stale = (F.col("status") == "PROCESSING") & (F.col("started_at") < now - F.expr("INTERVAL 5 MINUTES"))
     shown = last.select("document_id", F.when(stale, "failed").otherwise(F.lower("status")).alias("run_status"))
-    return filings.join(shown, filings["id"] == shown["document_id"], "left").withColumn("shown_status", F.coalesce("run_status", F.lit("ingested")))
+    out = filings.join(shown, filings["id"] == shown["document_id"], "left").drop(shown["document_id"])
+    size = F.coalesce(F.col("metadata")["file_size_bytes"].try_cast("long"), F.lit(0)) if "metadata" in filings.columns else F.lit(0)
+    pages = F.coalesce("page_count", F.lit(0)) if "page_count" in filings.columns else F.lit(0)
+    out = out.withColumns({"shown_status": F.coalesce("run_status", F.lit("ingested")), "page_count": pages.cast("int"), "file_size_bytes": size.cast("long")})
+    return out.orderBy(F.desc("created_at"), "id") if "created_at" in filings.columns else out
 
 
 def stale_runs(runs: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
@@ -186,27 +238,68 @@ def active_run(runs: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
     return live.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
-def run_counters(runs: DataFrame, batches: DataFrame) -> DataFrame:
-    """Adds up each run's batches of (run_id, facts, rejected)."""
-    sums = batches.groupBy("run_id").agg(F.sum("facts").alias("more_facts"), F.sum("rejected").alias("more_rejected"))
-    return runs.join(sums, runs["id"] == sums["run_id"], "left").withColumn("facts_extracted", F.col("facts_extracted") + F.coalesce("more_facts", F.lit(0))).drop("run_id")
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
-    """Inserts or replaces on `keys`; of a replaced row the `kept` columns (ids, creation) stay."""
-    o, n = old.alias("o"), new.alias("n")
+def run_counters(runs: DataFrame, batches: DataFrame, status: str | None = None, now: Column | None = None) -> DataFrame:
+    """Adds each run's batches (run_id and any of chunks, facts, rejected) to its counters chunks_created,
+    facts_extracted and facts_rejected, and sets the status (and the end, if `now` is given) of these runs."""
+    counters = {"chunks": "chunks_created", "facts": "facts_extracted", "rejected": "facts_rejected"}
+    given = [c for c in counters if c in batches.columns]
+    sums = batches.groupBy("run_id").agg(*[F.sum(c).alias(f"more_{c}") for c in given], F.lit(True).alias("hit"))
+    out = runs.join(sums, runs["id"] == sums["run_id"], "left").drop("run_id")
+    old = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in runs.columns else F.lit(0)
+    out = out.withColumns({counters[c]: (old(counters[c]) + F.coalesce(f"more_{c}", F.lit(0))).cast("long") for c in given})
+    if status is not None:
+        out = out.withColumn("status", F.when(F.col("hit"), status).otherwise(F.col("status")))
+    if now is not None:
+        out = out.withColumn("completed_at", F.when(F.col("hit"), now).otherwise(F.col("completed_at") if "completed_at" in runs.columns else F.lit(None)))
+    return out.drop("hit", *[f"more_{c}" for c in given])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str], latest: str | None = None) -> DataFrame:
+    """Inserts or replaces on `keys`; of a replaced row the `kept` columns (ids, creation) stay.
+
+    Of new rows with equal keys one counts, the last by `latest` if it is given. A new value that is null
+    replaces the old one like any other. Columns are those of `old`; what `new` lacks is null.
+    """
+    if latest is not None:
+        order = Window.partitionBy(*keys).orderBy(F.col(latest).desc_nulls_last())
+        new = new.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+    else:
+        new = new.dropDuplicates(keys)
+    o, n = old.withColumn("__old", F.lit(True)).alias("o"), new.withColumn("__new", F.lit(True)).alias("n")
     joined = o.join(n, keys, "full_outer")
-    there = F.col(f"n.{next(c for c in new.columns if c not in keys)}")
-    hit = F.coalesce(there.isNotNull(), F.lit(False))
-    pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in kept else F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-    return joined.select(*keys, *[pick(c).alias(c) for c in old.columns if c not in keys])
-
-
-def delete_dataset(dataset: str, filings: DataFrame, facts: DataFrame, evidence: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """What is left of each table once a dataset and all below it are gone."""
-    gone = facts.where(F.col("dataset_id") == dataset).select(F.col("id").alias("gone"))
-    anti = lambda t, c: t.join(gone, t[c] == gone["gone"], "left_anti")
-    return {"filings": filings.where(F.col("dataset_id") != dataset), "facts": facts.where(F.col("dataset_id") != dataset), "evidence": anti(evidence, "fact_id"), "edges": anti(anti(edges, "fact_a_id"), "fact_b_id")}
+    there = lambda c: F.col(f"n.{c}") if c in new.columns else F.lit(None)
+    value = lambda c: F.when(F.col("__new") & ~(F.lit(c in kept) & F.coalesce("__old", F.lit(False))), there(c)).otherwise(F.col(f"o.{c}"))
+    return joined.select(*keys, *[value(c).alias(c) for c in old.columns if c not in keys])
+
+
+def delete_dataset(dataset: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of each table once a dataset and all below it are gone.
+
+    tables: filings and any of facts, pages, chunks, runs (by document), evidence, edges (by fact).
+    Evidence of other documents that named one of the chunks that go stays, without the chunk.
+    """
+    filings = tables["filings"]
+    documents = filings.where(F.col("dataset_id") == dataset).select(F.col("id").alias("gone"))
+    rest = {"filings": filings.where(~F.col("dataset_id").eqNullSafe(F.lit(dataset)))}
+    without = lambda t, c, gone: t.join(gone, t[c] == gone["gone"], "left_anti")
+    for name in ("pages", "chunks", "runs", "facts"):
+        if name in tables:
+            rest[name] = without(tables[name], "document_id", documents)
+    if "facts" in tables:
+        facts = tables["facts"]
+        rest["facts"] = rest["facts"].where(~F.col("dataset_id").eqNullSafe(F.lit(dataset)))
+        of_set = facts.where(F.col("dataset_id") == dataset).select(F.col("id").alias("gone"))
+        of_document = facts.join(documents.withColumnRenamed("gone", "document_id"), "document_id", "left_semi").select(F.col("id").alias("gone"))
+        gone = of_set.unionByName(of_document).distinct()
+        if "evidence" in tables:
+            rest["evidence"] = without(tables["evidence"], "fact_id", gone)
+        if "edges" in tables:
+            rest["edges"] = without(without(tables["edges"], "fact_a_id", gone), "fact_b_id", gone)
+    if "evidence" in rest and "chunks" in tables and "chunk_id" in tables["evidence"].columns:
+        chunks = tables["chunks"].join(documents.withColumnRenamed("gone", "document_id"), "document_id", "left_semi").select(F.col("id").alias("chunk_id"), F.lit(True).alias("lost")).distinct()
+        marked = rest["evidence"].join(chunks, "chunk_id", "left")
+        rest["evidence"] = marked.withColumn("chunk_id", F.when(F.col("lost").isNull(), F.col("chunk_id"))).select(*tables["evidence"].columns)
+    return rest
 
 
 def dedup_documents(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -223,31 +316,38 @@ def register_datasets(names: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def fact_confidence(facts: DataFrame, quote: str = "quote", page: str = "page_number", corroborated: Column | None = None) -> DataFrame:
-    """Score 0 to 100, level and counts of good and bad signals of each fact."""
-    missing = lambda c, *more: F.coalesce(strip(F.lower(F.col(c).cast("string"))), F.lit("")).isin("none", "null", "unknown", "", "n/a", *more)
+    """score (0 to 100), level, signals, and counts of good and bad ones for each fact.
+
+    signals: array<struct<signal, impact, status, description>> in a fixed order; status is pass, warn or
+    fail. A fact whose metadata (a map, if there is one) has table_ambiguity or extraction_warning loses
+    15. Who is corroborated is for the caller to say.
+    """
+    unknown = ("none", "null", "unknown", "", "n/a")
+    tidy = lambda c: F.coalesce(strip(F.lower(c.cast("string"))), F.lit(""))
     length = F.char_length(F.coalesce(strip(F.col(quote)), F.lit("")))
     number = F.col("normalized_value_numeric").isNotNull() | F.col("value_numeric").isNotNull()
     digit = F.coalesce(F.coalesce(nonblank(F.col("raw_value_text")), F.col("raw_claim")).rlike(r"(?U)\d"), F.lit(False))
     unit = F.coalesce(nonblank(F.col("unit")), F.col("normalized_unit"))
-    no_unit = F.coalesce(strip(F.lower(unit)), F.lit("")).isin("none", "null", "unknown", "", "n/a")
+    has_unit, has_period, has_scope = ~tidy(unit).isin(*unknown), ~tidy(F.col("period_text")).isin(*unknown), ~tidy(F.col("scope")).isin(*unknown, "actual")
     paged = F.coalesce(F.col(page).try_cast("int") > 0, F.lit(False))
-    impacts = [
-        F.when(length >= 20, 20).when(length > 0, 10).otherwise(-20), F.when(paged, 15).otherwise(-10), F.when(missing("period_text"), -5).otherwise(10),
-        F.when(~no_unit, 10).when(number | digit, -5).otherwise(5), F.when(missing("scope", "actual"), 0).otherwise(5), F.when(number, 5), F.when(corroborated if corroborated is not None else F.lit(False), 5),
-    ]
-    states = [
-        F.when(length >= 20, "pass").when(length > 0, "warn").otherwise("fail"), F.when(paged, "pass").otherwise("warn"), F.when(missing("period_text"), "warn").otherwise("pass"),
-        F.when(no_unit & (number | digit), "warn").otherwise("pass"), F.when(missing("scope", "actual"), "warn").otherwise("pass"), F.when(number, "pass"), F.when(corroborated if corroborated is not None else F.lit(False), "pass"),
-    ]
-    total = F.lit(40)
-    for x in impacts:
-        total = total + F.coalesce(x, F.lit(0))
-    score = F.greatest(F.least(total, F.lit(100)), F.lit(0))
-    signals = F.array_compact(F.array(*states))
-    return facts.withColumns({
-        "score": score, "level": F.when(score >= 80, "HIGH").when(score >= 60, "MEDIUM").otherwise("LOW"),
-        "positive_count": F.size(F.filter(signals, lambda s: s == "pass")), "negative_count": F.size(F.filter(signals, lambda s: s != "pass")),
-    })
+    meta = F.col("metadata") if "metadata" in facts.columns else F.create_map().cast("map<string,string>")
+    on = lambda c: ~tidy(meta[c]).isin("", "false", "0")
+    signal = lambda name, impact, status, text: F.struct(F.lit(name).alias("signal"), F.lit(impact).alias("impact"), F.lit(status).alias("status"), (text if isinstance(text, Column) else F.lit(text)).alias("description"))
+    signals = F.array_compact(F.array(
+        F.when(length >= 20, signal("quote", 20, "pass", "The source is quoted.")).when(length > 0, signal("short quote", 10, "warn", F.concat(F.lit("The quote has only "), length.cast("string"), F.lit(" characters."))))
+        .otherwise(signal("no quote", -20, "fail", "Nothing is quoted from the source.")),
+        F.when(paged, signal("page", 15, "pass", F.concat(F.lit("It stands on page "), F.col(page).cast("string"), F.lit(".")))).otherwise(signal("no page", -10, "warn", "The page is not known.")),
+        F.when(has_period, signal("period", 10, "pass", F.concat(F.lit("It is about "), F.col("period_text"), F.lit(".")))).otherwise(signal("no period", -5, "warn", "No period is named.")),
+        F.when(has_unit, signal("unit", 10, "pass", F.concat(F.lit("It is measured in "), unit, F.lit(".")))).when(number | digit, signal("no unit", -5, "warn", "A number has no unit.")).otherwise(signal("in words", 5, "pass", "A statement in words needs no unit.")),
+        F.when(has_scope, signal("scope", 5, "pass", F.concat(F.lit("Its scope is "), F.col("scope"), F.lit(".")))).otherwise(signal("no scope", 0, "warn", "The scope is not known.")),
+        F.when(number, signal("number", 5, "pass", "The value is a number.")),
+        F.when(corroborated if corroborated is not None else F.lit(False), signal("corroborated", 5, "pass", "Another fact agrees.")),
+        F.when(on("table_ambiguity") | on("extraction_warning"), signal("table", -15, "fail", F.coalesce(nonblank(meta["extraction_warning"]), F.lit("The columns of a table are uncertain.")))),
+    ))
+    out = facts.withColumn("signals", signals)
+    score = F.greatest(F.least(F.aggregate(F.transform("signals", lambda x: x["impact"]), F.lit(40), lambda s, x: s + x), F.lit(100)), F.lit(0))
+    count = lambda good: F.size(F.filter("signals", lambda x: (x["status"] == "pass") == F.lit(good)))
+    return out.withColumns({"score": score, "positive_count": count(True), "negative_count": count(False)}).withColumn("level", F.when(F.col("score") >= 80, "HIGH").when(F.col("score") >= 60, "MEDIUM").otherwise("LOW"))
 
 
 def reset_runs(runs: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
@@ -272,5 +372,5 @@ def document_detail(filings: DataFrame, facts: DataFrame, evidence: DataFrame, c
     order = Window.partitionBy("document_id").orderBy(F.col("started_at").desc_nulls_first(), "id")
     latest = runs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= last)
     latest = latest.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("id").alias("run_id"), "status", "started_at"))).alias("runs"))
-    out = document_status(filings, runs, now).drop("document_id").join(n(facts, "facts"), "id", "left").join(n(chunks, "chunks"), "id", "left")
+    out = document_status(filings, runs, now).join(n(facts, "facts"), "id", "left").join(n(chunks, "chunks"), "id", "left")
     return out.join(pages, "id", "left").join(latest, "id", "left").fillna(0, ["facts", "chunks", "n_pages"])

@@ -11,27 +11,34 @@ from pyspark.sql.window import Window
 from factloom.functions.matching import candidate, jaccard, rule_relationship, tokens
 
 
-def _incidence(lists) -> np.ndarray:
+def _numbered(lists) -> list[np.ndarray]:
+    """Each list of tokens as numbers."""
     names = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
-    out = np.zeros((len(lists), max(1, len(names))), np.float32)
-    for i, x in enumerate(lists):
-        out[i, [names[t] for t in x]] = 1
-    return out
+    return [np.fromiter((names[t] for t in x), np.int64, len(x)) for x in lists]
 
 
-def _jaccard(m: np.ndarray, rows: slice, cols: slice) -> np.ndarray:
-    both = m[rows] @ m[cols].T
-    size = m.sum(1)
-    union = size[rows][:, None] + size[cols][None, :] - both
+def _jaccard(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of each two sets of numbers, by products of incidence matrices."""
+    used, at = np.unique(np.concatenate([*x, *y, np.zeros(0, np.int64)]), return_inverse=True)
+    sizes = np.array([len(v) for v in [*x, *y]])
+    m = np.zeros((len(sizes), max(1, len(used))), np.float32)
+    m[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+    both = m[: len(x)] @ m[len(x) :].T
+    union = sizes[: len(x), None] + sizes[None, len(x) :] - both
     return np.where(both > 0, both / np.maximum(union, 1), 0.0)
 
 
-def candidate_scores(facts: DataFrame, least: float = 0.5, require_cross: bool = True, tile: int = 1024) -> DataFrame:
+def _best(pairs: pd.DataFrame, n: int) -> pd.DataFrame:
+    return pairs.sort_values(["score", "fact_a_id", "fact_b_id"], ascending=[False, True, True])[:n]
+
+
+def candidate_scores(facts: DataFrame, least: float = 0.5, require_cross: bool = True, tile: int = 4096, block: int = 1024, most: int | None = None) -> DataFrame:
     """(fact_a_id, fact_b_id, dataset_id, vector_similarity, score) of every eligible pair at `least` or more.
 
-    Facts of a dataset are split at random into tiles, and every two tiles meet in one task: the
-    cosines are one matrix product, token overlaps products of incidence matrices. Only pairs that
-    reach `least` leave a task. facts: id, dataset_id, document_id, page_number, subject, predicate,
+    Facts of a dataset are split at random into tiles, and every two tiles meet in one task, `block` by
+    `block` facts at a time: the cosines are one matrix product, token overlaps products of incidence
+    matrices. Only pairs that reach `least` leave a task, and with `most` only its best ones by score
+    (which hold the dataset's best). A fact is copied once per tile of its dataset. facts: id, dataset_id, document_id, page_number, subject, predicate,
     raw_claim, normalized_unit, unit, embedding (null: scored on texts).
     """
     sizes = facts.groupBy("dataset_id").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
@@ -47,8 +54,6 @@ def candidate_scores(facts: DataFrame, least: float = 0.5, require_cross: bool =
         g = g.sort_values(["tile", "id"], ignore_index=True)
         cut = int((g["tile"] == g["tile_a"]).sum())
         one = g["tile_a"].iat[0] == g["tile_b"].iat[0]
-        r, c = (slice(0, len(g)), slice(0, len(g))) if one else (slice(0, cut), slice(cut, len(g)))
-        p, s, t = (_jaccard(_incidence(g[k].tolist()), r, c) for k in "psc")
         has = np.array([x is not None for x in g["embedding"]])
         dims = np.array([0 if x is None else len(x) for x in g["embedding"]])
         m = np.zeros((len(g), max(1, dims.max())))
@@ -57,34 +62,47 @@ def candidate_scores(facts: DataFrame, least: float = 0.5, require_cross: bool =
                 m[i, : len(x)] = x
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        v = np.clip(m[r] @ m[c].T, 0, 1) * (dims[r][:, None] == dims[c][None, :])
-        both = has[r][:, None] & has[c][None, :]
-        total = np.where(both, 0.65 * v + 0.20 * p + 0.15 * s, 0.50 * t + 0.30 * p + 0.20 * s).clip(0, 1)
-        total = np.floor(total * 1e4 + 0.5) / 1e4
+        sets = {k: _numbered(g[k].tolist()) for k in "psc"}
         ids, docs, units = (g[k].to_numpy(object) for k in ("id", "document_id", "unit_class"))
         pages = pd.to_numeric(g["page_number"]).to_numpy(float)
         doc = pd.factorize(docs, use_na_sentinel=False)[0]
         known = np.array([d is not None and d == d and d != "" for d in docs])
         u = pd.factorize(units)[0]
-        same_doc = (doc[r][:, None] == doc[c][None, :]) & known[r][:, None]
-        keep = (total >= least) & ~(same_doc & (pages[r][:, None] == pages[c][None, :]))
-        keep &= (u[r][:, None] == u[c][None, :]) | (u[r][:, None] < 0) | (u[c][None, :] < 0)
-        if require_cross:
-            keep &= ~same_doc & known[r][:, None] & known[c][None, :]
-        if one:
-            keep &= np.triu(np.ones_like(keep), 1)
-        i, j = np.nonzero(keep)
-        a, b = ids[r][i], ids[c][j]
-        swap = a > b
-        return pd.DataFrame({"fact_a_id": np.where(swap, b, a), "fact_b_id": np.where(swap, a, b), "dataset_id": g["dataset_id"].iat[0], "vector_similarity": np.where(both, v, np.nan)[i, j], "score": total[i, j]})
+        found = []
+        for at in range(0, len(g) if one else cut, block):
+            r = slice(at, min(at + block, len(g) if one else cut))
+            for to in range(at if one else cut, len(g), block):
+                c = slice(to, to + block)
+                p, s, t = (_jaccard(sets[k][r], sets[k][c]) for k in "psc")
+                v = np.clip(m[r] @ m[c].T, 0, 1) * (dims[r][:, None] == dims[c][None, :])
+                both = has[r][:, None] & has[c][None, :]
+                total = np.where(both, 0.65 * v + 0.20 * p + 0.15 * s, 0.50 * t + 0.30 * p + 0.20 * s).clip(0, 1)
+                total = np.floor(total * 1e4 + 0.5) / 1e4
+                same_doc = (doc[r][:, None] == doc[c][None, :]) & known[r][:, None]
+                keep = (total >= least) & ~(same_doc & (pages[r][:, None] == pages[c][None, :]))
+                keep &= (u[r][:, None] == u[c][None, :]) | (u[r][:, None] < 0) | (u[c][None, :] < 0)
+                if require_cross:
+                    keep &= ~same_doc & known[r][:, None] & known[c][None, :]
+                if one and at == to:
+                    keep &= np.triu(np.ones_like(keep), 1)
+                i, j = np.nonzero(keep)
+                a, b = ids[r][i], ids[c][j]
+                swap = a > b
+                found.append(pd.DataFrame({"fact_a_id": np.where(swap, b, a), "fact_b_id": np.where(swap, a, b), "dataset_id": g["dataset_id"].iat[0], "vector_similarity": np.where(both, v, np.nan)[i, j], "score": total[i, j]}))
+                if most is not None and sum(map(len, found)) > max(10 * most, 10_000):
+                    found = [_best(pd.concat(found), most)]
+        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("fact_a_id", "fact_b_id", "dataset_id", "vector_similarity", "score")}, dtype=object)
+        return out if most is None else _best(out, most)
 
     found = rows.groupBy("dataset_id", "tile_a", "tile_b").applyInPandas(score, "fact_a_id string, fact_b_id string, dataset_id string, vector_similarity double, score double")
     return found.where("fact_a_id <> fact_b_id")
 
 
-def candidate_pairs(facts: DataFrame, least: float = 0.5, require_cross: bool = True) -> DataFrame:
-    """`candidate_scores` with both facts as structs a and b, and the reasons of the gate."""
-    scores = candidate_scores(facts, least, require_cross)
+def candidate_pairs(facts: DataFrame, least: float = 0.5, require_cross: bool = True, most: int | None = None) -> DataFrame:
+    """`candidate_scores` (with `most`, the best ones of each dataset) with both facts as structs a and b,
+    and the reasons of the gate. Facts are joined after the choice."""
+    scores = candidate_scores(facts, least, require_cross, most=most)
+    scores = scores if most is None else max_candidates(scores, most)
     slim = facts.drop("embedding")
     side = lambda k: slim.select(F.col("id").alias(f"fact_{k}_id"), F.struct(*slim.columns).alias(k))
     pairs = scores.join(side("a"), "fact_a_id").join(side("b"), "fact_b_id")
@@ -99,56 +117,93 @@ def max_candidates(pairs: DataFrame, n: int = 20) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
 
 
+def canonical(pairs: DataFrame) -> DataFrame:
+    """Pairs (fact_a_id, fact_b_id, a, b) with the smaller id first."""
+    swap = F.col("fact_a_id") > F.col("fact_b_id")
+    turned = {x: F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (("fact_a_id", "fact_b_id"), ("fact_b_id", "fact_a_id"), ("a", "b"), ("b", "a"))}
+    return pairs.withColumns(turned)
+
+
+def parse_verdicts(answers: DataFrame) -> DataFrame:
+    """(fact_a_id, fact_b_id, verdict_type, verdict_confidence, verdict_reason, verdict_factors) of a model's
+    answers (fact_a_id, fact_b_id, answer) that hold a valid verdict: a known type, a confidence from 0 to
+    1 and a reason."""
+    kinds = ("CORROBORATES", "CONTRADICTS", "CONTEXTUAL_DIFFERENCE", "RELATED", "UNCERTAIN")
+    shape = "relationship_type string, confidence string, reason string, contextual_factors map<string,string>"
+    read = answers.withColumn("v", F.from_json(F.regexp_extract("answer", r"(?s)\{.*\}", 0), shape))
+    sure = F.col("v.confidence").try_cast("double")
+    fine = F.col("v.relationship_type").isin(*kinds) & sure.between(0, 1) & (F.col("v.reason") != "")
+    return read.where(fine).select("fact_a_id", "fact_b_id", F.col("v.relationship_type").alias("verdict_type"), sure.alias("verdict_confidence"), F.col("v.reason").alias("verdict_reason"), F.col("v.contextual_factors").alias("verdict_factors"))
+
+
 def classify_pairs(pairs: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Relationship of each pair (structs a, b): the rules from 0.90 on, else a supplied verdict
-    (fact_a_id, fact_b_id, verdict_type, verdict_confidence), else UNCERTAIN at 0.5."""
-    out = pairs.withColumn("rule", rule_relationship(F.col("a"), F.col("b")))
+    """Relationship of each pair (structs a, b) in canonical order: the rules from 0.90 on, else a supplied
+    verdict (fact_a_id, fact_b_id, verdict_type, verdict_confidence, and verdict_reason and
+    verdict_factors if there are any), else UNCERTAIN at 0.5."""
+    out = canonical(pairs).withColumn("rule", rule_relationship(F.col("a"), F.col("b")))
     sure = F.coalesce(F.col("rule.confidence") >= 0.90, F.lit(False))
-    if verdicts is None:
-        out = out.withColumns({"verdict_type": F.lit(None).cast("string"), "verdict_confidence": F.lit(None).cast("double")})
-    else:
+    kinds = {"verdict_type": "string", "verdict_confidence": "double", "verdict_reason": "string", "verdict_factors": "map<string,string>"}
+    if verdicts is not None:
         out = out.join(verdicts, ["fact_a_id", "fact_b_id"], "left")
+    out = out.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in out.columns})
     given = F.col("verdict_type").isNotNull()
     return out.withColumns({
         "relationship_type": F.when(sure, F.col("rule.type")).when(given, F.col("verdict_type")).otherwise("UNCERTAIN"),
         "confidence": F.when(sure, F.col("rule.confidence")).when(given, F.round("verdict_confidence", 3)).otherwise(0.5),
         "reasoning_method": F.when(sure, "deterministic_rules").when(given, "llm_contextual_reasoning").otherwise("fallback_uncertain"),
-    })
+        "reason": F.when(sure, F.col("rule.reason")).when(given, F.coalesce("verdict_reason", F.lit("A model judged the pair."))).otherwise("No rule decides the pair and no model has judged it."),
+        "contextual_factors": F.when(sure, F.col("rule.factors")).when(given, F.col("verdict_factors")),
+    }).drop("verdict_reason", "verdict_factors")
 
 
-def similar_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows (id, embedding) of every query by cosine distance.
+def similar_vectors(rows: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None, within: str | None = None, apart: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows (id, embedding) of every query by cosine distance,
+    of equal ones those with the smaller ids. Vectors of another length than the query's are no match.
 
-    Queries are dealt out in blocks of a bounded size, so any number of them is matched against all
-    rows by matrix products; each batch of rows keeps its own k best before anything is shuffled.
+    within: a column of both tables that must be equal (a dataset); apart: columns that must differ (a
+    document, the id itself). Queries are dealt out in blocks of a bounded size, so any number of them is
+    matched against all rows by matrix products; each slice of rows keeps its own k best before anything
+    is shuffled.
     """
     n_blocks = max(1, -(-queries.count() // 2048))
-    blocks = queries.select("query_id", "query").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     n_slices = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 50_000))
-    spread = rows.select("id", "embedding").where("embedding IS NOT NULL").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int"))
+    places = F.array(*[F.col(c).cast("string") for c in apart]).cast("array<string>")
+    side = lambda df, key, v, kind: df.where(F.col(v).isNotNull()).select(
+        F.size(v).alias("dim"), (F.col(within).cast("string") if within else F.lit("")).alias("within"), F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(v).alias("v"), places.alias("places"))
+    left = side(queries, "query_id", "query", 0).withColumns({"block": F.pmod(F.xxhash64("key"), F.lit(n_blocks)), "slice": F.explode(F.expr(f"sequence(0, {n_slices - 1})"))})
+    right = side(rows, "id", "embedding", 1).withColumns({"slice": F.pmod(F.xxhash64("key"), F.lit(n_slices)).cast("int"), "block": F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)"))})
+    kinds = {c: t.schema[n].dataType.simpleString() for c, t, n in (("query_id", queries, "query_id"), ("id", rows, "id"))}
 
     def nearest(g: pd.DataFrame) -> pd.DataFrame:
-        q = g[g["kind"] == 0]
-        r = g[g["kind"] == 1]
+        q, r = g[g["kind"] == 0], g[g["kind"] == 1].sort_values("key")
         if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []}, dtype=object)
         a, b = np.stack(q["v"].to_list()).astype(float), np.stack(r["v"].to_list()).astype(float)
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
         b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
         d = 1 - a @ b.T
-        top = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
-        i = np.repeat(np.arange(len(q)), top.shape[1])
-        return pd.DataFrame({"query_id": q["key"].to_numpy()[i], "id": r["key"].to_numpy()[top.ravel()], "distance": d[i, top.ravel()]})
-
-    left = blocks.select("block", F.explode(F.expr(f"sequence(0, {n_slices - 1})")).alias("slice"), F.lit(0).alias("kind"), F.col("query_id").alias("key"), F.col("query").alias("v"))
-    right = spread.select(F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("block"), "slice", F.lit(1).alias("kind"), F.col("id").alias("key"), F.col("embedding").alias("v"))
-    best = left.unionByName(right).groupBy("block", "slice").applyInPandas(nearest, "query_id long, id long, distance double")
+        for i in range(len(apart)):
+            d[np.array([x[i] for x in q["places"]], object)[:, None] == np.array([x[i] for x in r["places"]], object)[None, :]] = np.inf
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are in order of their ids
+        i, top = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+        found = np.isfinite(d[i, top])
+        i, top = i[found], top[found]
+        plain = lambda keys, at: pd.Series(keys.to_numpy(object)[at], dtype=object)
+        return pd.DataFrame({"query_id": plain(q["key"], i), "id": plain(r["key"], top), "distance": d[i, top]})
+
+    best = left.unionByName(right).groupBy("within", "dim", "block", "slice").applyInPandas(nearest, f"query_id {kinds['query_id']}, id {kinds['id']}, distance double")
     if least is not None:
         best = best.where(1 - F.col("distance") >= least)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest_facts(facts: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
+    """(query_id, id, similarity, rank): the k facts (id, dataset_id, document_id, embedding) nearest to each
+    query fact, in its dataset and in other documents, with a similarity of `least` or more."""
+    q = queries.withColumns({"query_id": F.col("id"), "query": F.col("embedding")})
+    return similar_vectors(facts, q, k, least, "dataset_id", ("id", "document_id")).select("query_id", "id", (1 - F.col("distance")).alias("similarity"), "rank")
+
 
 def _scored_side(facts: DataFrame) -> DataFrame:
     """dataset_id and a struct of what a pair's score needs: tokens and the unit vector, made once a fact."""

@@ -189,20 +189,46 @@ def fact_embedding_text() -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("Entity: "), "subject"), F.concat(F.lit("Metric: "), "predicate"), F.concat(F.lit("Claim: "), "raw_claim"), part("Period: ", "period_text"), part("Unit: ", "normalized_unit"))
 
 
-def rag_context(hits: DataFrame, texts: DataFrame, nothing: str = "No relevant document chunks found.") -> DataFrame:
-    """A context per query from its hits (query_id, id, distance, rank) and texts (id, text)."""
+def rag_context(hits: DataFrame, texts: DataFrame, queries: DataFrame, nothing: str = "No relevant document chunks found.") -> DataFrame:
+    """A context for every query (query_id) from its hits (query_id, id, distance, rank) and texts (id, text);
+    a query without hits gets `nothing`."""
     line = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("] ("), F.col("id").cast("string"), F.lit(", "), F.format_string("%.3f", 1 - F.col("distance")), F.lit(")\n"), F.col("text"))
     lines = hits.join(texts, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    lines = queries.select("query_id").distinct().join(lines, "query_id", "left")
     return lines.select("query_id", F.coalesce(nonblank(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")), F.lit(nothing)).alias("context"))
 
 
-def select_pages(pages: DataFrame, extracted: DataFrame, most: int | None = None) -> DataFrame:
-    """Pages (document_id, page_id, page_number) not extracted yet; all of a document's if none is left."""
-    done = extracted.select("page_id").distinct().withColumn("done", F.lit(True))
-    marked = pages.join(done, "page_id", "left").withColumn("left", F.sum(F.when(F.col("done").isNull(), 1).otherwise(0)).over(Window.partitionBy("document_id")))
-    wanted = marked.where(F.col("done").isNull() | (F.col("left") == 0))
-    wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "page_id")))
-    return (wanted if most is None else wanted.where(F.col("turn") <= most)).drop("done", "left")
+def select_pages(pages: DataFrame, extracted: DataFrame, most: int | None = None, numbers: list[int] | None = None, offset: int = 0) -> DataFrame:
+    """Pages (document_id, page_id, page_number) to process, numbered by `turn` within each document.
+
+    Those of `numbers`, if any are named; else those after the first `offset` ones, if it is above 0;
+    else those not extracted yet, or all of a document's if none is left. Of the last two at most `most`.
+    """
+    order = Window.partitionBy("document_id").orderBy("page_number", "page_id")
+    if numbers:
+        return pages.where(F.col("page_number").isin(*numbers)).withColumn("turn", F.row_number().over(order))
+    if offset > 0:
+        wanted = pages.withColumn("turn", F.row_number().over(order) - offset).where("turn > 0")
+    else:
+        done = extracted.select("page_id").distinct().withColumn("done", F.lit(True))
+        marked = pages.join(done, "page_id", "left").withColumn("left", F.sum(F.when(F.col("done").isNull(), 1).otherwise(0)).over(Window.partitionBy("document_id")))
+        wanted = marked.where(F.col("done").isNull() | (F.col("left") == 0)).drop("done", "left").withColumn("turn", F.row_number().over(order))
+    return wanted if most is None else wanted.where(F.col("turn") <= most)
+
+
+def nonblank_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages whose text is more than white space."""
+    return pages.where(F.coalesce(strip(F.col(text)), F.lit("")) != "")
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes in hex."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def chunk_index(pages: DataFrame, pieces: Column, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A row per piece of a page (an array column) with its place in the page from 0."""
+    return pages.select(*keep, F.posexplode(pieces).alias("chunk_index", "text"))
 
 
 def format_value(value: Column, unit: Column) -> Column:

@@ -53,10 +53,10 @@ DUCK["d_rich"] = "SELECT f.*, g.filename, e.quote, coalesce(e.evidence_page, f.p
 DUCK["d_detailed"] = "SELECT e.*, a, b FROM {fx_edges} e JOIN {d_rich} a ON a.id = e.fact_a_id JOIN {d_rich} b ON b.id = e.fact_b_id"
 DUCK["d_picks"] = """SELECT * FROM (SELECT f.*, lower(subject) AS subject_key, lower(predicate) AS predicate_key FROM {d_facts} f) QUALIFY row_number() OVER (PARTITION BY subject_key, predicate_key, document_id
     ORDER BY nv IS NULL, CASE WHEN nv IS NOT NULL THEN created_at END, CASE WHEN nv IS NULL THEN created_at END DESC, CASE WHEN nv IS NOT NULL THEN id END, CASE WHEN nv IS NULL THEN id END DESC) = 1"""
-DUCK["d_compared"] = """SELECT comparison_id, subject_key, predicate_key, value_a, value_b, percent, CASE WHEN NOT has_b THEN 'NOT_FOUND' WHEN NOT has_a THEN 'ADDED' WHEN sa <> sb THEN 'CONTEXT_CHANGED' WHEN percent > 0.5 THEN 'INCREASED' WHEN percent < -0.5 THEN 'DECREASED' WHEN percent IS NOT NULL THEN 'UNCHANGED' WHEN ta = tb THEN 'UNCHANGED' ELSE 'CONTEXT_CHANGED' END AS category
+DUCK["d_compared"] = """SELECT comparison_id, subject_key, predicate_key, value_a, value_b, raw_a, raw_b, percent, CASE WHEN NOT has_b THEN 'NOT_FOUND' WHEN NOT has_a THEN 'ADDED' WHEN sa <> sb THEN 'CONTEXT_CHANGED' WHEN percent > 0.5 THEN 'INCREASED' WHEN percent < -0.5 THEN 'DECREASED' WHEN percent IS NOT NULL THEN 'UNCHANGED' WHEN ta = tb THEN 'UNCHANGED' ELSE 'CONTEXT_CHANGED' END AS category
     FROM (SELECT *, round(CASE WHEN value_a IS NOT NULL AND value_b IS NOT NULL THEN (CASE WHEN abs(value_a) > 1e-9 THEN (value_b - value_a) / abs(value_a) * 100 WHEN abs(value_b) > 1e-9 THEN 100.0 ELSE 0.0 END) END, 2) AS percent FROM (
     SELECT s.comparison_id, subject_key, predicate_key, max(nv) FILTER (ordinal = 1) AS value_a, max(nv) FILTER (ordinal = 2) AS value_b, max(scope) FILTER (ordinal = 1) AS sa, max(scope) FILTER (ordinal = 2) AS sb,
-      max(lower(raw_value_text)) FILTER (ordinal = 1) AS ta, max(lower(raw_value_text)) FILTER (ordinal = 2) AS tb, count(*) FILTER (ordinal = 1) > 0 AS has_a, count(*) FILTER (ordinal = 2) > 0 AS has_b
+      max(raw_value_text) FILTER (ordinal = 1) AS raw_a, max(raw_value_text) FILTER (ordinal = 2) AS raw_b, max(lower(raw_value_text)) FILTER (ordinal = 1) AS ta, max(lower(raw_value_text)) FILTER (ordinal = 2) AS tb, count(*) FILTER (ordinal = 1) > 0 AS has_a, count(*) FILTER (ordinal = 2) > 0 AS has_b
     FROM {d_picks} p JOIN {fx_selection} s ON s.document_id = p.document_id GROUP BY 1, 2, 3))"""
 DUCK["d_similar"] = "SELECT query_id, vec_id AS id, 1 - list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])), vec_id) AS rank FROM {fx_queries} CROSS JOIN {embeddings}"
 
@@ -71,25 +71,27 @@ SQL["page_table"] = r"SELECT document_id, page_number, CAST(length(t) AS INT) AS
 SQL["upsert_relationships"] = """WITH o AS (SELECT * FROM {fx_edges} WHERE confidence >= 0.7), n AS (SELECT * FROM {fx_edges} WHERE confidence < 0.8)
 SELECT coalesce(o.fact_a_id, n.fact_a_id) AS fact_a_id, coalesce(o.fact_b_id, n.fact_b_id) AS fact_b_id, coalesce(n.relationship_type, o.relationship_type) AS relationship_type, CASE WHEN n.fact_a_id IS NULL THEN o.confidence ELSE 0.5 END AS confidence,
 concat(CASE WHEN o.fact_a_id IS NULL THEN '' ELSE 'old-' END, coalesce(o.fact_a_id, n.fact_a_id), '/', coalesce(o.fact_b_id, n.fact_b_id)) AS id FROM o FULL JOIN n ON o.fact_a_id = n.fact_a_id AND o.fact_b_id = n.fact_b_id"""
-SQL["append_facts_evidence"] = "SELECT f.dataset_id, count(DISTINCT f.id) AS facts, count(e.id) AS evidence FROM {fx_facts} f LEFT JOIN {fx_evidence} e ON e.fact_id = f.id GROUP BY 1"
+SQL["append_facts_evidence"] = "SELECT f.dataset_id, count(*) AS facts, min(f.id) AS first_facts, count(*) AS evidence, min(f.id) AS first_evidence FROM {fx_facts} f JOIN {d_first} e ON e.fact_id = f.id GROUP BY 1"
 SQL["delete_dataset_cascade"] = """SELECT 'filings' AS part, count(*) AS n FROM {fx_filings} WHERE dataset_id <> 'ASIA' UNION ALL SELECT 'facts', count(*) FROM {fx_facts} WHERE dataset_id <> 'ASIA'
-UNION ALL SELECT 'evidence', count(*) FROM {fx_evidence} WHERE NOT starts_with(fact_id, 'ASIA-') UNION ALL SELECT 'edges', count(*) FROM {fx_edges} WHERE NOT starts_with(fact_a_id, 'ASIA-') AND NOT starts_with(fact_b_id, 'ASIA-')"""
+UNION ALL SELECT 'evidence', count(*) FROM {fx_evidence} WHERE NOT starts_with(fact_id, 'ASIA-') UNION ALL SELECT 'edges', count(*) FROM {fx_edges} WHERE NOT starts_with(fact_a_id, 'ASIA-') AND NOT starts_with(fact_b_id, 'ASIA-')
+UNION ALL SELECT 'pages', count(*) FROM {fx_pages} WHERE page_number % 3 > 0 UNION ALL SELECT 'chunks', count(*) FROM {fx_pages} WHERE page_number % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM {fx_runs} WHERE document_id % 3 > 0
+UNION ALL SELECT 'evidence with a chunk', count(*) FROM {fx_evidence} WHERE NOT starts_with(fact_id, 'ASIA-') AND page_number % 3 > 0"""
 SQL["select_pages"] = """SELECT page_id, CAST(turn AS INT) AS turn FROM (SELECT page_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, page_id) AS turn FROM (SELECT p.id AS page_id, p.document_id, p.page_number, d.page_id IS NULL AS fresh, count(*) FILTER (d.page_id IS NULL) OVER (PARTITION BY p.document_id) AS remaining
 FROM {fx_pages} p LEFT JOIN (SELECT DISTINCT page_id FROM {fx_evidence}) d ON d.page_id = p.id) WHERE fresh OR remaining = 0) WHERE turn <= 10"""
 SQL["nonblank_pages"] = r"SELECT id FROM {fx_pages} WHERE regexp_matches(text, '\S')"
 SQL["facts_by_dataset"] = "SELECT id, created_at FROM {fx_facts} WHERE dataset_id = 'ASIA' ORDER BY created_at, id"
-SQL["facts_search"] = "SELECT id, created_at, count(*) OVER () AS total FROM {fx_facts} WHERE dataset_id = 'EUROPE' AND subject ILIKE '%brand#1%' AND (subject ILIKE '%REVENUE%' OR predicate ILIKE '%REVENUE%' OR raw_claim ILIKE '%REVENUE%') ORDER BY created_at DESC, id LIMIT 50 OFFSET 10"
+SQL["facts_search"] = "SELECT id, created_at, count(*) OVER () AS total FROM {fx_facts} WHERE dataset_id = 'EUROPE' AND bn % 2 = 0 AND subject ILIKE '%brand#%' AND (subject ILIKE '%REVENUE%' OR predicate ILIKE '%REVENUE%' OR raw_claim ILIKE '%REVENUE%') ORDER BY created_at DESC, id LIMIT 50 OFFSET 10"
 SQL["fact_view"] = "SELECT f.id, f.subject, f.predicate, e.quote, coalesce(e.evidence_page, f.page_number) AS page, coalesce(f.nv, f.value_numeric) AS value, coalesce(f.normalized_unit, f.unit) AS shown_unit FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id"
-SQL["relationship_filters"] = "SELECT fact_a_id, fact_b_id, confidence FROM {d_detailed} WHERE relationship_type = 'CONTRADICTS' AND confidence >= 0.6 AND a.document_id <> b.document_id"
+SQL["relationship_filters"] = "SELECT fact_a_id, fact_b_id, confidence FROM {d_detailed} WHERE relationship_type = 'CONTRADICTS' AND confidence >= 0.6 AND a.document_id <> b.document_id AND a.dataset_id = 'EUROPE'"
 SQL["relationship_filters_pages"] = "SELECT relationship_type, count(*) AS n FROM {d_detailed} WHERE a.document_id <> b.document_id OR a.page <> b.page OR a.page IS NULL OR b.page IS NULL GROUP BY 1"
-SQL["purge_same_page"] = "SELECT 'kept' AS part, count(*) FILTER (NOT coalesce(a.document_id = b.document_id AND a.page = b.page, false)) AS n FROM {d_detailed} UNION ALL SELECT 'removed', count(*) FILTER (a.document_id = b.document_id AND a.page = b.page) FROM {d_detailed}"
-SQL["relationship_search"] = "SELECT fact_a_id, fact_b_id FROM {d_detailed} WHERE confidence >= 0.55 AND (contains(lower(a.filename), 'asia') OR contains(lower(b.raw_claim), 'brand#2'))"
+SQL["purge_same_page"] = "SELECT fact_a_id, fact_b_id, NOT coalesce(a.document_id = b.document_id AND a.page = b.page, false) AS kept FROM {d_detailed}"
+SQL["relationship_search"] = "SELECT fact_a_id, fact_b_id FROM {d_detailed} WHERE confidence >= 0.55 AND a.document_id <> b.document_id AND contains(lower(concat_ws(' ', a.filename, a.predicate, a.raw_claim, a.subject, b.filename, b.predicate, b.raw_claim, b.subject)), 'brand#2')"
 SQL["document_search"] = "SELECT id, filename FROM {fx_filings} WHERE contains(lower(filename), 'am')"
 SQL["validate_facts"] = "SELECT id, CASE WHEN period_end < period_start THEN 'period' ELSE '' END AS violations FROM {d_facts}"
-SQL["validate_evidence"] = r"SELECT id, concat_ws(',', CASE WHEN NOT regexp_matches(quote, '\S') THEN 'text' END, CASE WHEN length(quote) < 20 THEN 'order' END) AS violations FROM {fx_evidence}"
-SQL["validate_relationships"] = "SELECT CASE WHEN confidence * 1.3 > 1 THEN 'order,confidence' ELSE 'order' END AS violations, count(*) AS n FROM {fx_edges} GROUP BY 1"
+SQL["validate_evidence"] = r"SELECT id, concat_ws(',', CASE WHEN NOT regexp_matches(quote, '\S') THEN 'text' END, CASE WHEN length(quote) < 20 THEN 'order' END, CASE WHEN length(quote) > 40 THEN 'confidence' END) AS violations FROM {fx_evidence}"
+SQL["validate_relationships"] = "SELECT fact_b_id AS fact_a_id, fact_a_id AS fact_b_id, concat_ws(',', 'order', CASE WHEN confidence * 1.3 > 1 THEN 'confidence' END, CASE WHEN relationship_type = 'RELATED' THEN 'reason' END) AS violations FROM {fx_edges}"
 SQL["validate_vectors"] = "SELECT vec_id, CAST(CASE WHEN len(embedding) = 64 THEN 0 ELSE 1 END AS BIGINT) AS n FROM {embeddings}"
-SQL["confidence_band"] = "SELECT id, CASE WHEN round(confidence * 100) >= 90 THEN 'HIGH' WHEN round(confidence * 100) >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM {fx_facts}"
+SQL["confidence_band"] = "SELECT id, CASE WHEN s >= 90 THEN 'HIGH' WHEN s >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT id, CASE WHEN bn % 3 = 0 THEN bn * 4 ELSE round(confidence * 100) END AS s FROM {fx_facts})"
 SQL["first_evidence"] = "SELECT * FROM {d_first}"
 SQL["facts_for_matching"] = "SELECT id, page AS page_number, quote FROM {d_rich}"
 SQL["facts_with_evidence"] = "SELECT f.id, f.quote, (SELECT count(*) FROM {fx_evidence} e WHERE e.fact_id = f.id) AS n_evidence FROM {d_rich} f"
@@ -104,7 +106,7 @@ SQL["scale_multiplier"] = "SELECT id, factor FROM {d_facts}"
 SQL["normalize_number"] = "SELECT id, nv AS value FROM {d_facts}"
 SQL["normalize_unit"] = "SELECT id, normalized_unit FROM {d_facts}"
 SQL["normalize_period"] = "SELECT id, CAST(period_start AS DATE) AS period_start, CAST(period_end AS DATE) AS period_end FROM {d_facts}"
-SQL["normalize_facts"] = "SELECT dataset_id, normalized_unit, count(*) AS n, round(sum(nv), 0) AS total, CAST(min(period_start) AS DATE) AS first_start FROM {d_facts} GROUP BY 1, 2"
+SQL["normalize_facts"] = "SELECT id, nv AS normalized_value_numeric, normalized_unit, CASE WHEN bn % 2 = 0 THEN make_date(y, 1, 1) ELSE CAST(period_start AS DATE) END AS period_start, CAST(period_end AS DATE) AS period_end FROM {d_facts}"
 SQL["predicate_alignment"] = "SELECT fact_a_id, fact_b_id, true AS aligned, CAST(1.0 AS DOUBLE) AS score FROM {d_pairs}"
 SQL["token_jaccard"] = f"SELECT fact_a_id, fact_b_id, round({_jaccard('x', 'y')}, 4) AS similarity FROM (SELECT fact_a_id, fact_b_id, {_tokens('a.raw_claim')} AS x, {_tokens('b.raw_claim')} AS y FROM {{d_pairs}})"
 SQL["cosine_similarity"] = "SELECT query_id, vec_id, round(greatest(least(list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 1.0), 0.0), 4) AS similarity FROM {fx_queries} CROSS JOIN {embeddings}"
@@ -115,31 +117,34 @@ SQL["printed_page_number"] = r"SELECT doc_id, coalesce(nullif(regexp_extract(lin
 SQL["format_value"] = """SELECT id, CASE WHEN nv IS NULL THEN '—' ELSE concat(CASE WHEN normalized_unit = 'INR' THEN '₹' WHEN normalized_unit = 'USD' THEN '$' ELSE '' END,
 CASE WHEN normalized_unit = 'INR' AND abs(nv) >= 1e7 THEN concat(CAST(CAST(CAST(nv / 1e7 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), ' Cr') WHEN normalized_unit = 'INR' AND abs(nv) >= 1e5 THEN concat(CAST(CAST(CAST(nv / 1e5 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), ' Lakh') WHEN abs(nv) >= 1e9 THEN concat(CAST(CAST(CAST(nv / 1e9 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'B') WHEN abs(nv) >= 1e6 THEN concat(CAST(CAST(CAST(nv / 1e6 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'M') WHEN abs(nv) >= 1e3 THEN concat(CAST(CAST(CAST(nv / 1e3 AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), 'K') ELSE concat(CAST(CAST(CAST(nv AS DECIMAL(38,9)) AS DECIMAL(38,2)) AS VARCHAR), '') END) END AS shown FROM {d_facts}"""
 SQL["dataset_counts"] = """SELECT d.id, (SELECT count(*) FROM {fx_filings} g WHERE g.dataset_id = d.id) AS documents, (SELECT count(*) FROM {fx_facts} f WHERE f.dataset_id = d.id) AS facts, (SELECT count(*) FROM {fx_edges} e JOIN {fx_facts} f ON f.id = e.fact_a_id WHERE f.dataset_id = d.id) AS relationships FROM {fx_datasets} d"""
-SQL["extracted_pages"] = "SELECT document_id, count(DISTINCT page_number) AS n_pages, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages FROM (SELECT page_document AS document_id, page_number FROM {fx_evidence} UNION ALL SELECT document_id, page_number FROM {fx_pages} WHERE page_number <= 3) GROUP BY 1"
+SQL["extracted_pages"] = "SELECT document_id, count(DISTINCT page_number) AS n_pages, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages FROM (SELECT page_document AS document_id, page_number FROM {fx_evidence} UNION ALL SELECT document_id, page_number FROM {fx_pages}) GROUP BY 1"
 SQL["relationship_stats"] = "SELECT scope, relationship_type, count(*) AS n FROM (SELECT *, CASE WHEN a.document_id <> b.document_id THEN 'cross' ELSE 'same' END AS scope FROM {d_detailed}) GROUP BY CUBE (scope, relationship_type)"
 SQL["overview_totals"] = "SELECT (SELECT count(*) FROM {fx_filings}) AS documents, (SELECT count(*) FROM {fx_facts}) AS facts, (SELECT count(*) FROM {fx_edges}) AS relationships, (SELECT count(*) FROM {fx_pages}) AS pages"
 SQL["document_fact_counts"] = "SELECT comparison_id, ordinal, s.document_id, count(f.id) AS facts FROM {fx_selection} s LEFT JOIN {fx_facts} f ON f.document_id = s.document_id GROUP BY 1, 2, 3"
-SQL["run_counters"] = "SELECT id, CAST(facts_extracted + CASE WHEN facts_extracted > 50 THEN 2 ELSE 0 END AS BIGINT) AS facts_extracted FROM {fx_runs}"
-SQL["document_status"] = "SELECT document_id AS id, CASE WHEN status = 'PROCESSING' AND started_at < CAST('2024-01-30 23:55:00' AS TIMESTAMP) THEN 'failed' ELSE lower(status) END AS shown_status FROM {fx_runs} QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY started_at DESC NULLS FIRST, id) = 1"
+SQL["run_counters"] = "SELECT id, CAST(facts_extracted + CASE WHEN facts_extracted > 50 THEN 2 ELSE 0 END AS BIGINT) AS facts_extracted, CAST(CASE WHEN facts_extracted > 50 THEN 1 ELSE 0 END AS BIGINT) AS facts_rejected, CAST(CASE WHEN facts_extracted > 50 THEN 3 ELSE 0 END AS BIGINT) AS chunks_created, CASE WHEN facts_extracted > 50 THEN 'COMPLETED' ELSE status END AS status FROM {fx_runs}"
+SQL["document_status"] = "SELECT document_id AS id, CASE WHEN status = 'PROCESSING' AND started_at < CAST('2024-01-30 23:55:00' AS TIMESTAMP) THEN 'failed' ELSE lower(status) END AS shown_status, CAST(CASE WHEN document_id % 3 > 0 THEN document_id % 7 ELSE 0 END AS INT) AS page_count, CAST(CASE WHEN document_id % 2 = 0 THEN document_id * 10 ELSE 0 END AS BIGINT) AS file_size_bytes FROM {fx_runs} QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY started_at DESC NULLS FIRST, id) = 1"
 SQL["stale_runs"] = "SELECT id, CASE WHEN s THEN 'FAILED' ELSE status END AS status, s AS changed FROM (SELECT *, status = 'PROCESSING' AND started_at < CAST('2024-01-30 23:55:00' AS TIMESTAMP) AS s FROM {fx_runs})"
 SQL["active_run"] = "SELECT document_id, id FROM {fx_runs} WHERE status = 'PROCESSING' AND started_at >= CAST('2024-01-14 12:00:00' AS TIMESTAMP) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY started_at DESC, id) = 1"
 SQL["extraction_batches"] = "SELECT document_id, batch_no, sha256(string_agg(concat('[chunk_', i % 2 + 1, ']', chr(10), text), concat(chr(10), chr(10)) ORDER BY i)) AS prompt, count(*) AS n_chunks FROM (SELECT document_id, text, page_number - 1 AS i, CAST((page_number - 1) // 2 AS BIGINT) AS batch_no FROM {fx_pages}) GROUP BY 1, 2"
 SQL["similar_chunks"] = "SELECT query_id, id, round(distance, 4) AS distance, CAST(rank AS INT) AS rank FROM {d_similar} WHERE rank <= 5"
-SQL["nearest_facts"] = "SELECT query_id, id, round(1 - distance, 4) AS similarity FROM {d_similar} WHERE rank <= 11 AND 1 - distance >= 0.2 AND id <> query_id"
+SQL["nearest_facts"] = """SELECT query_id, id, round(1 - distance, 4) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND q.vec_id % 2 = e.vec_id % 2 AND q.vec_id % 5 <> e.vec_id % 5)
+WHERE 1 - distance >= 0.2) WHERE rank <= 10"""
 SQL["best_case_per_type"] = "SELECT relationship_type, fact_a_id, fact_b_id, confidence FROM {d_detailed} QUALIFY row_number() OVER (PARTITION BY relationship_type ORDER BY (a.document_id <> b.document_id AND relationship_type <> 'UNCERTAIN') DESC, confidence DESC, created_at DESC, fact_a_id, fact_b_id) = 1"
 SQL["metric_pick"] = "SELECT document_id, subject_key, predicate_key, id FROM {d_picks}"
 SQL["numeric_variance"] = "SELECT fact_a_id, fact_b_id, round(v, 4) AS variance FROM {d_pairs}"
-SQL["deterministic_relationship"] = 'SELECT fact_a_id, fact_b_id, rule_type AS "type", CAST(rule_confidence AS DOUBLE) AS confidence FROM {d_rules}'
+SQL["deterministic_relationship"] = """SELECT fact_a_id, fact_b_id, rule_type AS "type", CAST(rule_confidence AS DOUBLE) AS confidence, CASE rule_confidence WHEN 0.96 THEN 'temporal_overlap,variance' WHEN 0.90 THEN 'scope_factor,variance' WHEN 0.95 THEN 'temporal_difference' WHEN 0.92 THEN (CASE rule_type WHEN 'CONTRADICTS' THEN 'period,variance' ELSE 'status_factor' END) END AS factors FROM {d_rules}"""
 SQL["classify_pairs"] = """SELECT fact_a_id, fact_b_id, CASE WHEN rule_type IS NOT NULL THEN rule_type WHEN given THEN relationship_type ELSE 'UNCERTAIN' END AS relationship_type, CAST(CASE WHEN rule_type IS NOT NULL THEN rule_confidence WHEN given THEN round(confidence, 3) ELSE 0.5 END AS DOUBLE) AS confidence,
-CASE WHEN rule_type IS NOT NULL THEN 'deterministic_rules' WHEN given THEN 'llm_contextual_reasoning' ELSE 'fallback_uncertain' END AS reasoning_method FROM (SELECT *, edge_created >= CAST('2024-01-05' AS TIMESTAMP) AS given FROM {d_rules})"""
-SQL["compare_documents"] = "SELECT comparison_id, subject_key, predicate_key, category, percent, value_a, value_b FROM {d_compared}"
+CASE WHEN rule_type IS NOT NULL THEN 'deterministic_rules' WHEN given THEN 'llm_contextual_reasoning' ELSE 'fallback_uncertain' END AS reasoning_method FROM (SELECT *, edge_created >= CAST('2024-01-05' AS TIMESTAMP) AND relationship_type <> 'RELATED' AS given FROM {d_rules})"""
+SQL["compare_documents"] = "SELECT comparison_id, subject_key, predicate_key, category, percent, value_a, value_b, raw_a, raw_b FROM {d_compared}"
 SQL["comparison_summary"] = "SELECT comparison_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c.lower()}" for c in ("INCREASED", "DECREASED", "CONTEXT_CHANGED", "UNCHANGED", "ADDED", "NOT_FOUND")) + " FROM {d_compared} GROUP BY 1"
-SQL["metric_filters"] = "SELECT comparison_id, subject_key, category FROM {d_compared} WHERE category <> 'UNCHANGED' AND (contains(predicate_key, 'volume') OR contains(subject_key, 'volume'))"
-SQL["fact_confidence"] = r"""SELECT id, CAST(greatest(least(s, 100), 0) AS INT) AS score, CASE WHEN s >= 80 THEN 'HIGH' WHEN s >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(good AS INT) AS positive_count, CAST(5 + num - good AS INT) AS negative_count FROM (
-SELECT id, num, 40 + (CASE WHEN len >= 20 THEN 20 WHEN len > 0 THEN 10 ELSE -20 END) + (CASE WHEN page > 0 THEN 15 ELSE -10 END) + 10 + (CASE WHEN hasunit THEN 10 WHEN num = 1 OR digit THEN -5 ELSE 5 END) + (CASE WHEN hasscope THEN 5 ELSE 0 END) + num * 5 AS s,
+SQL["metric_filters"] = "SELECT comparison_id, subject_key, predicate_key, category FROM {d_compared} WHERE category <> 'UNCHANGED' AND contains(lower(concat_ws(' ', predicate_key, subject_key, raw_a, raw_b)), 'usd')"
+SQL["fact_confidence"] = r"""SELECT id, CAST(greatest(least(s, 100), 0) AS INT) AS score, CASE WHEN s >= 80 THEN 'HIGH' WHEN s >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(good AS INT) AS positive_count, CAST(5 + num + warned - good AS INT) AS negative_count FROM (
+SELECT id, num, warned, 40 - 15 * warned + (CASE WHEN len >= 20 THEN 20 WHEN len > 0 THEN 10 ELSE -20 END) + (CASE WHEN page > 0 THEN 15 ELSE -10 END) + 10 + (CASE WHEN hasunit THEN 10 WHEN num = 1 OR digit THEN -5 ELSE 5 END) + (CASE WHEN hasscope THEN 5 ELSE 0 END) + num * 5 AS s,
 CAST(len >= 20 AS INT) + CAST(page > 0 AS INT) + 1 + CAST(hasunit OR NOT (num = 1 OR digit) AS INT) + CAST(hasscope AS INT) + num AS good FROM (
-SELECT f.id, length(coalesce(regexp_replace(e.quote, '^\s+|\s+$', '', 'g'), '')) AS len, coalesce(e.evidence_page, f.page_number) AS page, f.normalized_unit IS NOT NULL AS hasunit, CAST(nv IS NOT NULL OR value_numeric IS NOT NULL AS INT) AS num, regexp_matches(f.raw_value_text, '\d') AS digit, f.scope IS NOT NULL AS hasscope FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id))"""
-SQL["rag_context"] = "SELECT query_id, sha256(string_agg(concat('[Source ', rank, '] (', id, ', ', printf('%.3f', 1 - distance), ')', chr(10), text), concat(chr(10), chr(10)) ORDER BY rank)) AS context FROM {d_similar} JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY 1"
+SELECT f.id, length(coalesce(regexp_replace(e.quote, '^\s+|\s+$', '', 'g'), '')) AS len, coalesce(e.evidence_page, f.page_number) AS page, f.normalized_unit IS NOT NULL AS hasunit, CAST(nv IS NOT NULL OR value_numeric IS NOT NULL AS INT) AS num, regexp_matches(f.raw_value_text, '\d') AS digit, f.scope IS NOT NULL AS hasscope, CAST(f.bn % 7 = 0 AS INT) AS warned FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id))"""
+SQL["rag_context"] = """SELECT q.query_id, sha256(coalesce(c, 'No relevant document chunks found.')) AS context FROM {fx_queries} q LEFT JOIN (SELECT query_id, string_agg(concat('[Source ', rank, '] (', id, ', ', printf('%.3f', 1 - distance), ')', chr(10), text), concat(chr(10), chr(10)) ORDER BY rank) AS c
+FROM {d_similar} JOIN documents ON doc_id = id WHERE rank <= 3 AND query_id % 300 > 0 GROUP BY 1) h ON h.query_id = q.query_id"""
 SQL["parse_model_answers"] = "SELECT doc_id AS batch_id, CAST(i AS BIGINT) AS position, source AS subject, CAST(n_chars AS DOUBLE) AS value_numeric FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE lang <> 'es'"
 SQL["candidate_pairs"] = f"""WITH f AS (SELECT f.*, v.embedding, {_tokens('predicate')} AS tp, {_tokens('subject')} AS ts, {_tokens('raw_claim')} AS tc FROM {{d_facts}} f LEFT JOIN {{fx_vectors}} v ON v.id = f.id)
 SELECT * FROM (SELECT a.id AS fact_a_id, b.id AS fact_b_id, a.dataset_id, round(CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN 0.65 * greatest(least(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 1.0), 0.0) + 0.20 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END + 0.15 * {_jaccard('a.ts', 'b.ts')}
@@ -156,10 +161,10 @@ SQL["rejection_counts"] = rf"SELECT batch_id, count(*) FILTER (ok) AS accepted,
 SQL["ground_facts"] = rf"""SELECT id, CASE WHEN c > 0 THEN c - 1 WHEN p > 0 THEN p - 1 END AS start, CASE WHEN c > 0 THEN 'chunk' WHEN p > 0 THEN 'page' END AS offset_base, c > 0 OR p > 0 AS grounded
     FROM (SELECT id, CASE WHEN q = '' OR q IS NULL THEN 0 WHEN page_number % 2 = 1 THEN coalesce(strpos(text, q), 0) ELSE coalesce(strpos(substring(text, 1, 12), q), 0) END AS c, CASE WHEN q = '' OR q IS NULL OR page_number % 3 = 0 THEN 0 ELSE coalesce(strpos(text, q), 0) END AS p
     FROM (SELECT *, {_TRIM.format("substring(text, 11, 30)")} AS q FROM {{fx_pages}}))"""
-SQL["build_facts"] = """SELECT id AS page_id, dataset_id AS subject, concat('page ', page_number) AS raw_claim, 'q' AS quote, v AS value_text, coalesce(r, v, concat(page_number, '.0')) AS raw_value_text, n AS value_numeric, least(page_number / 10.0, 1.0)::DOUBLE AS confidence
+SQL["build_facts"] = """SELECT id AS page_id, CAST(page_number AS VARCHAR) AS pdf_page, dataset_id AS subject, concat('page ', page_number) AS raw_claim, 'q' AS quote, v AS value_text, coalesce(r, v, concat(page_number, '.0')) AS raw_value_text, n AS value_numeric, least(page_number / 10.0, 1.0)::DOUBLE AS confidence
     FROM (SELECT *, CASE WHEN page_number % 3 = 0 THEN 'v' WHEN n IS NULL THEN coalesce(r, concat('page ', page_number, ' ')) END AS v FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 'raw' END AS r, CASE WHEN page_number % 2 = 0 THEN CAST(page_number AS DOUBLE) END AS n FROM {fx_pages} WHERE page_number % 7 > 0))"""
 SQL["chunk_index"] = "SELECT id, i - 1 AS chunk_index, length(l[i]) AS n_chars FROM (SELECT id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT id, string_split(text, chr(10)) AS l FROM {fx_pages}))"
-SQL["upsert_chunks"] = "SELECT id AS page_id, 0 AS chunk_index, CASE WHEN page_number <= 4 THEN concat('old-', id) ELSE id END AS id, CASE WHEN page_number >= 3 THEN -1 ELSE length(text) END AS n_chars FROM {fx_pages}"
+SQL["upsert_chunks"] = "SELECT id AS page_id, 0 AS chunk_index, CASE WHEN page_number < 3 THEN 'old' WHEN page_number % 2 = 0 THEN 'x' END AS note, CASE WHEN page_number <= 4 THEN concat('old-', id) ELSE id END AS id, CASE WHEN page_number >= 3 THEN -1 ELSE length(text) END AS n_chars FROM {fx_pages}"
 SQL["validate_chunks"] = r"SELECT id, concat_ws(',', CASE WHEN page_number % 3 = 0 OR NOT coalesce(regexp_matches(text, '\S'), false) THEN 'text' END, CASE WHEN page_number < 2 THEN 'start' END, CASE WHEN page_number % 5 < page_number - 2 THEN 'order' END) AS violations FROM {fx_pages}"
 SQL["update_normalization"] = "SELECT f.id, CASE WHEN f.k <= 2 THEN d.nv END AS normalized_value_numeric, CASE WHEN f.k <= 2 THEN d.normalized_unit END AS normalized_unit FROM {fx_facts} f JOIN {d_facts} d ON d.id = f.id"
 SQL["update_embeddings"] = "SELECT f.id, coalesce(len(v.embedding), 0) AS n FROM {fx_facts} f LEFT JOIN {fx_vectors} v ON v.id = f.id"
@@ -180,6 +185,6 @@ SQL["card_variance"] = """SELECT fact_a_id, fact_b_id, CASE WHEN relationship_ty
     FROM (SELECT *, (y - x) / nullif(abs(x), 0) * 100 AS pct FROM (SELECT *, a.nv AS x, b.nv AS y, a.scope AS sa, b.scope AS sb FROM {d_pairs}))"""
 SQL["max_candidates"] = f"SELECT dataset_id, fact_a_id, fact_b_id, score FROM ({SQL['candidate_pairs']}) QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, fact_a_id, fact_b_id) <= 20"
 SQL["candidates_for_fact"] = f"""SELECT query_id, id, score FROM (SELECT q AS query_id, id, score FROM (SELECT fact_a_id AS q, fact_b_id AS id, score FROM ({SQL['candidate_pairs']}) UNION ALL SELECT fact_b_id, fact_a_id, score FROM ({SQL['candidate_pairs']})))
-    WHERE query_id IN (SELECT id FROM {{fx_facts}} WHERE k = 1 AND bn % 10 = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
+    WHERE query_id IN (SELECT id FROM {{fx_facts}} WHERE (bn + 25 * (y + 7 * k) + p) % 100 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
 SQL["format_misc"] = """SELECT o_orderkey, CASE WHEN n <= 0 THEN '0 B' ELSE concat(regexp_replace(printf('%.1f', floor(n / pow(1024.0, i) * 10 + 0.5) / 10), '[.]0$', ''), ' ', ['B', 'KB', 'MB', 'GB'][i + 1]) END AS size, strftime(o_orderdate, '%b %-d, %Y') AS day, concat(CAST(o_orderkey % 101 AS BIGINT), '%') AS confidence
     FROM (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS i FROM (SELECT *, CAST(trunc(o_totalprice * (o_orderkey % 1000)) AS BIGINT) AS n FROM orders))"""

@@ -34,10 +34,17 @@ def test_whole_documents(spark):
     answer = f'```json\n{{"facts": [{fact("one", "Revenue was")}, {fact("ONE ", "in FY24")}, {fact("two", "made up")}, {fact("three", "Volume grew")}]}}\n```'
     answers = spark.createDataFrame([("d/1/0", answer)], "batch_id string, answer string")
     stored = spark.createDataFrame([("d/1", "Three", "other")], "document_id string, raw_claim string, quote string")
-    facts, counts = E.process_documents(pages, answers, stored)
-    row = facts.collect()
+    runs = spark.createDataFrame([("r", "d/1", "PROCESSING", 1), ("q", "d/2", "PROCESSING", 1)], "id string, document_id string, status string, facts_extracted int")
+    known = spark.createDataFrame([("old", "p1", 0, "before")], "id string, page_id string, chunk_index int, text string")
+    out = E.process_documents(pages, answers, {"facts": stored, "runs": runs, "chunks": known}, embedder=lambda texts: [[float(len(t))] for t in texts])
+    row = out["facts"].collect()
     assert [r["raw_claim"] for r in row] == ["one"] and row[0]["normalized_value_numeric"] == 5e7
-    assert counts.first()[2:] == (3, 1)
+    assert row[0]["metadata"]["pdf_page_number"] == "1" and row[0]["metadata"]["chunk_id"] == "p1/0"
+    assert out["counts"].first()[2:] == (3, 1)
+    assert {r["id"]: r["text"] for r in out["chunks"].collect()} == {"old": "Revenue was Rs. 5 crore in FY24.", "p3/0": "Volume grew."}
+    assert {r["id"]: (r["status"], r["chunks_created"], r["facts_extracted"], r["facts_rejected"]) for r in out["runs"].collect()} == {"r": ("COMPLETED", 2, 2, 1), "q": ("PROCESSING", 0, 1, 0)}
+    again = E.process_documents(pages, answers, {"facts": stored, "extracted": pages.where("page_number < 3").select("page_id")}, most=1)
+    assert [r["page_id"] for r in again["chunks"].collect()] == ["p3"]
 
 
 def test_stream_of_pages(spark, tmp_path):
