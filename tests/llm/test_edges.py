@@ -103,7 +103,6 @@ def test_packing_round_trip(spark, odd):
     from factloom.llm.tokenize import vocabulary
 
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     pieces = packing.pack_documents(odd).toPandas()
     assert pieces.length.max() <= 2048 and pieces.groupby("sequence_id").length.sum().max() <= 2048
     p = pieces.sort_values(["sequence_id", "offset"])
