@@ -245,11 +245,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a join and an aggregate over the edges, written to the shared folder; only a count of changed
     labels comes to the driver.
     """
-    both = checkpointed(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
-        .where("u <> v").distinct()
-    )
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    both = checkpointed(edges.select(F.explode(ways).alias("e")).select("e.*").where("u <> v").distinct())
     labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
