@@ -128,7 +128,7 @@ def laid_out(mixed: DataFrame, seed: int = 13) -> DataFrame:
     runs (ranges of a random key drawn for each copy) in random order, a run in one partition."""
     copies = mixed.where("copies > 0").select("*", F.posexplode("shards").alias("copy", "shard"))
     copies = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "shuffle_key", "copy", "shard"))
-    return copies.repartition("shard", F.shiftright("shuffle_key", 62)).sortWithinPartitions("shard", "shuffle_key")
+    return copies.repartition("shard", F.shiftright("shuffle_key", 58)).sortWithinPartitions("shard", "shuffle_key")
 
 
 def op1_source_mix(spark, sf_dir):
