@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, give_back, grams, small_batches, text_bytes, unzip_array, zipped
+from .common import Words, checkpointed, give_back, grams, small_batches, text_bytes, unzip_array, zipped
 
 #: Words of a seed, and bytes of text that a part (the unit that is compared at once) holds.
 SEED_WORDS, PART_BYTES = 5, 2 << 20
@@ -106,17 +106,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         return pa.table({"anchor": _signed(anchors), "part": pa.array(np.full(len(anchors), table.column("part")[0].as_py()), pa.int32())})
 
     anchors = rows.groupBy("part").applyInArrow(list_anchors, "anchor long, part int")
-    counted = anchors.withColumn("group", F.floor(F.col("part") / GROUP).cast("int")).withColumn("parts", F.count("*").over(Window.partitionBy("anchor", "group")))
-    shared = counted.where("parts > 1").select("anchor", "part")
-    if n_parts > GROUP:
+    if n_parts <= GROUP:
+        counted = anchors.withColumn("parts", F.count("*").over(Window.partitionBy("anchor"))).where("parts > 1")
+        shared = counted.select("anchor", F.col("part").alias("in_part"), (F.col("parts") > HOT).alias("hot"))
+    else:
+        counted = anchors.withColumn("group", F.floor(F.col("part") / GROUP).cast("int")).withColumn("parts", F.count("*").over(Window.partitionBy("anchor", "group")))
+        counted = checkpointed(counted)  # read four times
         single = counted.where("parts = 1").withColumn("times", F.count("*").over(Window.partitionBy("anchor")))
         several = counted.where("parts > 1").select("anchor", "group").distinct().groupBy("anchor").agg(F.count("*").alias("groups"))
         alone = single.join(several, "anchor", "left").where(F.col("times") + F.coalesce("groups", F.lit(0)) > 1)
-        shared = shared.unionByName(alone.select("anchor", "part"))
-    # At most GROUP parts' anchors / HOT rows. The filter names the count and the part, so that both readers
-    # of `counted` need the same columns and share one exchange.
-    hot = counted.where(F.when((F.col("group") == 0) & (F.col("part") >= 0), F.col("parts")).otherwise(0) > HOT).select("anchor").distinct()
-    shared = shared.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left").select("anchor", F.col("part").alias("in_part"), F.coalesce("hot", F.lit(False)).alias("hot"))
+        shared = counted.where("parts > 1").select("anchor", "part").unionByName(alone.select("anchor", "part"))
+        hot = counted.where((F.col("group") == 0) & (F.col("parts") > HOT)).select("anchor").distinct()  # at most GROUP parts' anchors / HOT rows
+        shared = shared.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "anchor", "left").select("anchor", F.col("part").alias("in_part"), F.coalesce("hot", F.lit(False)).alias("hot"))
 
     def extend(table: pa.Table, seeds: pa.Table) -> pa.Table:
         give_back()
