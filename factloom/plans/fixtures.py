@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 NOW = "CAST('2024-01-31 00:00:00' AS TIMESTAMP)"
 
 RECIPES: dict[str, str] = {}
-RECIPES["fx_datasets"] = "SELECT r_name AS id, r_name AS name, concat('Dataset: ', r_name) AS description FROM {region}"
+# Every hundred suppliers are a block, and a block's trade with a region is a dataset (the first bears the
+# region's name alone), so that datasets, and facts with them, grow with the tables.
+RECIPES["fx_sellers"] = """SELECT s_suppkey, CAST(floor(s_suppkey / 100) AS INT) AS supplier_block, CASE WHEN s_suppkey < 100 THEN r_name ELSE concat(r_name, ' ', CAST(floor(s_suppkey / 100) AS INT)) END AS dataset_id
+    FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
+RECIPES["fx_datasets"] = """SELECT id, id AS name, concat('Dataset: ', id) AS description FROM (SELECT r_name AS id FROM {region} UNION SELECT dataset_id FROM {fx_sellers}) d"""
 RECIPES["fx_ks"] = "SELECT CAST(r_regionkey + 1 AS INT) AS k FROM {region} WHERE r_regionkey < 5"
 RECIPES["fx_filings"] = """SELECT concat(d.id, '-d', k) AS id, concat(d.id, '-d', k, '.pdf') AS filename, d.id AS dataset_id, k,
     CAST(concat('2024-01-0', k + 1, ' 00:00:00') AS TIMESTAMP) AS created_at FROM {fx_datasets} d CROSS JOIN {fx_ks}"""
-RECIPES["fx_totals"] = """SELECT r_name AS dataset_id, p_brand AS brand, CAST(substring(p_brand, 7, 2) AS INT) AS bn, CAST(extract(year FROM o_orderdate) AS INT) AS y,
+RECIPES["fx_totals"] = """SELECT dataset_id, supplier_block, p_brand AS brand, CAST(substring(p_brand, 7, 2) AS INT) AS bn, CAST(extract(year FROM o_orderdate) AS INT) AS y,
     CAST(floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100) AS BIGINT) AS v, CAST(sum(l_quantity) AS BIGINT) AS q
-    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey
-    JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4"""
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey JOIN {fx_sellers} ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4, 5"""
 RECIPES["fx_values"] = """SELECT t.*, k, 1 AS p, CAST(floor(v / 100000) AS BIGINT) AS lakh, CAST(floor(v / 1000) AS BIGINT) AS thousands, CASE WHEN bn % 4 = 0 THEN CAST(floor(v * 6 / 5) AS BIGINT) ELSE v END AS v6 FROM {fx_totals} t CROSS JOIN {fx_ks}
     UNION ALL SELECT t.*, k, 2 AS p, 0 AS lakh, CAST(floor(q / 1000) AS BIGINT) AS thousands, q AS v6 FROM {fx_totals} t CROSS JOIN {fx_ks}"""
 RECIPES["fx_facts"] = """SELECT concat(dataset_id, '-d', k, '-', bn, '-', y, '-', CASE WHEN p = 1 THEN 'rev' ELSE 'vol' END) AS id, dataset_id, concat(dataset_id, '-d', k) AS document_id, brand AS subject,
@@ -33,14 +36,14 @@ RECIPES["fx_facts"] = """SELECT concat(dataset_id, '-d', k, '-', bn, '-', y, '-'
     CAST(NULL AS STRING) AS unit, CASE WHEN k = 5 THEN 'SEMANTIC' ELSE 'NUMERIC' END AS fact_type,
     CASE k WHEN 1 THEN concat('FY', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 2 THEN concat('FY', y, '-', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 3 THEN concat('Q1 FY', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 4 THEN CAST(y + 1 AS STRING) ELSE concat('March 31, ', y + 1) END AS period_text,
     CASE WHEN k IN (1, 2) THEN 'consolidated' WHEN k = 3 AND bn % 3 = 0 THEN 'standalone' END AS scope, CASE WHEN k = 3 AND y = 2001 THEN 'forecast' ELSE 'actual' END AS status,
-    CAST(1 + bn % 4 AS INT) AS page_number, CAST(concat('2024-01-0', k + 1, ' 00:', y - 1985, ':00') AS TIMESTAMP) AS created_at, bn, y, k, p,
+    CAST(1 + bn % 4 AS INT) AS page_number, CAST(concat('2024-01-0', k + 1, ' 00:', y - 1985, ':00') AS TIMESTAMP) AS created_at, bn, y, k, p, supplier_block,
     (bn % 10) / 10.0E0 AS confidence FROM {fx_values}"""
 RECIPES["fx_vectors"] = """SELECT f.id, CASE WHEN f.n % 11 <> 0 THEN e.embedding END AS embedding FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM {fx_facts}) f
     CROSS JOIN (SELECT count(*) AS m FROM {embeddings}) c JOIN {embeddings} e ON e.vec_id = f.n % c.m"""
 RECIPES["fx_pages"] = """SELECT concat(source, '-', doc_id) AS id, source AS document_id, lang AS dataset_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, text FROM {documents}"""
 RECIPES["fx_evidence"] = """SELECT concat(f.id, '-e', e.n) AS id, f.id AS fact_id, p.document_id AS page_document, p.id AS page_id, p.page_number,
     substring(p.text, 11, 15 + 10 * (f.bn % 4)) AS quote, CAST(concat('2024-01-1', e.n, ' 00:00:00') AS TIMESTAMP) AS created_at
-    FROM {fx_facts} f JOIN {fx_pages} p ON p.document_id = concat('src', f.bn % 20) AND p.page_number = 1 + f.bn % 5 JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) e ON e.n <= f.bn % 3"""
+    FROM {fx_facts} f JOIN {fx_pages} p ON p.document_id = concat('src', f.bn % 20) AND p.page_number = 1 + f.bn % 5 + 5 * f.supplier_block JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) e ON e.n <= f.bn % 3"""
 RECIPES["fx_runs"] = """SELECT event_id AS id, user_id AS document_id, ts AS started_at, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'COMPLETED' WHEN 'purchase' THEN 'PARTIAL' ELSE 'FAILED' END AS status,
     CAST(floor(value) AS INT) AS facts_extracted FROM {events}"""
 RECIPES["fx_edges"] = """SELECT a.id AS fact_a_id, b.id AS fact_b_id, CASE (a.bn + b.k) % 5 WHEN 0 THEN 'CORROBORATES' WHEN 1 THEN 'CONTRADICTS' WHEN 2 THEN 'CONTEXTUAL_DIFFERENCE' WHEN 3 THEN 'RELATED' ELSE 'UNCERTAIN' END AS relationship_type,
