@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.normalize import nonblank, strip
+from factloom.sources.tables import settled
 
 # What hides a secret, in order; `\1` stays.
 SECRETS = [
@@ -147,27 +149,32 @@ def ground_facts(items: DataFrame) -> DataFrame:
 def dedup_facts(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New facts (document_id, position, raw_claim, quote) that repeat no claim and no quote, in order.
 
-    Stored ones are anti-joined on either text; within a document's new facts a dropped one
-    suppresses nothing after it, so a document's facts (thousands) are walked in one task.
+    Stored ones are anti-joined on either text. Within a document's new facts a dropped one suppresses
+    nothing after it, so facts are settled in rounds: those that are the first of their claim and of their
+    quote stay, and what shares a claim or a quote with them goes, until nothing is open. A document of any
+    size is spread over all tasks; there are as many rounds as the longest chain of facts that depend on
+    each other. A null claim, quote or document is a value of its own, a null position comes last, of rows
+    that are equal in all four one stays.
     """
     key = lambda c: F.trim(F.lower(F.col(c)))
-    fresh = new.withColumns({"claim_key": key("raw_claim"), "quote_key": key("quote")})
-    for c, k in (("raw_claim", "claim_key"), ("quote", "quote_key")):
+    fresh = new.withColumns({"d_claim": key("raw_claim"), "d_quote": key("quote")})
+    for c, k in (("raw_claim", "d_claim"), ("quote", "d_quote")):
         known = stored.where(F.col(c).isNotNull()).select("document_id", key(c).alias(k)).distinct()
         fresh = fresh.join(known, ["document_id", k], "left_anti")
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        claims, quotes, keep = set(), set(), []
-        g = g.sort_values("position")
-        for c, q in zip(g["claim_key"], g["quote_key"], strict=True):
-            ok = c not in claims and q not in quotes
-            keep.append(ok)
-            if ok:
-                claims.add(c)
-                quotes.add(q)
-        return g[keep]
-
-    return fresh.groupBy("document_id").applyInPandas(walk, fresh.schema).drop("claim_key", "quote_key").select(*new.columns)
+    # Keys without nulls, for joins; no text is a lone NUL.
+    filled = {k: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for k, c in (("d_of", "document_id"), ("d_claim", "d_claim"), ("d_quote", "d_quote"))}
+    fresh = settled(fresh.withColumns(filled | {"d_turn": F.struct(F.col("position").isNull().alias("last"), "position")}))
+    texts = ["d_of", "d_claim", "d_quote"]
+    # Of equal claim and quote only the first can stay.
+    left, kept = settled(fresh.groupBy(*texts).agg(F.min("d_turn").alias("d_turn"))), []
+    while not left.isEmpty():
+        first = lambda k: left.groupBy("d_of", k).agg(F.min(F.struct("d_turn", "d_claim", "d_quote")).alias("f")).select("d_of", "f.*")  # noqa: B023, E731
+        kept.append(settled(first("d_claim").join(first("d_quote"), [*texts, "d_turn"], "left_semi")))
+        for k in ("d_claim", "d_quote"):
+            left = left.join(kept[-1].select("d_of", k), ["d_of", k], "left_anti")
+        left = settled(left)
+    stays = reduce(DataFrame.unionByName, kept, left)  # nothing is left
+    return fresh.join(stays, [*texts, "d_turn"], "left_semi").dropDuplicates([*texts, "d_turn"]).select(*new.columns)
 
 
 def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], column: str = "embedding") -> DataFrame:

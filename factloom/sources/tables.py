@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +28,15 @@ def append_facts_evidence(accepted: DataFrame, folder: str) -> DataFrame:
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table that was appended to."""
     return spark.read.parquet(f"{folder}/{name}")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the folder of spark.checkpoint.dir, without its lineage. Only a local
+    session may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return df.checkpoint(eager=True)

@@ -1,6 +1,7 @@
 """Literal expectations for numbers, units, periods, texts and chunks."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,24 @@ def test_greedy_dedup(spark):
     assert sorted(r.position for r in X.dedup_facts(new, old).collect()) == [1, 3]
 
 
+def test_dedup_equals_a_walk_in_order(spark):
+    draw = random.Random(7)
+    rows = [(d, i, draw.choice(["A", "a ", "B", "C", "D", "E", None]), draw.choice(["p", "q", "Q ", "r", "s", "t", None])) for d in ("d", "e", None) for i in range(40)]
+    rows += [("chain", i, f"c{(i + 1) // 2}", f"q{i // 2}") for i in range(7)] + [("late", None, "x", "1"), ("late", 1, "x", "2"), ("late", 1, "x", "2")]
+    plain = lambda t: t if t is None else t.lower().strip()
+    want, seen = [], set()
+    for d, i, c, q in sorted(rows, key=lambda r: (str(r[0]), r[1] is None, r[1] or 0)):
+        names = {(d, "claim", plain(c)), (d, "quote", plain(q))}
+        if not names & seen:
+            seen |= names
+            want.append((d, i, c, q))
+    schema = "document_id string, position int, raw_claim string, quote string"
+    none = spark.createDataFrame([], schema)
+    got = [tuple(r) for r in X.dedup_facts(spark.createDataFrame(rows, schema), none).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert X.dedup_facts(none, none).count() == 0
+
+
 def test_answers(spark):
     ok = '{"facts":[{"subject":"s","predicate":"p","raw_claim":"c","quote":"q","value_numeric":"12"}]}'
     rows = [(1, f"```json\n{ok}\n```"), (2, ok[:30]), (3, ok.replace('"12"', '"x"')), (4, None)]
