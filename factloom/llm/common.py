@@ -25,6 +25,8 @@ BATCH_BYTES = 4 << 20
 SPAN = 1 << 18
 #: Keys that may be hot (each with over 1 / HOT_KEYS of all rows), and the tasks that share one.
 HOT_KEYS, SALTS = 100_000, 64
+#: Rows of a key above which `lookup` may call it hot.
+HOT_ROWS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -235,6 +237,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(groups.withColumn("__salt", F.explode(salts)), [*keys, "__salt"], how).drop("__salt")
 
 
+def hot_limit(total: int) -> int:
+    """Rows above which a key of a table of `total` rows is hot; fewer than HOT_KEYS keys can be."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot: DataFrame | None = None) -> DataFrame:
+    """`rows` left-joined with `groups` (at most one row per value of `key`), without a hot task.
+
+    Groups of hot keys are broadcast: they are those whose column `size` is above `hot_limit`, or where
+    `groups` has no such column those of `hot` (key, ...), so fewer than HOT_KEYS. All others meet in a
+    sort-merge join; null keys find nothing and are not shuffled. Both sides are read twice, so they should
+    be stored or checkpointed. `size` is kept if `groups` has it.
+    """
+    if size in groups.columns:
+        often = groups.where(F.col(size) > hot_limit(total))
+        groups = groups.where(F.col(size) <= hot_limit(total))
+    elif hot is not None:
+        often = groups.join(F.broadcast(hot.select(key)), key, "right")
+    else:
+        often = groups.limit(0)
+    marked = rows.join(F.broadcast(often.withColumn("__hot", F.lit(True))), key, "left")
+    easy = F.col("__hot").isNotNull() | F.col(key).isNull()
+    done = marked.where(easy).drop("__hot")
+    rest = marked.where(~easy).select(*rows.columns).join(groups.hint("merge"), key, "left")
+    return done.unionByName(rest)
+
+
 # --- connected components ---------------------------------------------------------------------
 
 
