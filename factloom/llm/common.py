@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 
 import numpy as np
@@ -21,8 +22,8 @@ CHUNK = 1 << 20
 ZIP_ROWS = 500
 #: Bytes of an Arrow batch, which the JVM and the Python task each hold at once.
 BATCH_BYTES = 4 << 20
-#: Bytes whose running sums are held at once; hashes do not depend on it.
-SPAN = 1 << 18
+#: Bytes of a span beyond which it is hashed alone.
+LONG_SPAN = 512
 #: Keys that may be hot (each with over 1 / HOT_KEYS of all rows), and the tasks that share one.
 HOT_KEYS, SALTS = 100_000, 64
 #: Rows of a key above which `lookup` may call it hot.
@@ -68,7 +69,8 @@ def give_back() -> None:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,34 +106,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _TABLES.get(which)
-    if have is None or len(have[0]) < n:
-        n = max(n, SPAN + SPAN // 8)
-        base = int(_SEEDS[which])
-        with np.errstate(over="ignore"):
-            up = np.full(n, base, np.uint64)
-            up[0] = 1
-            down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            _TABLES[which] = have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are sorted and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    first = 0
+    """A 64-bit hash of each byte span, of one of two kinds.
+
+    Eight bytes at a time are mixed into the state by a bijection, so spans of equal length up to eight
+    bytes never collide, and no algebra of the bytes (as in a polynomial) makes longer ones meet. Spans of
+    over LONG_SPAN bytes take a keyed BLAKE2b.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = np.full(len(starts), _SEEDS[which], np.uint64)
     with np.errstate(over="ignore"):
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + SPAN)))
-            at, to = int(starts[first]), int(ends[last - 1])
-            up, down = _powers(which, to - at + 1)
-            total = np.zeros(to - at + 1, np.uint64)
-            np.cumsum((data[at:to].astype(np.uint64) + np.uint64(1)) * up[: to - at], out=total[1:])
-            s, e = starts[first:last] - at, ends[first:last] - at
-            out[first:last] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _SEEDS[1 - which])
-            first = last
+        live, at, left = slice(None), starts, size
+        for _ in range(LONG_SPAN // 8):
+            out[live] = mix(out[live] ^ (eights[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            live = more if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        out = mix(out + size.astype(np.uint64) * _SEEDS[1 - which])
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        own = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(_SEEDS[which]).to_bytes(8, "little"))
+        out[i] = int.from_bytes(own.digest(), "little")
     return out
 
 

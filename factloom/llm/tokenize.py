@@ -58,9 +58,9 @@ class Encoder:
     def _forget(self) -> None:
         """Known pieces: sorted hashes, and for each where its ids are among all."""
         self.known, self.begins, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat, self.checks = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
         """Encodes new pieces (their hashes sorted). Those that end in a word are encoded as lines of
         one text: a line break before a word is a token of its own."""
         lines = [bool(x.strip(" \t\n\r\x0b\x0c")) and not _WIDE.search(x) for x in texts]
@@ -79,6 +79,7 @@ class Encoder:
         begin += len(self.flat)
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         at = np.searchsorted(self.known, hashes)
+        self.checks = np.insert(self.checks, at, checks)
         self.known, self.begins, self.lengths = np.insert(self.known, at, hashes), np.insert(self.begins, at, begin), np.insert(self.lengths, at, size)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,13 +105,19 @@ class Encoder:
         starts = self.pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        checks = span_hashes(data, starts[at], ends[at], 1)
         if len(self.known) + len(at) > self.most:
             self._forget()
         place = np.searchsorted(self.known, hashes)
+        if len(self.known):
+            found = np.minimum(place, len(self.known) - 1)
+            if ((self.known[found] == hashes) & (self.checks[found] != checks)).any():  # another piece with this hash
+                self._forget()
+                place = np.zeros(len(hashes), np.int64)
         new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
         if len(new):
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            self._learn(hashes[new], checks[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
             place = np.searchsorted(self.known, hashes)
         place = place[which]
         sizes, begins = self.lengths[place].astype(np.int64), self.begins[place]
