@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     """Fits the classifier on a bounded sample of labelled documents and on all others, of which every
     round reads each one; None without both labels."""
     small_batches(docs.sparkSession)
-    marks = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).where("lk IS NOT NULL AND y IN (0, 1)").groupBy("lk").agg(F.max("y").alias("y"))
+    marks = labels.select(F.col(f"`{key}`").alias("lk"), F.col(f"`{label}`").cast("int").alias("y")).where("lk IS NOT NULL AND y IN (0, 1)").groupBy("lk").agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         return None
@@ -313,7 +313,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
     """
     model = train(docs, labels, key, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TEXT_FEATURES + PAGE_FEATURES numbers
-    rows = docs.select("text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col(key).alias("k"))
+    rows = docs.select("text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col(f"`{key}`").alias("k"))
 
     def score(batches):
         m = shared.value

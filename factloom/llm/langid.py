@@ -224,7 +224,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     is `und`. An empty table gives an empty result; other columns are ignored.
     """
     model = train(docs, key, text, lang)
-    return predict(docs, model, key, text).withColumn("held_out", held_out(F.col(key))).select(key, "held_out", "lang_pred", "score")
+    return predict(docs, model, key, text).withColumn("held_out", held_out(F.col(f"`{key}`"))).select(f"`{key}`", "held_out", "lang_pred", "score")
 
 
 def op4_language_id(spark, sf_dir):

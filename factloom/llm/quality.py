@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -23,7 +24,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 FEATURES = {"x_length": 0.12, "x_symbols": 0.04, "x_lines": 0.15, "x_repeats": 0.12}
 #: Share of a group's documents that the covariance fits (h), the most steps of concentration, and the
 #: tail beyond which a vector is rejected.
-SHARE, STEPS, TAIL = 0.75, 12, 1e-6
+SHARE, TAIL = 0.75, 1e-6
 #: Rows that a group's parent (its language; of a language all rows) counts for in the group's estimate.
 PARENT_ROWS = 50
 #: Distances are cut at h on a logarithmic scale of GRAIN steps a unit, and within the step that holds
@@ -289,7 +290,8 @@ def concentrate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     estimate of each, of each language (source ALL) and of all rows: (counts, ESTIMATE).
 
     From STARTS starts, steps of concentration keep the SHARE of a group's rows that are nearest and
-    estimate centre and covariance anew, until no determinant falls any more; of the starts the one
+    estimate centre and covariance anew, until its determinant falls no more; a group and start that has come
+    to this takes part in no further step. Of the starts the one
     with the least determinant counts. A null language or source is a value of its own.
     """
     keys, names = ("g_lang", "g_source"), list(FEATURES)
@@ -302,13 +304,17 @@ def concentrate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = counts.unionByName(counts.groupBy("g_lang").agg(F.lit(ALL).alias("g_source"), F.sum("n_rows").alias("n_rows"))).unionByName(counts.agg(F.lit(ALL).alias("g_lang"), F.lit(ALL).alias("g_source"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")))
     n_groups = every.count()
     estimates = checkpointed(_starts(points, every, few, 3 * n_rows, n_groups))
-    before = None
-    for _ in range(STEPS):
-        estimates = checkpointed(_concentrated(points, estimates, few, 3 * n_rows, n_groups))
-        total = estimates.agg(F.sum("logdet")).first()[0] or 0.0
-        if before is not None and before - total < 1e-9:
-            break
-        before = total
+    falling, settled = checkpointed(_concentrated(points, estimates, few, 3 * n_rows, n_groups)), []
+    named = {c: f"w_{c}" for c in (*keys, "start")}
+    while not falling.isEmpty():  # each round settles a group and start or lowers its determinant, which has a floor
+        after = checkpointed(_concentrated(points, falling, few, 3 * n_rows, n_groups))
+        same = lambda x, y: x["g_lang"].eqNullSafe(y["w_g_lang"]) & x["g_source"].eqNullSafe(y["w_g_source"]) & (x["start"] == y["w_start"])
+        was = falling.select(*[F.col(c).alias(w) for c, w in named.items()], F.col("logdet").alias("was"))
+        fell = checkpointed(after.join(was, same(after, was)).where(F.col("was") - F.col("logdet") > 1e-9).select(*after.columns))
+        goes_on = fell.select(*[F.col(c).alias(w) for c, w in named.items()])
+        settled.append(checkpointed(falling.join(goes_on, same(falling, goes_on), "left_anti")))
+        falling = fell
+    estimates = reduce(DataFrame.unionByName, settled, falling)
     best = Window.partitionBy(*keys).orderBy("logdet", "start")
     best = estimates.withColumn("turn", F.row_number().over(best)).where("turn = 1").drop("turn")
     return counts, checkpointed(best.coalesce(few))
@@ -323,7 +329,7 @@ def estimate(rows: DataFrame) -> DataFrame:
 def measured(docs: DataFrame, lang: str, source: str, text: str, carry: dict) -> DataFrame:
     """`carry` columns, m_lang, m_source, statistics, base_failed and FEATURES of every row."""
     small_batches(docs.sparkSession)
-    named = docs.select(*[c.alias(k) for k, c in carry.items()], F.col(lang).cast("string").alias("m_lang"), F.col(source).cast("string").alias("m_source"), F.col(text).alias("m_text"))
+    named = docs.select(*[c.alias(k) for k, c in carry.items()], F.col(f"`{lang}`").cast("string").alias("m_lang"), F.col(f"`{source}`").cast("string").alias("m_source"), F.col(f"`{text}`").alias("m_text"))
     rows = text_statistics(named, "m_text")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return rows.withColumns(features())
@@ -351,7 +357,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     words and fails; a null language or source groups with its like. Equal rows get equal results,
     an empty table an empty one; other columns are ignored.
     """
-    rows = checkpointed(measured(docs, lang, source, text, {"m_key": F.col(key)}))
+    rows = checkpointed(measured(docs, lang, source, text, {"m_key": F.col(f"`{key}`")}))
     done = verdicts(rows, estimate(rows.where("NOT base_failed")), tail)
     return done.select(F.col("m_key").alias(key), *STAT_COLUMNS, "base_failed", "distance", "kept", *FEATURES)
 

@@ -61,8 +61,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     """Removes each word covered by an n-word window that also starts in a document with a smaller key.
 
     Returns key, `carry` columns (and the text with keep_text), n_words, n_removed, kept_text (the kept words joined by one blank),
-    removed (the maximal repeats, array of struct<first, words, source> in word positions; source is a
-    smaller key that has the repeat's first n words).
+    removed (the repeats, array of struct<first, words, source, source_first> in word positions: the words from
+    first on are those of the document with the smaller key source from source_first on, all of them).
 
     1. Seeds: a document's anchors are the winnowed SEED_WORDS-word hashes, one of which lies in every
        n-word window. Documents are dealt at random into parts of about PART_BYTES, each of which lists
@@ -70,10 +70,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
        per part at most, however many documents share the passage.
     2. Extension: a part extends each shared anchor by l words to the left and n - SEED_WORDS - l to the
        right, for every l with which the anchor is the window's own, and reports each distinct window
-       once, with its smallest key.
-    3. Matches of which another part has a smaller key go back to the part, with that key. It joins them
-       with the matches among its own documents (found locally in the same way), goes on in both
-       directions as long as the next window matches too, and removes the maximal repeats.
+       once, with its smallest key and the first place there.
+    3. Matches of which another part has a smaller key go back to the part, with that key and place. It joins them
+       with the matches among its own documents (found locally in the same way) and extends each in both
+       directions as long as the next window matches the same document at the next place; these repeats are
+       removed. Where a source holds a window twice, the repeat follows its first place, and a new
+       repeat starts where that ends.
 
     No task gets all of a hot group: anchors are counted in groups of GROUP parts first, and windows
     around hot anchors are compared in SALTS shares first; only what is single or smallest there goes on.
@@ -128,21 +130,24 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         seeded = _in(found, np.sort(wanted))
         starts, popular = starts[seeded], popular[seeded]
         k1, k2 = _keys(words, h, starts, n)
-        ids = keys_of(table, words, starts)
-        order = np.lexsort((ids, k1))
+        ids, places = keys_of(table, words, starts), starts - words.first[words.rows[starts]]
+        order = np.lexsort((places, ids, k1))
         first = order[np.concatenate(([True], np.diff(k1[order].view(np.int64)) != 0))] if len(order) else order
         part = table.column("part")[0].as_py() if table.num_rows else 0
         salt = np.where(popular[first], part % SALTS, -1).astype(np.int8)
-        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "salt": pa.array(salt), "part": pa.array(np.full(len(first), part), pa.int32()), "least": pa.array(ids[first])})
+        spot = np.int64(part) << np.int64(32) | places[first]
+        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "salt": pa.array(salt), "spot": pa.array(spot), "least": pa.array(ids[first])})
 
-    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, salt byte, part int, least long")
-    least = lambda *by: F.min("least").over(Window.partitionBy(*by))
-    lost = windows.withColumn("first", least("k1", "k2", "salt"))
+    # A spot is the part above the place in the document, so that a row is no longer for it.
+    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, salt byte, spot long, least long")
+    head = lambda df, *by: df.withColumns({x: F.first(c).over(Window.partitionBy(*by).orderBy("least", "spot")) for x, c in (("first", "least"), ("first_spot", "spot"))})
+    lost = head(windows, "k1", "k2", "salt")
     # Of salted windows the smallest of each share are compared with each other.
-    heads = lost.where(F.when(F.col("first") == F.col("least"), F.col("salt")).otherwise(-1) >= 0).withColumn("first", least("k1", "k2"))
-    lost = lost.where("first < least").unionByName(heads.where("first < least")).select("k1", F.col("part").alias("in_part"), "first")
+    heads = head(lost.where(F.when(F.col("first") == F.col("least"), F.col("salt")).otherwise(-1) >= 0), "k1", "k2")
+    lost = lost.where("first < least").unionByName(heads.where("first < least"))
+    lost = lost.select("k1", F.shiftright("spot", 32).cast("int").alias("in_part"), "first", F.col("first_spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
 
-    found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long, source:long>>")
+    found = T.StructType.fromDDL("n_words long, n_removed long, kept_text string, removed array<struct<first:long, words:long, source:long, source_first:long>>")
     schema = T.StructType([*kinds, *found.fields])
 
     def remove(table: pa.Table, lost: pa.Table) -> pa.Table:
@@ -153,27 +158,35 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         starts, _, h = _windows(words, n)
         k1 = grams(h, n)[starts]
         ids = keys_of(table, words, starts)
-        _, inverse = np.unique(k1, return_inverse=True)
-        smallest = np.full(int(inverse.max()) + 1 if len(inverse) else 0, LAST)
-        np.minimum.at(smallest, inverse, ids)
-        source = smallest[inverse]
-        theirs, where = np.unique(_column(lost, "k1").view(np.uint64), return_index=True)
-        if len(theirs):
-            place = np.minimum(np.searchsorted(theirs, k1), len(theirs) - 1)
-            source = np.where(theirs[place] == k1, np.minimum(source, _column(lost, "first")[where[place]]), source)
+        places = starts - words.first[words.rows[starts]]
+        order = np.lexsort((places, ids, k1))
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(k1[order].view(np.int64)) != 0
+        best = np.empty(len(order), np.int64)
+        best[order] = order[new][np.cumsum(new) - 1]  # the first of each window among these documents
+        source, origin = ids[best], places[best]
+        # A hot window comes back from its share and from all shares; the smaller key counts.
+        theirs = _column(lost, "k1").view(np.uint64), _column(lost, "first"), _column(lost, "place").astype(np.int64)
+        by = np.lexsort(theirs[::-1])
+        k, where = np.unique(theirs[0][by], return_index=True)
+        if len(k):
+            at = np.minimum(np.searchsorted(k, k1), len(k) - 1)
+            first, place = theirs[1][by][where[at]], theirs[2][by][where[at]]
+            other = (k[at] == k1) & (first < source)
+            source, origin = np.where(other, first, source), np.where(other, place, origin)
         gone = ids > source
         inside = np.zeros(len(h) + 1, np.int32)
         np.add.at(inside, starts[gone], 1)
         np.subtract.at(inside, starts[gone] + n, 1)
         covered = np.cumsum(inside[:-1]) > 0
         removed = np.bincount(words.rows[covered], minlength=table.num_rows)
-        # A maximal repeat goes on in both directions as long as the next window matches too.
-        match, origin = starts[gone], source[gone]
+        # A repeat goes on in both directions as long as the next window follows in the same source.
+        match, source, origin = starts[gone], source[gone], origin[gone]
         begins = np.ones(len(match), bool)
-        begins[1:] = (np.diff(match) != 1) | (words.rows[match[1:]] != words.rows[match[:-1]])
+        begins[1:] = (np.diff(match) != 1) | (words.rows[match[1:]] != words.rows[match[:-1]]) | (np.diff(source) != 0) | (np.diff(origin) != 1)
         at = np.flatnonzero(begins)
         ends = match[np.append(at[1:], len(match)) - 1] + n if len(at) else at
-        spans = {"first": match[at] - words.first[words.rows[match[at]]], "words": ends - match[at], "source": origin[at]}
+        spans = {"first": match[at] - words.first[words.rows[match[at]]], "words": ends - match[at], "source": source[at], "source_first": origin[at]}
         spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in spans.values()], list(spans))
         upto = np.searchsorted(words.rows[match[at]], np.arange(table.num_rows + 1)).astype(np.int32)
         repeats = pa.ListArray.from_arrays(pa.array(upto), spans)

@@ -49,10 +49,14 @@ def least_determinant(x):
     signs = u.T @ (u / np.maximum((u * u).sum(1), 1e-12)[:, None]) / len(x) * 4 * np.outer(scale, scale)
     best = None
     for centre, cov in ((middle, np.diag(spread**2)), moments(x, np.ones(len(x))), (middle, signs)):
-        for _ in range(quality.STEPS):
-            centre, raw = moments(x, subset(x, centre, cov))
-            cov = raw * quality.consistency()
-        found = np.linalg.slogdet(cov + FLOORS)[1]
+        found = np.inf
+        while True:
+            mean, raw = moments(x, subset(x, centre, cov))
+            wide = raw * quality.consistency()
+            after = np.linalg.slogdet(wide + FLOORS)[1]
+            if found - after <= 1e-9:
+                break
+            found, centre, cov = after, mean, wide
         if best is None or found < best[0] - 1e-9:
             best = found, centre, cov
     return best
