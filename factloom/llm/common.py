@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not sc.master.startswith("local"):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
@@ -49,6 +50,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept as Parquet in the shared folder."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rewritten-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES: a batch of 10,000 long texts would take
     hundreds of MB on both sides. A longer text is a batch of its own."""
@@ -268,19 +276,21 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in `edges`; component is the smallest id that links reach.
 
-    Each round takes the smallest label among the neighbours and then jumps along it. Every round is
-    a join and an aggregate over the edges, written to the shared folder; only a count of changed
-    labels comes to the driver.
+    Each round hooks every label to the least one among the neighbours of all that bear it, and then
+    follows that hook once more, so that the labels of a component at least halve: a chain of n links takes
+    about log n rounds. Ids with many links and labels of many ids are joined by broadcast (`lookup`). Every round is written to the shared folder; no link or label comes to the driver.
     """
     ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
     both = checkpointed(edges.select(F.explode(ways).alias("e")).select("e.*").where("u <> v").distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    n_edges = both.count()
+    labels = both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("links")).select("u", F.least("u", "v").alias("label"), "links")
     while True:
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = checkpointed(lower.join(jump, "label", "left").select("u", "old", F.coalesce("further", "label").alias("label")))
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("u", "label")
-        if not moved:
-            return labels.select(F.col("u").alias("id"), F.col("label").alias("component"))
+        # A file has the size that it has; a checkpoint keeps the size estimated of joins, which would be squared with every round.
+        labels = rewritten(labels)
+        near = lookup(both, labels.select(F.col("u").alias("v"), "label", "links"), "v", "links", n_edges).groupBy("u").agg(F.min("label").alias("near"))
+        lower = checkpointed(labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("low"), "links"))
+        hooks = checkpointed(lower.groupBy("old").agg(F.min("low").alias("hook"), F.count("*").alias("n")).where("hook < old"))
+        if hooks.isEmpty():
+            return lower.select(F.col("u").alias("id"), F.col("old").alias("component"))
+        further = hooks.join(hooks.select(F.col("old").alias("hook"), F.col("hook").alias("next")), "hook", "left").select("old", F.coalesce("next", "hook").alias("hook"), "n")
+        labels = lookup(lower, further, "old", "n", n_edges).select("u", F.coalesce("hook", "old").alias("label"), "links")
