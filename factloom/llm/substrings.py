@@ -134,16 +134,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
         order = np.lexsort((places, ids, k1))
         first = order[np.concatenate(([True], np.diff(k1[order].view(np.int64)) != 0))] if len(order) else order
         part = table.column("part")[0].as_py() if table.num_rows else 0
-        salt = np.where(popular[first], part % SALTS, -1).astype(np.int8)
+        salt = np.where(popular[first], part % SALTS + 1, 0)
+        kind = k2[first].astype(np.int64) << np.int64(8) | salt
         spot = np.int64(part) << np.int64(32) | places[first]
-        return pa.table({"k1": _signed(k1[first]), "k2": pa.array(k2[first].view(np.int32)), "salt": pa.array(salt), "spot": pa.array(spot), "least": pa.array(ids[first])})
+        return pa.table({"k1": _signed(k1[first]), "kind": pa.array(kind), "spot": pa.array(spot), "least": pa.array(ids[first])})
 
-    # A spot is the part above the place in the document, so that a row is no longer for it.
-    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, k2 int, salt byte, spot long, least long")
+    # A kind is the key's second hash above the share (0: not hot), a spot the part above the place in the document: short rows.
+    windows = rows.groupBy("part").cogroup(shared.groupBy("in_part")).applyInArrow(extend, "k1 long, kind long, spot long, least long")
     head = lambda df, *by: df.withColumns({x: F.first(c).over(Window.partitionBy(*by).orderBy("least", "spot")) for x, c in (("first", "least"), ("first_spot", "spot"))})
-    lost = head(windows, "k1", "k2", "salt")
+    lost = head(windows, "k1", "kind")
     # Of salted windows the smallest of each share are compared with each other.
-    heads = head(lost.where(F.when(F.col("first") == F.col("least"), F.col("salt")).otherwise(-1) >= 0), "k1", "k2")
+    of_share = (F.col("first") == F.col("least")) & (F.col("kind").bitwiseAND(F.lit(255)) > 0)
+    heads = head(lost.where(of_share).withColumn("key", F.shiftright("kind", 8)), "k1", "key").drop("key")
     lost = lost.where("first < least").unionByName(heads.where("first < least"))
     lost = lost.select("k1", F.shiftright("spot", 32).cast("int").alias("in_part"), "first", F.col("first_spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
 
