@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.normalize import strip
+from factloom.sources.tables import append_facts_evidence, settled, stored as stored_table
 
 from .facts import normalize_facts, run_counters, upsert
-from .text import dedup_facts, embed, extraction_batches, ground_facts, locate_quote, nonblank_pages, parse_model_answers, printed_page_number, select_pages, split_chunks
+from .text import dedup_facts, embed, extraction_batches, ground_facts, locate_quote, nonblank_pages, parse_model_answers, printed_page_number, select_pages, split_chunks, truth
 
 
 def chunk_of_fact(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -40,27 +41,35 @@ def rejection_counts(grounded: DataFrame, keys: tuple[str, ...] = ("document_id"
     return grounded.groupBy(*keys).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
 
 
+def filled_item() -> Column:
+    """Whether subject, predicate and claim of `item` are more than white space."""
+    blank = [F.coalesce(strip(F.col("item")[c]), F.lit("")) == "" for c in ("subject", "predicate", "raw_claim")]
+    return ~(blank[0] | blank[1] | blank[2])
+
+
 def build_facts(grounded: DataFrame) -> DataFrame:
     """A row with fact and evidence columns for every grounded item (column `item` as parsed).
 
-    Texts are trimmed; without any value the raw value text or the claim stands for it; confidence
-    is held to 0 to 1. metadata holds the page number (column page_number, if there is one), the number
-    printed on the page and the chunk. Ids are hashes of batch and position, so a rerun gives the same ids.
+    Texts are trimmed; an item whose subject, predicate or claim is blank gives no fact. Without any value (text, number or
+    truth value) the raw value text or the claim stands for it; confidence is held to 0 to 1 and is 0.9 where there is none. metadata holds the page number (column page_number, if there is one), the number
+    printed on the page and the chunk. Ids are hashes of batch, position, claim and quote, so a rerun gives the same ids and another answer others.
     """
     text = lambda c: F.col(c).cast("string") if c in grounded.columns else F.lit(None).cast("string")
     printed = printed_page_number(F.col("page_text"), F.col("page_number")) if {"page_text", "page_number"} <= set(grounded.columns) else text("page_number")
     metadata = F.map_filter(F.create_map(F.lit("pdf_page_number"), text("page_number"), F.lit("printed_page_number"), printed, F.lit("chunk_id"), text("chunk_id")), lambda _, v: v.isNotNull())
     i = lambda c: F.col("item")[c]
     number = i("value_numeric").try_cast("double")
-    value = F.coalesce(i("value_text"), F.when(number.isNull(), F.coalesce(F.nullif(i("raw_value_text"), F.lit("")), i("raw_claim"))))
-    fact_id = F.sha2(F.concat_ws("/", "batch_id", F.col("position").cast("string")), 256)
+    yes = truth(i("value_boolean"))
+    value = F.coalesce(i("value_text"), F.when(number.isNull() & yes.isNull(), F.coalesce(F.nullif(i("raw_value_text"), F.lit("")), i("raw_claim"))))
+    fact_id = F.sha2(F.to_json(F.struct("batch_id", "position", i("raw_claim").alias("claim"), i("quote").alias("quote"))), 256)
     shown = F.coalesce(F.when(number != 0, number.cast("string")), F.lit(""))
-    return grounded.where("grounded").select(
+    return grounded.where(F.col("grounded") & filled_item()).select(
         fact_id.alias("id"), "document_id", "batch_id", "position", "page_id", "chunk_id",
         *[strip(i(c)).alias(c) for c in ("subject", "predicate", "raw_claim", "quote")],
         value.alias("value_text"), F.coalesce(F.nullif(i("raw_value_text"), F.lit("")), F.nullif(value, F.lit("")), shown).alias("raw_value_text"),
-        number.alias("value_numeric"), *[i(c).alias(c) for c in ("unit", "fact_type", "period_text", "scope", "status")],
-        F.least(F.greatest(i("confidence").try_cast("double"), F.lit(0.0)), F.lit(1.0)).alias("confidence"), "start", "end", "offset_base", metadata.alias("metadata"),
+        number.alias("value_numeric"), yes.alias("value_boolean"), i("unit").alias("unit"), F.coalesce(i("fact_type"), F.lit("NUMERICAL")).alias("fact_type"),
+        *[i(c).alias(c) for c in ("period_text", "scope", "geography", "segment", "status", "attribution")],
+        F.least(F.greatest(F.coalesce(i("confidence").try_cast("double"), F.lit(0.9)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), "start", "end", "offset_base", metadata.alias("metadata"),
     )
 
 
@@ -80,19 +89,35 @@ def prompts(pages: DataFrame, n: int = 2) -> DataFrame:
     return extraction_batches(batched_chunks(pages, n).select("document_id", "page_number", "chunk_index", "text"), n)
 
 
+def stored_facts(spark: SparkSession, folder: str, but: str | None = None) -> DataFrame | None:
+    """The stored facts of all batches but one, with the quote of their evidence; None if there are none."""
+    facts, evidence = stored_table(spark, folder, "facts"), stored_table(spark, folder, "evidence")
+    if facts is None:
+        return None
+    if but is not None:
+        own = stored_table(spark, folder, "facts", batch=but)
+        facts = facts if own is None else facts.join(own.select("id"), "id", "left_anti")
+    return facts.join(evidence.select(F.col("fact_id").alias("id"), "quote"), "id", "left")
+
+
 def process_documents(
     pages: DataFrame, answers: DataFrame, stored: dict[str, DataFrame], n: int = 2, most: int | None = None, numbers: list[int] | None = None, offset: int = 0,
-    embedder: Callable[[list[str]], list[list[float]]] | None = None, now: Column | None = None,
+    embedder: Callable[[list[str]], list[list[float]]] | None = None, now: Column | None = None, folder: str | None = None, batch: str | None = None,
 ) -> dict[str, DataFrame]:
     """What processing many documents adds: chunks, facts (with evidence columns), counts and runs.
 
-    pages: document_id, page_id, page_number, text; answers: batch_id, answer. stored: facts (document_id,
+    pages: document_id, page_id, page_number, text, and dataset_id if facts are to be stored; answers: batch_id, answer. stored: facts (document_id,
     raw_claim, quote), and if there are any extracted (page_id of pages done before), chunks (page_id,
     chunk_index, ...) and runs (id, document_id, ...). Pages are chosen as `select_pages` does, cut in
     chunks, which get vectors from `embedder` and are upserted; answers are parsed and their items
     grounded, built, normalized and freed of repeats; each run of a document of these pages gets its
-    counts and the status COMPLETED.
+    counts and the status COMPLETED. With `folder` what is stored there counts as stored too, facts and evidence are appended
+    to it as one batch (see `append_facts_evidence`), and `appended` says how many of each dataset; a rerun
+    under the name of a committed batch adds nothing.
     """
+    there = stored_facts(pages.sparkSession, folder, batch) if folder is not None else None
+    known = stored["facts"].select("document_id", "raw_claim", "quote")
+    known = known if there is None else known.unionByName(there.select("document_id", "raw_claim", "quote"))
     extracted = stored.get("extracted", pages.select("page_id").limit(0))
     chosen = select_pages(pages, extracted, most, numbers, offset).select("document_id", "page_id", "page_number", "text")
     cut = batched_chunks(chosen, n)
@@ -106,11 +131,16 @@ def process_documents(
     slim = full.select("batch_id", "at", "chunk_id", "page_id", F.col("text").alias("chunk_text"), "page_text")
     owner = full.select("batch_id", "document_id").distinct()
     items = parse_model_answers(answers).select("batch_id", "position", "item", F.col("item.chunk_id").alias("label"), F.col("item.quote").alias("quote"))
-    grounded = ground_facts(chunk_of_fact(items, slim)).join(owner, "batch_id").join(chosen.select("page_id", "page_number"), "page_id", "left")
+    grounded = ground_facts(chunk_of_fact(items, slim)).withColumn("grounded", F.col("grounded") & filled_item()).join(owner, "batch_id").join(chosen.select("page_id", "page_number"), "page_id", "left")
     built = build_facts(grounded).withColumn("position", F.struct(F.element_at(F.split("batch_id", "/"), -1).cast("int").alias("batch"), F.col("position").alias("place")))
     ordered = built.withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("position")))
-    facts, counts = normalize_facts(dedup_facts(ordered, stored["facts"])), rejection_counts(grounded)
+    facts, counts = normalize_facts(dedup_facts(ordered, known)), rejection_counts(grounded)
     out = {"chunks": chunks, "facts": facts, "counts": counts}
+    if folder is not None:
+        owners = pages.select("document_id", "dataset_id").distinct()
+        out["facts"] = facts = settled(facts.join(owners, "document_id"))
+        numbered = facts.withColumn("page_number", F.col("metadata")["pdf_page_number"].try_cast("int"))
+        out["appended"] = append_facts_evidence(numbered, folder, batch, now)
     if "runs" in stored:
         of = lambda t, *aggs: t.groupBy("document_id").agg(*aggs)
         done = of(added, F.count("*").alias("chunks")).join(of(facts, F.count("*").alias("facts")), "document_id", "left").join(of(counts, F.sum("rejected").alias("rejected")), "document_id", "left").fillna(0)

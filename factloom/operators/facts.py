@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 from pyspark.sql.window import Window
 
 from factloom.functions.normalize import nonblank, normalize_number, normalize_period, normalize_unit, strip
@@ -147,12 +148,20 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
 
 
+# What a fact can be.
+FACT_TYPES = ("NUMERICAL", "SEMANTIC", "DERIVED")
+
+
 def validate_facts(facts: DataFrame) -> DataFrame:
-    filled = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) != ""
+    """Adds the names of the rules that a fact breaks: it has a value as text, number or truth value, its period does not
+    end before it starts, subject, predicate and claim are not empty, its confidence is from 0 to 1 and its
+    type is one of FACT_TYPES. Value columns that the table lacks count as null."""
+    given = lambda c: F.col(c).isNotNull() if c in facts.columns else F.lit(False)
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     dates = F.col("period_start").isNull() | F.col("period_end").isNull() | (F.col("period_end") >= F.col("period_start"))
     rules = {
-        "value": F.col("value_numeric").isNotNull() | (F.coalesce("raw_value_text", F.lit("")) != ""), "period": dates, "subject": filled("subject"),
-        "predicate": filled("predicate"), "claim": filled("raw_claim"), "confidence": F.col("confidence").between(0, 1), "type": F.col("fact_type").isin("NUMERIC", "SEMANTIC", "TEMPORAL"),
+        "value": given("value_text") | given("value_numeric") | given("value_boolean"), "period": dates, "subject": filled("subject"), "predicate": filled("predicate"),
+        "claim": filled("raw_claim"), "confidence": F.col("confidence").between(0, 1), "type": F.col("fact_type").isin(*FACT_TYPES),
     }
     return facts.withColumn("violations", violations(rules))
 
@@ -257,12 +266,14 @@ def run_counters(runs: DataFrame, batches: DataFrame, status: str | None = None,
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str], latest: str | None = None) -> DataFrame:
     """Inserts or replaces on `keys`; of a replaced row the `kept` columns (ids, creation) stay.
 
-    Of new rows with equal keys one counts, the last by `latest` if it is given. A new value that is null
+    Of new rows with equal keys one counts: the last by `latest` if it is given, of these (or of all) the
+    largest by their other columns in order, so that a rerun takes the same one. A new value that is null
     replaces the old one like any other. Columns are those of `old`; what `new` lacks is null.
     """
-    if latest is not None:
-        order = Window.partitionBy(*keys).orderBy(F.col(latest).desc_nulls_last())
-        new = new.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+    others = [F.to_json(F.struct(F.col(f"`{c}`"))).desc() if isinstance(new.schema[c].dataType, (MapType, VariantType)) else F.col(f"`{c}`").desc_nulls_last() for c in new.columns if c not in keys]
+    order = ([F.col(latest).desc_nulls_last()] if latest is not None else []) + others
+    if order:
+        new = new.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__turn = 1").drop("__turn")
     else:
         new = new.dropDuplicates(keys)
     o, n = old.withColumn("__old", F.lit(True)).alias("o"), new.withColumn("__new", F.lit(True)).alias("n")

@@ -1,4 +1,4 @@
-"""All candidate pairs of facts with their hybrid score, in tiles; nearest neighbours in batches."""
+"""Candidate pairs with their reasons, their relationships, and nearest neighbours in batches."""
 
 from __future__ import annotations
 
@@ -10,92 +10,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.matching import candidate, jaccard, rule_relationship, tokens
 
-
-def _numbered(lists) -> list[np.ndarray]:
-    """Each list of tokens as numbers."""
-    names = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
-    return [np.fromiter((names[t] for t in x), np.int64, len(x)) for x in lists]
-
-
-def _jaccard(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarity of each two sets of numbers, by products of incidence matrices."""
-    used, at = np.unique(np.concatenate([*x, *y, np.zeros(0, np.int64)]), return_inverse=True)
-    sizes = np.array([len(v) for v in [*x, *y]])
-    m = np.zeros((len(sizes), max(1, len(used))), np.float32)
-    m[np.repeat(np.arange(len(sizes)), sizes), at] = 1
-    both = m[: len(x)] @ m[len(x) :].T
-    union = sizes[: len(x), None] + sizes[None, len(x) :] - both
-    return np.where(both > 0, both / np.maximum(union, 1), 0.0)
-
-
-def _best(pairs: pd.DataFrame, n: int) -> pd.DataFrame:
-    return pairs.sort_values(["score", "fact_a_id", "fact_b_id"], ascending=[False, True, True])[:n]
-
-
-def candidate_scores(facts: DataFrame, least: float = 0.5, require_cross: bool = True, tile: int = 4096, block: int = 1024, most: int | None = None) -> DataFrame:
-    """(fact_a_id, fact_b_id, dataset_id, vector_similarity, score) of every eligible pair at `least` or more.
-
-    Facts of a dataset are split at random into tiles, and every two tiles meet in one task, `block` by
-    `block` facts at a time: the cosines are one matrix product, token overlaps products of incidence
-    matrices. Only pairs that reach `least` leave a task, and with `most` only its best ones by score
-    (which hold the dataset's best). A fact is copied once per tile of its dataset. facts: id, dataset_id, document_id, page_number, subject, predicate,
-    raw_claim, normalized_unit, unit, embedding (null: scored on texts).
-    """
-    sizes = facts.groupBy("dataset_id").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    unit = F.upper(F.coalesce(F.when(F.col("normalized_unit") != "", F.col("normalized_unit")), F.when(F.col("unit") != "", F.col("unit"))))
-    rows = facts.where("coalesce(id, '') <> '' AND coalesce(dataset_id, '') <> ''").join(sizes, "dataset_id").select(
-        "id", "dataset_id", "document_id", "page_number", F.when(unit.isin("INR", "USD", "EUR", "GBP"), "$").otherwise(unit).alias("unit_class"),
-        tokens(F.col("predicate")).alias("p"), tokens(F.col("subject")).alias("s"), tokens(F.col("raw_claim")).alias("c"), "embedding", "tiles",
-    )
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    rows = rows.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["tile", "id"], ignore_index=True)
-        cut = int((g["tile"] == g["tile_a"]).sum())
-        one = g["tile_a"].iat[0] == g["tile_b"].iat[0]
-        has = np.array([x is not None for x in g["embedding"]])
-        dims = np.array([0 if x is None else len(x) for x in g["embedding"]])
-        m = np.zeros((len(g), max(1, dims.max())))
-        for i, x in enumerate(g["embedding"]):
-            if x is not None:
-                m[i, : len(x)] = x
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        sets = {k: _numbered(g[k].tolist()) for k in "psc"}
-        ids, docs, units = (g[k].to_numpy(object) for k in ("id", "document_id", "unit_class"))
-        pages = pd.to_numeric(g["page_number"]).to_numpy(float)
-        doc = pd.factorize(docs, use_na_sentinel=False)[0]
-        known = np.array([d is not None and d == d and d != "" for d in docs])
-        u = pd.factorize(units)[0]
-        found = []
-        for at in range(0, len(g) if one else cut, block):
-            r = slice(at, min(at + block, len(g) if one else cut))
-            for to in range(at if one else cut, len(g), block):
-                c = slice(to, to + block)
-                p, s, t = (_jaccard(sets[k][r], sets[k][c]) for k in "psc")
-                v = np.clip(m[r] @ m[c].T, 0, 1) * (dims[r][:, None] == dims[c][None, :])
-                both = has[r][:, None] & has[c][None, :]
-                total = np.where(both, 0.65 * v + 0.20 * p + 0.15 * s, 0.50 * t + 0.30 * p + 0.20 * s).clip(0, 1)
-                total = np.floor(total * 1e4 + 0.5) / 1e4
-                same_doc = (doc[r][:, None] == doc[c][None, :]) & known[r][:, None]
-                keep = (total >= least) & ~(same_doc & (pages[r][:, None] == pages[c][None, :]))
-                keep &= (u[r][:, None] == u[c][None, :]) | (u[r][:, None] < 0) | (u[c][None, :] < 0)
-                if require_cross:
-                    keep &= ~same_doc & known[r][:, None] & known[c][None, :]
-                if one and at == to:
-                    keep &= np.triu(np.ones_like(keep), 1)
-                i, j = np.nonzero(keep)
-                a, b = ids[r][i], ids[c][j]
-                swap = a > b
-                found.append(pd.DataFrame({"fact_a_id": np.where(swap, b, a), "fact_b_id": np.where(swap, a, b), "dataset_id": g["dataset_id"].iat[0], "vector_similarity": np.where(both, v, np.nan)[i, j], "score": total[i, j]}))
-                if most is not None and sum(map(len, found)) > max(10 * most, 10_000):
-                    found = [_best(pd.concat(found), most)]
-        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("fact_a_id", "fact_b_id", "dataset_id", "vector_similarity", "score")}, dtype=object)
-        return out if most is None else _best(out, most)
-
-    found = rows.groupBy("dataset_id", "tile_a", "tile_b").applyInPandas(score, "fact_a_id string, fact_b_id string, dataset_id string, vector_similarity double, score double")
-    return found.where("fact_a_id <> fact_b_id")
+from .pairing import candidate_scores
 
 
 def candidate_pairs(facts: DataFrame, least: float = 0.5, require_cross: bool = True, most: int | None = None) -> DataFrame:

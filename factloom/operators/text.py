@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.normalize import nonblank, strip
-from factloom.sources.tables import settled
+from factloom.sources.tables import rewritten, settled
+
+from .facts import FACT_TYPES
 
 # What hides a secret, in order; `\1` stays.
 SECRETS = [
@@ -124,19 +127,39 @@ def extraction_batches(chunks: DataFrame, n: int = 2) -> DataFrame:
     return numbered.groupBy("document_id", "batch_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("shown")))), lambda x: x["shown"]), "\n\n").alias("prompt"), F.count("*").alias("n_chunks"))
 
 
-ITEM = "chunk_id string, subject string, predicate string, raw_claim string, value_text string, raw_value_text string, value_numeric string, unit string, fact_type string, period_text string, scope string, status string, confidence string, quote string"
+# The fields of an extracted item, what stands for an absent one, and the types a fact can have.
+ITEM = (
+    "chunk_id", "subject", "predicate", "raw_claim", "value_text", "raw_value_text", "value_numeric", "value_boolean", "unit", "fact_type", "period_text", "scope", "geography",
+    "segment", "status", "attribution", "confidence", "quote",
+)
+ABSENT = {"fact_type": "NUMERICAL", "status": "actual", "confidence": "0.9"}
+
+
+def truth(text: Column) -> Column:
+    """True or false of a text like true, yes, on, 1; null for others."""
+    word = F.lower(strip(text))
+    return F.when(word.isin("true", "t", "yes", "y", "on", "1"), True).when(word.isin("false", "f", "no", "n", "off", "0"), False)
 
 
 def parse_model_answers(answers: DataFrame) -> DataFrame:
     """(batch_id, position, item) of every answer text; one bad item rejects its whole answer.
 
     Code fences and what stands around the outer braces are cut. Items are read as texts and then
-    cast, so numbers in quotes pass; subject, predicate, claim and quote must be there.
+    cast, so numbers in quotes pass. Subject, predicate, claim and quote must be there; an absent type, status or confidence
+    is that of ABSENT, a null status stays null, a null or unknown type or a confidence outside 0 to 1 is bad,
+    as is a number or truth value that cannot be read.
     """
     body = nonblank(F.regexp_extract("answer", r"(?s)\{.*\}", 0))
-    parsed = answers.withColumn("facts", F.from_json(body, f"facts array<struct<{ITEM.replace(' string', ':string')}>>")["facts"])
-    fine = lambda x: x["subject"].isNotNull() & x["predicate"].isNotNull() & x["raw_claim"].isNotNull() & x["quote"].isNotNull() & (x["value_numeric"].isNull() | x["value_numeric"].try_cast("double").isNotNull()) & (x["confidence"].isNull() | x["confidence"].try_cast("double").between(0, 1))
-    return parsed.where(F.col("facts").isNotNull() & F.forall("facts", lambda x: F.coalesce(fine(x), F.lit(False)))).select("batch_id", F.posexplode("facts").alias("position", "item"))
+    parsed = answers.withColumn("facts", F.from_json(body, "facts array<map<string,string>>")["facts"])
+    value = lambda m, c: F.when(~F.map_contains_key(m, F.lit(c)), F.lit(ABSENT[c])).otherwise(m[c]) if c in ABSENT else m[c]
+    items = F.transform("facts", lambda m: F.struct(*[value(m, c).alias(c) for c in ITEM]))
+    there = lambda x, *names: reduce(lambda p, q: p & q, [x[c].isNotNull() for c in names])
+    fine = lambda x: (
+        there(x, "subject", "predicate", "raw_claim", "quote") & (x["value_numeric"].isNull() | x["value_numeric"].try_cast("double").isNotNull()) & (x["value_boolean"].isNull() | truth(x["value_boolean"]).isNotNull())
+        & x["fact_type"].isin(*FACT_TYPES) & x["confidence"].try_cast("double").between(0, 1)
+    )
+    parsed = parsed.where(F.col("facts").isNotNull() & F.forall("facts", lambda m: m.isNotNull())).withColumn("facts", items)
+    return parsed.where(F.forall("facts", lambda x: F.coalesce(fine(x), F.lit(False)))).select("batch_id", F.posexplode("facts").alias("position", "item"))
 
 
 def ground_facts(items: DataFrame) -> DataFrame:
@@ -146,14 +169,64 @@ def ground_facts(items: DataFrame) -> DataFrame:
     return items.withColumns({"start": F.coalesce(c["start"], p["start"]), "end": F.coalesce(c["end"], p["end"]), "grounded": base.isNotNull(), "offset_base": base})
 
 
-def dedup_facts(new: DataFrame, stored: DataFrame) -> DataFrame:
+#: Open facts that one task walks through in order, and rounds of joins before that.
+WALK, ROUNDS = 200_000, 2
+
+
+def _walk(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of the rows of each group, in the order of d_turn, those that repeat no claim and no quote of one that stays."""
+
+    def keep(batches):
+        group, claims, quotes = None, set(), set()
+        for batch in batches:
+            stays = []
+            for *now, of, claim, quote in zip(*[batch.column(c).to_pylist() for c in [*by, "d_of", "d_claim", "d_quote"]], strict=True):
+                if now != group:
+                    group, claims, quotes = now, set(), set()
+                new = (of, claim) not in claims and (of, quote) not in quotes
+                if new:
+                    claims.add((of, claim))
+                    quotes.add((of, quote))
+                stays.append(new)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "d_turn", "d_claim", "d_quote")
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """`rows` with `d_part`: equal for facts that shared claims and quotes connect. Nodes are 64-bit hashes;
+    should two of them meet, parts are joined that need not be, which changes nothing.
+
+    Each round hooks every label to the least one among the neighbours of all that bear it, so that the number of labels
+    of a part at least halves: a chain of n facts takes about log n rounds."""
+    node = lambda kind, c: F.xxhash64(F.lit(kind), "d_of", c)
+    rows = rows.withColumns({"d_u": node("claim", "d_claim"), "d_v": node("quote", "d_quote")})
+    both = settled(rows.select(F.explode(F.array(F.struct(F.col("d_u").alias("u"), F.col("d_v").alias("v")), F.struct(F.col("d_v").alias("u"), F.col("d_u").alias("v")))).alias("e")).select("e.*").distinct())
+    labels = both.groupBy("u").agg(F.first("u").alias("label"))
+    while True:
+        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        lower = settled(labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("low")))
+        hooks = settled(lower.where("low < old").groupBy("old").agg(F.min("low").alias("hook")))
+        if hooks.isEmpty():
+            return rows.join(labels.select(F.col("u").alias("d_u"), F.col("label").alias("d_part")), "d_u").drop("d_u", "d_v")
+        further = hooks.join(hooks.select(F.col("old").alias("hook"), F.col("hook").alias("next")), "hook", "left").select("old", F.coalesce("next", "hook").alias("hook"))
+        # A file has the size that it has; a checkpoint keeps the size estimated of joins, which would be squared with every round.
+        labels = rewritten(lower.join(further, "old", "left").select("u", F.coalesce("hook", "old").alias("label")))
+
+
+def dedup_facts(new: DataFrame, stored: DataFrame, walk: int = WALK) -> DataFrame:
     """New facts (document_id, position, raw_claim, quote) that repeat no claim and no quote, in order.
 
     Stored ones are anti-joined on either text. Within a document's new facts a dropped one suppresses
-    nothing after it, so facts are settled in rounds: those that are the first of their claim and of their
-    quote stay, and what shares a claim or a quote with them goes, until nothing is open. A document of any
-    size is spread over all tasks; there are as many rounds as the longest chain of facts that depend on
-    each other. A null claim, quote or document is a value of its own, a null position comes last, of rows
+    nothing after it, so the order decides. Two rounds of joins keep what is the first of its claim and of its
+    quote and drop what shares either with it, which ends every claim or quote of many facts. What is still
+    open depends on chains of facts: documents with up to `walk` open facts are walked in order, a
+    document a task, with a set of claims and one of quotes; larger ones are cut into the parts that
+    shared texts connect, and these are walked; parts that are larger still go through the rounds again.
+    A chain of any length up to `walk` thus takes as many stages as a pair.
+
+    A null claim, quote or document is a value of its own, a null position comes last, of rows
     that are equal in all four one stays.
     """
     key = lambda c: F.trim(F.lower(F.col(c)))
@@ -167,12 +240,25 @@ def dedup_facts(new: DataFrame, stored: DataFrame) -> DataFrame:
     texts = ["d_of", "d_claim", "d_quote"]
     # Of equal claim and quote only the first can stay.
     left, kept = settled(fresh.groupBy(*texts).agg(F.min("d_turn").alias("d_turn"))), []
+    turns = ROUNDS
     while not left.isEmpty():
-        first = lambda k: left.groupBy("d_of", k).agg(F.min(F.struct("d_turn", "d_claim", "d_quote")).alias("f")).select("d_of", "f.*")  # noqa: B023, E731
-        kept.append(settled(first("d_claim").join(first("d_quote"), [*texts, "d_turn"], "left_semi")))
-        for k in ("d_claim", "d_quote"):
-            left = left.join(kept[-1].select("d_of", k), ["d_of", k], "left_anti")
-        left = settled(left)
+        for _ in range(turns):
+            if left.isEmpty():
+                break
+            first = lambda k: left.groupBy("d_of", k).agg(F.min(F.struct("d_turn", "d_claim", "d_quote")).alias("f")).select("d_of", "f.*")  # noqa: B023, E731
+            kept.append(settled(first("d_claim").join(first("d_quote"), [*texts, "d_turn"], "left_semi")))
+            for k in ("d_claim", "d_quote"):
+                left = left.join(kept[-1].select("d_of", k), ["d_of", k], "left_anti")
+            left = settled(left)
+        for by in (["d_of"], ["d_part"]):
+            if left.isEmpty():
+                break
+            if by == ["d_part"]:
+                left = settled(_linked(left))
+            large = settled(left.groupBy(*by).count().where(F.col("count") > walk).select(*by))
+            kept.append(settled(_walk(left.join(large, by, "left_anti"), by).select(*texts, "d_turn")))
+            left = settled(left.join(large, by, "left_semi").select(*texts, "d_turn"))
+        turns *= 2
     stays = reduce(DataFrame.unionByName, kept, left)  # nothing is left
     return fresh.join(stays, [*texts, "d_turn"], "left_semi").dropDuplicates([*texts, "d_turn"]).select(*new.columns)
 

@@ -33,7 +33,7 @@ RECIPES["fx_facts"] = """SELECT concat(dataset_id, '-d', k, '-', bn, '-', y, '-'
       WHEN p = 1 AND k = 3 AND bn % 5 = 0 THEN concat('INR (', v, ')') WHEN p = 1 AND k = 3 THEN concat('INR ', v) WHEN p = 1 THEN concat('USD ', v)
       WHEN k = 2 THEN concat(thousands, ' thousand parcels') WHEN k = 3 AND bn % 5 = 0 THEN concat('(', q, ') parcels') ELSE concat(q, ' parcels') END AS raw_value_text,
     CAST(CASE WHEN k IN (1, 5) THEN NULL WHEN p = 1 AND k = 2 THEN floor(v6 / 1000) WHEN p = 1 THEN v WHEN k = 2 THEN thousands ELSE q END AS DOUBLE) AS value_numeric,
-    CAST(NULL AS STRING) AS unit, CASE WHEN k = 5 THEN 'SEMANTIC' ELSE 'NUMERIC' END AS fact_type,
+    CAST(NULL AS STRING) AS unit, CASE WHEN k = 5 THEN 'SEMANTIC' WHEN k = 4 THEN 'DERIVED' ELSE 'NUMERICAL' END AS fact_type,
     CASE k WHEN 1 THEN concat('FY', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 2 THEN concat('FY', y, '-', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 3 THEN concat('Q1 FY', substring(CAST(y + 1 AS STRING), 3, 2)) WHEN 4 THEN CAST(y + 1 AS STRING) ELSE concat('March 31, ', y + 1) END AS period_text,
     CASE WHEN k IN (1, 2) THEN 'consolidated' WHEN k = 3 AND bn % 3 = 0 THEN 'standalone' END AS scope, CASE WHEN k = 3 AND y = 2001 THEN 'forecast' ELSE 'actual' END AS status,
     CAST(1 + bn % 4 AS INT) AS page_number, CAST(concat('2024-01-0', k + 1, ' 00:', y - 1985, ':00') AS TIMESTAMP) AS created_at, bn, y, k, p, supplier_block,

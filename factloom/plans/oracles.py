@@ -71,7 +71,7 @@ SQL["page_table"] = r"SELECT document_id, page_number, CAST(length(t) AS INT) AS
 SQL["upsert_relationships"] = """WITH o AS (SELECT * FROM {fx_edges} WHERE confidence >= 0.7), n AS (SELECT * FROM {fx_edges} WHERE confidence < 0.8)
 SELECT coalesce(o.fact_a_id, n.fact_a_id) AS fact_a_id, coalesce(o.fact_b_id, n.fact_b_id) AS fact_b_id, coalesce(n.relationship_type, o.relationship_type) AS relationship_type, CASE WHEN n.fact_a_id IS NULL THEN o.confidence ELSE 0.5 END AS confidence,
 concat(CASE WHEN o.fact_a_id IS NULL THEN '' ELSE 'old-' END, coalesce(o.fact_a_id, n.fact_a_id), '/', coalesce(o.fact_b_id, n.fact_b_id)) AS id FROM o FULL JOIN n ON o.fact_a_id = n.fact_a_id AND o.fact_b_id = n.fact_b_id"""
-SQL["append_facts_evidence"] = "SELECT f.dataset_id, count(*) AS facts, min(f.id) AS first_facts, count(*) AS evidence, min(f.id) AS first_evidence FROM {fx_facts} f JOIN {d_first} e ON e.fact_id = f.id GROUP BY 1"
+SQL["append_facts_evidence"] = "SELECT f.id, f.dataset_id, f.fact_type, e.quote, f.page_number, length(e.quote) > 0 AND regexp_matches(e.quote, '\\S') AS sound FROM {fx_facts} f JOIN {d_first} e ON e.fact_id = f.id"
 SQL["delete_dataset_cascade"] = """SELECT 'filings' AS part, count(*) AS n FROM {fx_filings} WHERE dataset_id <> 'ASIA' UNION ALL SELECT 'facts', count(*) FROM {fx_facts} WHERE dataset_id <> 'ASIA'
 UNION ALL SELECT 'evidence', count(*) FROM {fx_evidence} WHERE NOT starts_with(fact_id, 'ASIA-') UNION ALL SELECT 'edges', count(*) FROM {fx_edges} WHERE NOT starts_with(fact_a_id, 'ASIA-') AND NOT starts_with(fact_b_id, 'ASIA-')
 UNION ALL SELECT 'pages', count(*) FROM {fx_pages} WHERE page_number % 3 > 0 UNION ALL SELECT 'chunks', count(*) FROM {fx_pages} WHERE page_number % 3 > 0 UNION ALL SELECT 'runs', count(*) FROM {fx_runs} WHERE document_id % 3 > 0
@@ -87,7 +87,7 @@ SQL["relationship_filters_pages"] = "SELECT relationship_type, count(*) AS n FRO
 SQL["purge_same_page"] = "SELECT fact_a_id, fact_b_id, NOT coalesce(a.document_id = b.document_id AND a.page = b.page, false) AS kept FROM {d_detailed}"
 SQL["relationship_search"] = "SELECT fact_a_id, fact_b_id FROM {d_detailed} WHERE confidence >= 0.55 AND a.document_id <> b.document_id AND contains(lower(concat_ws(' ', a.filename, a.predicate, a.raw_claim, a.subject, b.filename, b.predicate, b.raw_claim, b.subject)), 'brand#2')"
 SQL["document_search"] = "SELECT id, filename FROM {fx_filings} WHERE contains(lower(filename), 'am')"
-SQL["validate_facts"] = "SELECT id, CASE WHEN period_end < period_start THEN 'period' ELSE '' END AS violations FROM {d_facts}"
+SQL["validate_facts"] = """SELECT id, concat_ws(',', CASE WHEN value_numeric IS NULL AND NOT (bn % 9 = 6 AND k = 5) AND bn % 9 <> 7 THEN 'value' END, CASE WHEN period_end < period_start THEN 'period' END, CASE bn % 9 WHEN 1 THEN 'subject' WHEN 2 THEN 'predicate' WHEN 3 THEN 'claim' WHEN 4 THEN 'confidence' WHEN 5 THEN 'type' END) AS violations FROM {d_facts}"""
 SQL["validate_evidence"] = r"SELECT id, concat_ws(',', CASE WHEN NOT regexp_matches(quote, '\S') THEN 'text' END, CASE WHEN length(quote) < 20 THEN 'order' END, CASE WHEN length(quote) > 40 THEN 'confidence' END) AS violations FROM {fx_evidence}"
 SQL["validate_relationships"] = "SELECT fact_b_id AS fact_a_id, fact_a_id AS fact_b_id, concat_ws(',', 'order', CASE WHEN confidence * 1.3 > 1 THEN 'confidence' END, CASE WHEN relationship_type = 'RELATED' THEN 'reason' END) AS violations FROM {fx_edges}"
 SQL["validate_vectors"] = "SELECT vec_id, CAST(CASE WHEN len(embedding) = 64 THEN 0 ELSE 1 END AS BIGINT) AS n FROM {embeddings}"
@@ -145,7 +145,9 @@ CAST(len >= 20 AS INT) + CAST(page > 0 AS INT) + 1 + CAST(hasunit OR NOT (num =
 SELECT f.id, length(coalesce(regexp_replace(e.quote, '^\s+|\s+$', '', 'g'), '')) AS len, coalesce(e.evidence_page, f.page_number) AS page, f.normalized_unit IS NOT NULL AS hasunit, CAST(nv IS NOT NULL OR value_numeric IS NOT NULL AS INT) AS num, regexp_matches(f.raw_value_text, '\d') AS digit, f.scope IS NOT NULL AS hasscope, CAST(f.bn % 7 = 0 AS INT) AS warned FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id))"""
 SQL["rag_context"] = """SELECT q.query_id, sha256(coalesce(c, 'No relevant document chunks found.')) AS context FROM {fx_queries} q LEFT JOIN (SELECT query_id, string_agg(concat('[Source ', rank, '] (', id, ', ', printf('%.3f', 1 - distance), ')', chr(10), text), concat(chr(10), chr(10)) ORDER BY rank) AS c
 FROM {d_similar} JOIN documents ON doc_id = id WHERE rank <= 3 AND query_id % 300 > 0 GROUP BY 1) h ON h.query_id = q.query_id"""
-SQL["parse_model_answers"] = "SELECT doc_id AS batch_id, CAST(i AS BIGINT) AS position, source AS subject, CAST(n_chars AS DOUBLE) AS value_numeric FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE lang <> 'es'"
+SQL["parse_model_answers"] = """SELECT doc_id AS batch_id, CAST(i AS BIGINT) AS position, source AS subject, CAST(n_chars AS DOUBLE) AS value_numeric, CASE WHEN doc_id % 7 > 0 THEN (CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END) END AS value_boolean,
+CASE WHEN doc_id % 2 > 0 THEN 'DERIVED' ELSE 'NUMERICAL' END AS fact_type, CASE WHEN doc_id % 3 > 0 THEN 'forecast' ELSE 'actual' END AS status, CASE WHEN doc_id % 5 > 0 THEN 0.25::DOUBLE ELSE 0.9::DOUBLE END AS confidence, lang AS geography,
+CASE WHEN doc_id % 4 > 0 THEN source END AS segment, CASE WHEN doc_id % 6 > 0 THEN 'a board' END AS attribution FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE lang <> 'es' AND NOT (doc_id % 2 > 0 AND doc_id % 11 = 0)"""
 SQL["candidate_pairs"] = f"""WITH f AS (SELECT f.*, v.embedding, {_tokens('predicate')} AS tp, {_tokens('subject')} AS ts, {_tokens('raw_claim')} AS tc FROM {{d_facts}} f LEFT JOIN {{fx_vectors}} v ON v.id = f.id)
 SELECT * FROM (SELECT a.id AS fact_a_id, b.id AS fact_b_id, a.dataset_id, round(CASE WHEN a.embedding IS NOT NULL AND b.embedding IS NOT NULL THEN 0.65 * greatest(least(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 1.0), 0.0) + 0.20 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END + 0.15 * {_jaccard('a.ts', 'b.ts')}
 ELSE 0.50 * {_jaccard('a.tc', 'b.tc')} + 0.30 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END + 0.20 * {_jaccard('a.ts', 'b.ts')} END, 4) AS score
@@ -161,8 +163,9 @@ SQL["rejection_counts"] = rf"SELECT batch_id, count(*) FILTER (ok) AS accepted,
 SQL["ground_facts"] = rf"""SELECT id, CASE WHEN c > 0 THEN c - 1 WHEN p > 0 THEN p - 1 END AS start, CASE WHEN c > 0 THEN 'chunk' WHEN p > 0 THEN 'page' END AS offset_base, c > 0 OR p > 0 AS grounded
     FROM (SELECT id, CASE WHEN q = '' OR q IS NULL THEN 0 WHEN page_number % 2 = 1 THEN coalesce(strpos(text, q), 0) ELSE coalesce(strpos(substring(text, 1, 12), q), 0) END AS c, CASE WHEN q = '' OR q IS NULL OR page_number % 3 = 0 THEN 0 ELSE coalesce(strpos(text, q), 0) END AS p
     FROM (SELECT *, {_TRIM.format("substring(text, 11, 30)")} AS q FROM {{fx_pages}}))"""
-SQL["build_facts"] = """SELECT id AS page_id, CAST(page_number AS VARCHAR) AS pdf_page, dataset_id AS subject, concat('page ', page_number) AS raw_claim, 'q' AS quote, v AS value_text, coalesce(r, v, concat(page_number, '.0')) AS raw_value_text, n AS value_numeric, least(page_number / 10.0, 1.0)::DOUBLE AS confidence
-    FROM (SELECT *, CASE WHEN page_number % 3 = 0 THEN 'v' WHEN n IS NULL THEN coalesce(r, concat('page ', page_number, ' ')) END AS v FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 'raw' END AS r, CASE WHEN page_number % 2 = 0 THEN CAST(page_number AS DOUBLE) END AS n FROM {fx_pages} WHERE page_number % 7 > 0))"""
+SQL["build_facts"] = """SELECT id AS page_id, CAST(page_number AS VARCHAR) AS pdf_page, dataset_id AS subject, concat('page ', page_number) AS raw_claim, 'q' AS quote, v AS value_text, coalesce(r, v, CASE WHEN n <> 0 THEN concat(page_number, '.0') ELSE '' END) AS raw_value_text, n AS value_numeric,
+    CASE WHEN page_number % 4 = 1 THEN 'true' END AS value_boolean, 'NUMERICAL' AS fact_type, concat('geography ', dataset_id) AS geography, concat('segment ', dataset_id) AS segment, concat('attribution ', dataset_id) AS attribution, CASE WHEN page_number % 8 > 0 THEN least(page_number / 10.0, 1.0)::DOUBLE ELSE 0.9::DOUBLE END AS confidence
+    FROM (SELECT *, CASE WHEN page_number % 3 = 0 THEN 'v' WHEN n IS NULL AND page_number % 4 <> 1 THEN coalesce(r, concat('page ', page_number, ' ')) END AS v FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 'raw' END AS r, CASE WHEN page_number % 2 = 0 THEN CAST(page_number AS DOUBLE) END AS n FROM {fx_pages} WHERE page_number % 7 > 0))"""
 SQL["chunk_index"] = "SELECT id, i - 1 AS chunk_index, length(l[i]) AS n_chars FROM (SELECT id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT id, string_split(text, chr(10)) AS l FROM {fx_pages}))"
 SQL["upsert_chunks"] = "SELECT id AS page_id, 0 AS chunk_index, CASE WHEN page_number < 3 THEN 'old' WHEN page_number % 2 = 0 THEN 'x' END AS note, CASE WHEN page_number <= 4 THEN concat('old-', id) ELSE id END AS id, CASE WHEN page_number >= 3 THEN -1 ELSE length(text) END AS n_chars FROM {fx_pages}"
 SQL["validate_chunks"] = r"SELECT id, concat_ws(',', CASE WHEN page_number % 3 = 0 OR NOT coalesce(regexp_matches(text, '\S'), false) THEN 'text' END, CASE WHEN page_number < 2 THEN 'start' END, CASE WHEN page_number % 5 < page_number - 2 THEN 'order' END) AS violations FROM {fx_pages}"

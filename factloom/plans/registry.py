@@ -16,7 +16,7 @@ from factloom.operators import pairs as P
 from factloom.operators import text as X
 
 from factloom.sources.files import scan_files
-from factloom.sources.tables import append_facts_evidence, stored
+from factloom.sources.tables import append_facts_evidence, shared_folder, stored
 
 from .fixtures import NOW, frame, sql
 from .oracles import DUCK, SQL
@@ -99,14 +99,16 @@ def upsert_relationships(edges):
 
 
 def _append_facts_evidence(spark, sf_dir):
-    """Appends the facts that have evidence twice over, by halves, and counts what the stored tables hold."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/facts-{uuid.uuid4().hex}"
+    """Appends the facts that have evidence by halves, the first half twice, and reads what the library finds in the
+    stored tables: each fact once, its quote, and whether its evidence is sound."""
+    folder = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
     facts, evidence = _table(spark, sf_dir, "facts"), O.first_evidence(_table(spark, sf_dir, "fx_evidence"))
-    accepted = facts.join(evidence.select(F.col("fact_id").alias("id"), "quote", "page_id"), "id").drop("n")
-    for k in (0, 1):
-        append_facts_evidence(accepted.where(F.col("bn") % 2 == k), folder)
-    n = lambda t: stored(spark, folder, t).groupBy("dataset_id").agg(F.count("*").alias(t), F.min("id" if t == "facts" else "fact_id").alias(f"first_{t}"))
-    return n("facts").join(n("evidence"), "dataset_id")
+    accepted = facts.join(evidence.select(F.col("fact_id").alias("id"), "quote", "page_id"), "id").drop("n").withColumns({"start": F.lit(10), "end": F.lit(10) + F.char_length("quote")})
+    for k in (0, 1, 0):
+        append_facts_evidence(accepted.where(F.col("bn") % 2 == k), folder, f"half {k}", F.expr(NOW))
+    e = stored(spark, folder, "evidence")
+    sound = O.validate_evidence(e).select("fact_id", (F.size("violations") == 0).alias("sound"))
+    return O.facts_for_matching(stored(spark, folder, "facts"), e).select("id", "dataset_id", "fact_type", "page_number", "quote").join(sound, F.col("id") == F.col("fact_id")).drop("fact_id")
 
 
 QUERIES["append_facts_evidence"] = _append_facts_evidence
@@ -184,7 +186,12 @@ def document_search(filings):
 
 @query("facts")
 def validate_facts(facts):
-    return O.validate_facts(facts).select("id", F.array_join("violations", ",").alias("violations"))
+    n, blank = F.col("bn") % 9, lambda k, c: F.when(F.col("bn") % 9 == k, "").otherwise(F.col(c))
+    f = facts.withColumns({
+        "subject": blank(1, "subject"), "predicate": blank(2, "predicate"), "raw_claim": blank(3, "raw_claim"), "confidence": F.when(n == 4, 1.5).otherwise(F.col("confidence")),
+        "fact_type": F.when(n == 5, "NUMERIC").otherwise(F.col("fact_type")), "value_text": F.when((n == 6) & (F.col("k") == 5), F.col("raw_value_text")), "value_boolean": F.when(n == 7, F.col("k") == 1),
+    })
+    return O.validate_facts(f).select("id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("fx_evidence")
@@ -518,11 +525,20 @@ def rag_context(embeddings, queries, documents):
 
 @query("documents")
 def parse_model_answers(documents):
-    item = F.struct(F.lit("chunk_1").alias("chunk_id"), F.col("source").alias("subject"), F.col("lang").alias("predicate"), F.col("text").alias("raw_claim"), F.col("n_chars").cast("string").alias("value_numeric"), F.col("text").alias("quote"))
+    """Answers of two items: some cut short, fenced, of an unknown type, without type, status or confidence."""
+    n, some = F.col("doc_id"), lambda k, c: F.when(F.col("doc_id") % k > 0, c)
+    item = F.struct(
+        F.lit("chunk_1").alias("chunk_id"), F.col("source").alias("subject"), F.col("lang").alias("predicate"), F.col("text").alias("raw_claim"), F.col("n_chars").cast("string").alias("value_numeric"), F.col("text").alias("quote"),
+        some(2, F.when(n % 11 == 0, "NUMERIC").otherwise("DERIVED")).alias("fact_type"), some(3, F.lit("forecast")).alias("status"), some(5, F.lit(0.25)).alias("confidence"), some(7, n % 2 == 0).alias("value_boolean"),
+        F.col("lang").alias("geography"), some(4, F.col("source")).alias("segment"), some(6, F.lit("a board")).alias("attribution"),
+    )
     json = F.to_json(F.struct(F.array(item, item).alias("facts")))
     fenced = F.when(F.col("lang") == "fr", F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("lang") == "es", F.substring(json, 1, 40)).otherwise(json)
     parsed = X.parse_model_answers(documents.select(F.col("doc_id").alias("batch_id"), fenced.alias("answer")))
-    return parsed.select("batch_id", F.col("position").cast("long").alias("position"), F.col("item.subject").alias("subject"), F.col("item.value_numeric").try_cast("double").alias("value_numeric"))
+    return parsed.select(
+        "batch_id", F.col("position").cast("long").alias("position"), "item.subject", F.col("item.value_numeric").try_cast("double").alias("value_numeric"), X.truth(F.col("item.value_boolean")).cast("string").alias("value_boolean"),
+        "item.fact_type", "item.status", F.col("item.confidence").try_cast("double").alias("confidence"), "item.geography", "item.segment", "item.attribution",
+    )
 
 
 # --- extraction, grounding and stored tables
@@ -573,10 +589,11 @@ def build_facts(pages):
     item = F.struct(
         F.concat(F.lit("  "), "dataset_id").alias("subject"), F.col("document_id").alias("predicate"), F.concat(F.lit("page "), n.cast("string"), F.lit(" ")).alias("raw_claim"), F.lit(" q ").alias("quote"),
         F.when(n % 3 == 0, "v").alias("value_text"), F.when(n % 5 == 0, "raw").otherwise("").alias("raw_value_text"), F.when(n % 2 == 0, n.cast("string")).alias("value_numeric"),
-        *[F.lit(None).cast("string").alias(c) for c in ("unit", "fact_type", "period_text", "scope", "status")], (n / 10).cast("string").alias("confidence"),
+        F.when(n % 4 == 1, "yes").alias("value_boolean"), *[F.lit(None).cast("string").alias(c) for c in ("unit", "fact_type", "period_text", "scope", "status")],
+        *[F.concat(F.lit(f"{c} "), "dataset_id").alias(c) for c in ("geography", "segment", "attribution")], F.when(n % 8 > 0, (n / 10).cast("string")).alias("confidence"),
     )
     rows = pages.select("document_id", "page_number", F.col("id").alias("batch_id"), n.alias("position"), F.col("id").alias("page_id"), F.col("id").alias("chunk_id"), item.alias("item"), (n % 7 > 0).alias("grounded"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("chunk").alias("offset_base"))
-    return E.build_facts(rows).select("page_id", F.col("metadata")["pdf_page_number"].alias("pdf_page"), "subject", "raw_claim", "quote", "value_text", "raw_value_text", "value_numeric", "confidence")
+    return E.build_facts(rows).select("page_id", F.col("metadata")["pdf_page_number"].alias("pdf_page"), "subject", "raw_claim", "quote", "value_text", "raw_value_text", "value_numeric", F.col("value_boolean").cast("string").alias("value_boolean"), "fact_type", "geography", "segment", "attribution", "confidence")
 
 
 @query("fx_pages")

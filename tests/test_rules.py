@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as N
+from factloom.operators import facts as O
 from factloom.operators import text as X
 
 
@@ -81,6 +82,51 @@ def test_dedup_equals_a_walk_in_order(spark):
     assert X.dedup_facts(none, none).count() == 0
 
 
+def _greedy(rows):
+    kept, seen = [], set()
+    for d, i, c, q in sorted(rows, key=lambda r: (r[0], r[1])):
+        if not {(d, "c", c), (d, "q", q)} & seen:
+            seen |= {(d, "c", c), (d, "q", q)}
+            kept.append((d, i, c, q))
+    return kept
+
+
+@pytest.mark.parametrize("walk", [200_000, 900, 10])
+def test_dedup_of_chains_hubs_and_large_parts(spark, walk, monkeypatch):
+    draw = random.Random(11)
+    n = 10_000 if walk > 10_000 else 14  # a part that no task may walk goes through rounds
+    rows = [("chain", i, f"c{(i + 1) // 2}", f"q{i // 2}") for i in range(n)]  # each fact depends on the one before
+    rows += [("hub", i, "the same claim" if i % 3 else f"c{i}", f"q{draw.randrange(300)}") for i in range(900)]
+    rows += [("many", i, f"c{k}-{(j + 1) // 2}", f"q{k}-{j // 2}") for i, (k, j) in enumerate((k, j) for k in range(60 if walk > 10 else 2) for j in range(30))]
+    schema = "document_id string, position int, raw_claim string, quote string"
+    written, settled = [], X.settled
+    monkeypatch.setattr(X, "settled", lambda df: written.append(1) or settled(df))
+    got = [tuple(r) for r in X.dedup_facts(spark.createDataFrame(draw.sample(rows, len(rows)), schema).repartition(4), spark.createDataFrame([], schema), walk).collect()]
+    assert sorted(got) == sorted(_greedy(rows))
+    if walk > 10_000:
+        assert len(written) < 12  # not one for each step of the chain
+
+
+def test_facts_break_the_rules_that_they_break(spark):
+    base = {"value_text": None, "value_numeric": None, "value_boolean": None, "raw_value_text": "5", "period_start": None, "period_end": None, "subject": "s", "predicate": "p", "raw_claim": "c", "confidence": 1.0, "fact_type": "NUMERICAL"}
+    cases = [
+        ({"value_text": ""}, []), ({"value_numeric": 0.0, "fact_type": "DERIVED"}, []), ({"value_boolean": False, "fact_type": "SEMANTIC"}, []), ({}, ["value"]), ({"value_text": "x", "fact_type": "NUMERIC"}, ["type"]),
+        ({"value_text": "x", "fact_type": "TEMPORAL", "confidence": 1.01, "subject": "", "predicate": None}, ["subject", "predicate", "confidence", "type"]), ({"value_text": "x", "raw_claim": "", "period_start": dt.date(2024, 2, 1), "period_end": date(2024, 1, 1)}, ["period", "claim"]),
+    ]
+    schema = "value_text string, value_numeric double, value_boolean boolean, raw_value_text string, period_start date, period_end date, subject string, predicate string, raw_claim string, confidence double, fact_type string"
+    df = spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], schema).coalesce(1)
+    assert [r.violations for r in O.validate_facts(df).collect()] == [w for _, w in cases]
+
+
+def test_items_of_answers(spark):
+    start = '{"facts":[{"subject":"s","predicate":"p","raw_claim":"c","quote":"q"'
+    rows = [(0, start + "}]}"), (1, start + ',"status":null,"value_boolean":"no","segment":"x","confidence":0}]}'), (2, start + ',"confidence":null}]}'), (3, start + ',"fact_type":null}]}'), (4, start + ',"fact_type":"FOO"}]}'), (5, start + ',"value_boolean":"perhaps"}]}'), (6, start + '},{"subject":"s"}]}'), (7, start + ',"confidence":1.2}]}'), (8, '{"facts":[]}')]
+    got = {r.batch_id: r.item for r in X.parse_model_answers(spark.createDataFrame(rows, "batch_id int, answer string")).collect()}
+    assert sorted(got) == [0, 1]
+    assert (got[0].fact_type, got[0].status, got[0].confidence, got[0].value_boolean) == ("NUMERICAL", "actual", "0.9", None)
+    assert (got[1].status, got[1].confidence, got[1].value_boolean, got[1].segment) == (None, "0", "no", "x")
+
+
 def test_answers(spark):
     ok = '{"facts":[{"subject":"s","predicate":"p","raw_claim":"c","quote":"q","value_numeric":"12"}]}'
     rows = [(1, f"```json\n{ok}\n```"), (2, ok[:30]), (3, ok.replace('"12"', '"x"')), (4, None)]

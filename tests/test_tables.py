@@ -62,8 +62,8 @@ def test_appended_tables(spark, tmp_path):
     f = spark.createDataFrame([("f1", "s", "q1", 0), ("f2", "t", "q2", 3)], "id string, dataset_id string, quote string, start int")
     assert rows(append_facts_evidence(f, str(tmp_path))) == [("s", 1, 1), ("t", 1, 1)]
     append_facts_evidence(f.withColumn("id", F.concat("id", F.lit("b"))), str(tmp_path))
-    assert rows(stored(spark, str(tmp_path), "evidence").select("fact_id", "quote", "start")) == [("f1", "q1", 0), ("f1b", "q1", 0), ("f2", "q2", 3), ("f2b", "q2", 3)]
-    assert stored(spark, str(tmp_path), "facts").columns == ["id", "dataset_id"]
+    assert rows(stored(spark, str(tmp_path), "evidence").select("fact_id", "quote", "start_offset")) == [("f1", "q1", 0), ("f1b", "q1", 0), ("f2", "q2", 3), ("f2b", "q2", 3)]
+    assert stored(spark, str(tmp_path), "facts").columns == ["id", "dataset_id", "created_at"]
 
 
 def test_deleted_chunks_leave_evidence(spark):
@@ -88,7 +88,7 @@ def test_verdicts_are_validated_and_pairs_ordered(spark):
     answers = spark.createDataFrame([("a", "b", '```{"relationship_type": "RELATED", "confidence": "0.7", "reason": "r"}```'), ("a", "c", '{"relationship_type": "OTHER", "confidence": 0.7, "reason": "r"}'), ("a", "d", '{"relationship_type": "RELATED", "confidence": 2, "reason": "r"}'), ("a", "e", "no")], "fact_a_id string, fact_b_id string, answer string")
     assert rows(P.parse_verdicts(answers).drop("verdict_factors")) == [("a", "b", "RELATED", 0.7, "r")]
     fact = "struct<id:string,dataset_id:string,document_id:string,page_number:int,subject:string,predicate:string,raw_claim:string,raw_value_text:string,value_numeric:double,normalized_value_numeric:double,unit:string,normalized_unit:string,fact_type:string,period_text:string,period_start:date,period_end:date,scope:string,status:string>"
-    one = lambda i, n: (i, "s", i, 1, "Sales", "revenue", "c", str(n), float(n), float(n), None, "INR", "NUMERIC", "FY24", None, None, None, None)
+    one = lambda i, n: (i, "s", i, 1, "Sales", "revenue", "c", str(n), float(n), float(n), None, "INR", "NUMERICAL", "FY24", None, None, None, None)
     pair = spark.createDataFrame([("z", "b", one("z", 100), one("b", 150))], f"fact_a_id string, fact_b_id string, a {fact}, b {fact}")
     r = P.classify_pairs(pair).first()
     assert (r["fact_a_id"], r["fact_b_id"], r["a"]["id"], r["relationship_type"]) == ("b", "z", "b", "CONTRADICTS") and "33.33 %" in r["reason"]
