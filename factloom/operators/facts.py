@@ -330,27 +330,36 @@ def fact_confidence(facts: DataFrame, quote: str = "quote", page: str = "page_nu
     """score (0 to 100), level, signals, and counts of good and bad ones for each fact.
 
     signals: array<struct<signal, impact, status, description>> in a fixed order; status is pass, warn or
-    fail. A fact whose metadata (a map, if there is one) has table_ambiguity or extraction_warning loses
-    15. Who is corroborated is for the caller to say.
+    fail. Where a column is empty or missing, others stand in: for the quote that of the first of `evidence` (an array of
+    structs), then evidence_quote; for the page that of the first evidence, then metadata (a map); for time_period
+    period_text, temporal_period, then metadata's period and time_period; for unit normalized_unit, then metadata; for scope metadata.
+    A fact whose metadata has table_ambiguity or extraction_warning loses 15. Who is corroborated is for the caller to say.
     """
     unknown = ("none", "null", "unknown", "", "n/a")
     tidy = lambda c: F.coalesce(strip(F.lower(c.cast("string"))), F.lit(""))
-    length = F.char_length(F.coalesce(strip(F.col(quote)), F.lit("")))
+    meta = F.col("metadata") if "metadata" in facts.columns else F.create_map().cast("map<string,string>")
+    have = lambda c: nonblank(F.col(c).cast("string")) if c in facts.columns else F.lit(None).cast("string")
+    kept = F.try_element_at("evidence", F.lit(1)) if "evidence" in facts.columns else None
+    fields = {f.name for f in facts.schema["evidence"].dataType.elementType.fields} if kept is not None else set()
+    of_evidence = lambda *names: [kept[c].cast("string") for c in names if c in fields]
+    pages = [F.col(c).cast("string") for c in (page,) if c in facts.columns]
+    said, paper = F.coalesce(have(quote), *of_evidence("quote"), have("evidence_quote")), F.coalesce(*pages, *of_evidence("page_number", "pdf_page_number"), meta["page_number"])
+    length = F.char_length(F.coalesce(strip(said), F.lit("")))
     number = F.col("normalized_value_numeric").isNotNull() | F.col("value_numeric").isNotNull()
     digit = F.coalesce(F.coalesce(nonblank(F.col("raw_value_text")), F.col("raw_claim")).rlike(r"(?U)\d"), F.lit(False))
-    unit = F.coalesce(nonblank(F.col("unit")), F.col("normalized_unit"))
-    has_unit, has_period, has_scope = ~tidy(unit).isin(*unknown), ~tidy(F.col("period_text")).isin(*unknown), ~tidy(F.col("scope")).isin(*unknown, "actual")
-    paged = F.coalesce(F.col(page).try_cast("int") > 0, F.lit(False))
-    meta = F.col("metadata") if "metadata" in facts.columns else F.create_map().cast("map<string,string>")
+    unit, scope = F.coalesce(have("unit"), have("normalized_unit"), meta["unit"]), F.coalesce(have("scope"), meta["scope"])
+    period = F.coalesce(have("time_period"), have("period_text"), have("temporal_period"), nonblank(meta["period"]), meta["time_period"])
+    has_unit, has_period, has_scope = ~tidy(unit).isin(*unknown), ~tidy(period).isin(*unknown), ~tidy(scope).isin(*unknown, "actual")
+    paged = F.coalesce(paper.try_cast("int") > 0, F.lit(False))
     on = lambda c: ~tidy(meta[c]).isin("", "false", "0")
     signal = lambda name, impact, status, text: F.struct(F.lit(name).alias("signal"), F.lit(impact).alias("impact"), F.lit(status).alias("status"), (text if isinstance(text, Column) else F.lit(text)).alias("description"))
     signals = F.array_compact(F.array(
         F.when(length >= 20, signal("quote", 20, "pass", "The source is quoted.")).when(length > 0, signal("short quote", 10, "warn", F.concat(F.lit("The quote has only "), length.cast("string"), F.lit(" characters."))))
         .otherwise(signal("no quote", -20, "fail", "Nothing is quoted from the source.")),
-        F.when(paged, signal("page", 15, "pass", F.concat(F.lit("It stands on page "), F.col(page).cast("string"), F.lit(".")))).otherwise(signal("no page", -10, "warn", "The page is not known.")),
-        F.when(has_period, signal("period", 10, "pass", F.concat(F.lit("It is about "), F.col("period_text"), F.lit(".")))).otherwise(signal("no period", -5, "warn", "No period is named.")),
+        F.when(paged, signal("page", 15, "pass", F.concat(F.lit("It stands on page "), paper, F.lit(".")))).otherwise(signal("no page", -10, "warn", "The page is not known.")),
+        F.when(has_period, signal("period", 10, "pass", F.concat(F.lit("It is about "), period, F.lit(".")))).otherwise(signal("no period", -5, "warn", "No period is named.")),
         F.when(has_unit, signal("unit", 10, "pass", F.concat(F.lit("It is measured in "), unit, F.lit(".")))).when(number | digit, signal("no unit", -5, "warn", "A number has no unit.")).otherwise(signal("in words", 5, "pass", "A statement in words needs no unit.")),
-        F.when(has_scope, signal("scope", 5, "pass", F.concat(F.lit("Its scope is "), F.col("scope"), F.lit(".")))).otherwise(signal("no scope", 0, "warn", "The scope is not known.")),
+        F.when(has_scope, signal("scope", 5, "pass", F.concat(F.lit("Its scope is "), scope, F.lit(".")))).otherwise(signal("no scope", 0, "warn", "The scope is not known.")),
         F.when(number, signal("number", 5, "pass", "The value is a number.")),
         F.when(corroborated if corroborated is not None else F.lit(False), signal("corroborated", 5, "pass", "Another fact agrees.")),
         F.when(on("table_ambiguity") | on("extraction_warning"), signal("table", -15, "fail", F.coalesce(nonblank(meta["extraction_warning"]), F.lit("The columns of a table are uncertain.")))),

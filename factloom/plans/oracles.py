@@ -53,11 +53,18 @@ DUCK["d_rich"] = "SELECT f.*, g.filename, e.quote, coalesce(e.evidence_page, f.p
 DUCK["d_detailed"] = "SELECT e.*, a, b FROM {fx_edges} e JOIN {d_rich} a ON a.id = e.fact_a_id JOIN {d_rich} b ON b.id = e.fact_b_id"
 DUCK["d_picks"] = """SELECT * FROM (SELECT f.*, lower(subject) AS subject_key, lower(predicate) AS predicate_key FROM {d_facts} f) QUALIFY row_number() OVER (PARTITION BY subject_key, predicate_key, document_id
     ORDER BY nv IS NULL, CASE WHEN nv IS NOT NULL THEN created_at END, CASE WHEN nv IS NULL THEN created_at END DESC, CASE WHEN nv IS NOT NULL THEN id END, CASE WHEN nv IS NULL THEN id END DESC) = 1"""
-DUCK["d_compared"] = """SELECT comparison_id, subject_key, predicate_key, value_a, value_b, raw_a, raw_b, percent, CASE WHEN NOT has_b THEN 'NOT_FOUND' WHEN NOT has_a THEN 'ADDED' WHEN sa <> sb THEN 'CONTEXT_CHANGED' WHEN percent > 0.5 THEN 'INCREASED' WHEN percent < -0.5 THEN 'DECREASED' WHEN percent IS NOT NULL THEN 'UNCHANGED' WHEN ta = tb THEN 'UNCHANGED' ELSE 'CONTEXT_CHANGED' END AS category
-    FROM (SELECT *, round(CASE WHEN value_a IS NOT NULL AND value_b IS NOT NULL THEN (CASE WHEN abs(value_a) > 1e-9 THEN (value_b - value_a) / abs(value_a) * 100 WHEN abs(value_b) > 1e-9 THEN 100.0 ELSE 0.0 END) END, 2) AS percent FROM (
-    SELECT s.comparison_id, subject_key, predicate_key, max(nv) FILTER (ordinal = 1) AS value_a, max(nv) FILTER (ordinal = 2) AS value_b, max(scope) FILTER (ordinal = 1) AS sa, max(scope) FILTER (ordinal = 2) AS sb,
-      max(raw_value_text) FILTER (ordinal = 1) AS raw_a, max(raw_value_text) FILTER (ordinal = 2) AS raw_b, max(lower(raw_value_text)) FILTER (ordinal = 1) AS ta, max(lower(raw_value_text)) FILTER (ordinal = 2) AS tb, count(*) FILTER (ordinal = 1) > 0 AS has_a, count(*) FILTER (ordinal = 2) > 0 AS has_b
-    FROM {d_picks} p JOIN {fx_selection} s ON s.document_id = p.document_id GROUP BY 1, 2, 3))"""
+DUCK["d_compared"] = """SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY list_position(['INCREASED', 'DECREASED', 'CONTEXT_CHANGED', 'UNCHANGED', 'ADDED', 'NOT_FOUND'], category), abs(coalesce(percent, 0)) DESC, predicate, subject_key, predicate_key) AS position FROM (
+    SELECT *, CASE WHEN NOT has_b THEN 'NOT_FOUND' WHEN NOT has_a THEN 'ADDED' WHEN sa <> sb THEN 'CONTEXT_CHANGED' WHEN percent > 0.5 THEN 'INCREASED' WHEN percent < -0.5 THEN 'DECREASED' WHEN percent IS NOT NULL THEN 'UNCHANGED' WHEN raw_a = raw_b THEN 'UNCHANGED' ELSE 'CONTEXT_CHANGED' END AS category,
+      CASE WHEN NOT has_b THEN concat('Not found in ', file_b) WHEN NOT has_a THEN concat('Added in ', file_b) WHEN sa <> sb THEN concat('Scope changed: ', upper(sa[1]), sa[2:], ' → ', upper(sb[1]), sb[2:]) WHEN percent > 0.5 THEN printf('+%.2f%% ↑', percent)
+        WHEN percent < -0.5 THEN printf('%.2f%% ↓', percent) WHEN percent IS NOT NULL THEN '0.00% (No change)' WHEN raw_a = raw_b THEN 'Identical claim' ELSE 'Qualitative claim variance' END AS change FROM (
+    SELECT *, round(CASE WHEN value_a IS NOT NULL AND value_b IS NOT NULL AND (sa <> sb) IS NOT TRUE THEN (CASE WHEN abs(value_a) > 1e-9 THEN (value_b - value_a) / abs(value_a) * 100 WHEN abs(value_b) > 1e-9 THEN 100.0 ELSE 0.0 END) END, 2) AS percent,
+      round(CASE WHEN (sa <> sb) IS NOT TRUE THEN value_b - value_a END, 2) AS difference FROM (
+    SELECT s.comparison_id, subject_key, predicate_key, any_value(subject) AS subject, CASE predicate_key WHEN 'shipment volume' THEN 'Shipment Volume' ELSE 'Revenue From Operations' END AS predicate, arg_min(coalesce(normalized_unit, '-'), ordinal) AS unit, arg_min(coalesce(scope, '-'), ordinal) AS scope,
+      max(nv) FILTER (ordinal = 1) AS value_a, max(nv) FILTER (ordinal = 2) AS value_b, max(scope) FILTER (ordinal = 1) AS sa, max(scope) FILTER (ordinal = 2) AS sb, max(raw_claim) FILTER (ordinal = 1) AS raw_a, max(raw_claim) FILTER (ordinal = 2) AS raw_b,
+      count(*) FILTER (ordinal = 1) > 0 AS has_a, count(*) FILTER (ordinal = 2) > 0 AS has_b, concat(coalesce(max(p.id) FILTER (ordinal = 1), '-'), '|', coalesce(max(p.id) FILTER (ordinal = 2), '-')) AS points,
+      concat(coalesce(max(spot) FILTER (ordinal = 1), '-'), '|', coalesce(max(spot) FILTER (ordinal = 2), '-')) AS timeline, any_value(file_b) AS file_b
+    FROM (SELECT p.*, s.comparison_id AS of_comparison, concat_ws('/', s.filename, p.period_text, coalesce(e.evidence_page, p.page_number), e.quote) AS spot FROM {d_picks} p JOIN {fx_selection} s ON s.document_id = p.document_id LEFT JOIN {d_first} e ON e.fact_id = p.id) p
+    JOIN (SELECT *, max(CASE WHEN ordinal = 2 THEN filename END) OVER (PARTITION BY comparison_id) AS file_b FROM {fx_selection}) s ON s.document_id = p.document_id AND s.comparison_id = p.of_comparison GROUP BY 1, 2, 3)))"""
 DUCK["d_similar"] = "SELECT query_id, vec_id AS id, 1 - list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])), vec_id) AS rank FROM {fx_queries} CROSS JOIN {embeddings}"
 
 SQL: dict[str, str] = {}
@@ -136,13 +143,17 @@ SQL["numeric_variance"] = "SELECT fact_a_id, fact_b_id, round(v, 4) AS variance
 SQL["deterministic_relationship"] = """SELECT fact_a_id, fact_b_id, rule_type AS "type", CAST(rule_confidence AS DOUBLE) AS confidence, CASE rule_confidence WHEN 0.96 THEN 'temporal_overlap,variance' WHEN 0.90 THEN 'scope_factor,variance' WHEN 0.95 THEN 'temporal_difference' WHEN 0.92 THEN (CASE rule_type WHEN 'CONTRADICTS' THEN 'period,variance' ELSE 'status_factor' END) END AS factors FROM {d_rules}"""
 SQL["classify_pairs"] = """SELECT fact_a_id, fact_b_id, CASE WHEN rule_type IS NOT NULL THEN rule_type WHEN given THEN relationship_type ELSE 'UNCERTAIN' END AS relationship_type, CAST(CASE WHEN rule_type IS NOT NULL THEN rule_confidence WHEN given THEN round(confidence, 3) ELSE 0.5 END AS DOUBLE) AS confidence,
 CASE WHEN rule_type IS NOT NULL THEN 'deterministic_rules' WHEN given THEN 'llm_contextual_reasoning' ELSE 'fallback_uncertain' END AS reasoning_method FROM (SELECT *, edge_created >= CAST('2024-01-05' AS TIMESTAMP) AND relationship_type <> 'RELATED' AS given FROM {d_rules})"""
-SQL["compare_documents"] = "SELECT comparison_id, subject_key, predicate_key, category, percent, value_a, value_b, raw_a, raw_b FROM {d_compared}"
+SQL["compare_documents"] = "SELECT comparison_id, subject_key, predicate_key, subject, predicate, nullif(unit, '-') AS unit, nullif(scope, '-') AS scope, category, change, percent, difference, value_a, value_b, raw_a, raw_b, position, points, timeline FROM {d_compared}"
 SQL["comparison_summary"] = "SELECT comparison_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c.lower()}" for c in ("INCREASED", "DECREASED", "CONTEXT_CHANGED", "UNCHANGED", "ADDED", "NOT_FOUND")) + " FROM {d_compared} GROUP BY 1"
-SQL["metric_filters"] = "SELECT comparison_id, subject_key, predicate_key, category FROM {d_compared} WHERE category <> 'UNCHANGED' AND contains(lower(concat_ws(' ', predicate_key, subject_key, raw_a, raw_b)), 'usd')"
-SQL["fact_confidence"] = r"""SELECT id, CAST(greatest(least(s, 100), 0) AS INT) AS score, CASE WHEN s >= 80 THEN 'HIGH' WHEN s >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(good AS INT) AS positive_count, CAST(5 + num + warned - good AS INT) AS negative_count FROM (
-SELECT id, num, warned, 40 - 15 * warned + (CASE WHEN len >= 20 THEN 20 WHEN len > 0 THEN 10 ELSE -20 END) + (CASE WHEN page > 0 THEN 15 ELSE -10 END) + 10 + (CASE WHEN hasunit THEN 10 WHEN num = 1 OR digit THEN -5 ELSE 5 END) + (CASE WHEN hasscope THEN 5 ELSE 0 END) + num * 5 AS s,
-CAST(len >= 20 AS INT) + CAST(page > 0 AS INT) + 1 + CAST(hasunit OR NOT (num = 1 OR digit) AS INT) + CAST(hasscope AS INT) + num AS good FROM (
-SELECT f.id, length(coalesce(regexp_replace(e.quote, '^\s+|\s+$', '', 'g'), '')) AS len, coalesce(e.evidence_page, f.page_number) AS page, f.normalized_unit IS NOT NULL AS hasunit, CAST(nv IS NOT NULL OR value_numeric IS NOT NULL AS INT) AS num, regexp_matches(f.raw_value_text, '\d') AS digit, f.scope IS NOT NULL AS hasscope, CAST(f.bn % 7 = 0 AS INT) AS warned FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id))"""
+SQL["metric_filters"] = "SELECT comparison_id, subject_key, predicate_key, category FROM {d_compared} WHERE category <> 'UNCHANGED' AND contains(lower(concat_ws(' ', predicate_key, subject_key, raw_a, raw_b)), 'earned in 199')"
+SQL["fact_confidence"] = r"""SELECT id, CAST(greatest(least(score, 100), 0) AS INT) AS score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(len(list_filter(s, lambda x: ends_with(x, 'pass'))) AS INT) AS positive_count,
+CAST(len(list_filter(s, lambda x: NOT ends_with(x, 'pass'))) AS INT) AS negative_count, array_to_string(s, ', ') AS signals FROM (
+SELECT id, s, 40 + list_sum(list_transform(s, lambda x: CAST(regexp_extract(x, '(-?\d+) \w+$', 1) AS INT))) AS score FROM (
+SELECT id, list_filter([CASE WHEN len >= 20 THEN 'quote 20 pass' WHEN len > 0 THEN 'short quote 10 warn' ELSE 'no quote -20 fail' END, CASE WHEN page > 0 THEN 'page 15 pass' ELSE 'no page -10 warn' END, 'period 10 pass',
+  CASE WHEN hasunit THEN 'unit 10 pass' WHEN num OR digit THEN 'no unit -5 warn' ELSE 'in words 5 pass' END, CASE WHEN hasscope THEN 'scope 5 pass' ELSE 'no scope 0 warn' END, CASE WHEN num THEN 'number 5 pass' END, CASE WHEN bn % 7 = 0 THEN 'table -15 fail' END], lambda x: x IS NOT NULL) AS s FROM (
+SELECT f.id, f.bn, length(coalesce(regexp_replace(coalesce(nullif(e.quote, ''), CASE WHEN f.bn % 9 = 0 THEN 'A quote that stands here alone.' END), '^\s+|\s+$', '', 'g'), '')) AS len,
+  CASE WHEN f.bn % 5 > 0 AND f.bn % 2 = 0 THEN coalesce(e.evidence_page, f.page_number) WHEN e.evidence_page IS NOT NULL THEN e.evidence_page WHEN f.bn % 5 = 0 THEN f.page_number END AS page,
+  f.normalized_unit IS NOT NULL AS hasunit, nv IS NOT NULL OR value_numeric IS NOT NULL AS num, regexp_matches(f.raw_value_text, '\d') AS digit, f.scope IS NOT NULL OR f.bn % 4 = 0 AS hasscope FROM {d_facts} f LEFT JOIN {d_first} e ON e.fact_id = f.id)))"""
 SQL["rag_context"] = """SELECT q.query_id, sha256(coalesce(c, 'No relevant document chunks found.')) AS context FROM {fx_queries} q LEFT JOIN (SELECT query_id, string_agg(concat('[Source ', rank, '] (', id, ', ', printf('%.3f', 1 - distance), ')', chr(10), text), concat(chr(10), chr(10)) ORDER BY rank) AS c
 FROM {d_similar} JOIN documents ON doc_id = id WHERE rank <= 3 AND query_id % 300 > 0 GROUP BY 1) h ON h.query_id = q.query_id"""
 SQL["parse_model_answers"] = """SELECT doc_id AS batch_id, CAST(i AS BIGINT) AS position, source AS subject, CAST(n_chars AS DOUBLE) AS value_numeric, CASE WHEN doc_id % 7 > 0 THEN (CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END) END AS value_boolean,

@@ -457,14 +457,26 @@ def investigate(pairs):
 
 @query("facts", "fx_evidence")
 def fact_confidence(facts, evidence):
-    marked = facts.withColumn("metadata", F.create_map(F.lit("table_ambiguity"), F.when(F.col("bn") % 7 == 0, "true")))
-    return O.fact_confidence(O.facts_for_matching(marked, evidence)).select("id", "score", "level", "positive_count", "negative_count")
+    """Some periods and scopes stand in the metadata alone or nowhere, some pages too, some quotes in the evidence array."""
+    n, p = F.col("bn"), F.col("page_number")
+    f = O.facts_with_evidence(O.facts_for_matching(facts, evidence).drop("quote"), evidence).drop("quote")
+    f = f.withColumns({
+        "metadata": F.map_filter(F.create_map(F.lit("table_ambiguity"), F.when(n % 7 == 0, "true"), F.lit("period"), F.when(n % 3 == 0, F.col("period_text")), F.lit("scope"), F.when(n % 4 == 0, "segment"), F.lit("page_number"), F.when(n % 5 == 0, p.cast("string"))), lambda _, v: v.isNotNull()),
+        "period_text": F.when(n % 3 > 0, F.col("period_text")), "temporal_period": F.when(n % 6 == 1, "n/a"), "evidence_quote": F.when(n % 9 == 0, "A quote that stands here alone."),
+        "page_number": F.when((n % 5 > 0) & (n % 2 == 0), p),
+    })
+    out = O.fact_confidence(f)
+    return out.select("id", "score", "level", "positive_count", "negative_count", F.array_join(F.transform("signals", lambda s: F.concat_ws(" ", s["signal"], s["impact"].cast("string"), s["status"])), ", ").alias("signals"))
 
 
-@query("facts", "fx_selection")
-def compare_documents(facts, selection):
-    out = C.compare_documents(facts, selection.drop("dataset_id"))
-    return out.select("comparison_id", "subject_key", "predicate_key", "category", "percent", "value_a", "value_b", "raw_a", "raw_b")
+@query("facts", "fx_selection", "fx_evidence")
+def compare_documents(facts, selection, evidence):
+    out = C.compare_documents(facts, selection.drop("dataset_id"), evidence)
+    shown = lambda f: F.array_join(F.transform("timeline", lambda p: F.coalesce(f(p), F.lit("-"))), "|")
+    return out.select(
+        "comparison_id", "subject_key", "predicate_key", "subject", "predicate", "unit", "scope", "category", "change", "percent", F.round("difference", 2).alias("difference"), "value_a", "value_b", "raw_a", "raw_b",
+        F.col("position").cast("long").alias("position"), shown(lambda p: p["fact_id"]).alias("points"), shown(lambda p: F.concat_ws("/", p["filename"], p["period"], p["page"].cast("string"), p["quote"])).alias("timeline"),
+    )
 
 
 @query("facts", "fx_selection")
@@ -475,7 +487,7 @@ def comparison_summary(facts, selection):
 @query("facts", "fx_selection")
 def metric_filters(facts, selection):
     out = C.compare_documents(facts, selection.drop("dataset_id"))
-    return C.metric_filters(out, "CHANGES_ONLY", "USD").select("comparison_id", "subject_key", "predicate_key", "category")
+    return C.metric_filters(out, "CHANGES_ONLY", "EARNED in 199").select("comparison_id", "subject_key", "predicate_key", "category")
 
 
 @query("facts", "fx_vectors")
