@@ -35,6 +35,12 @@ UNITS = [
 PARENTHESIS = r"\([^)]*\d+[^)]*\)"
 CURRENCY_WORDS = r"[₹\$€£]|Rs\.?|INR|USD|EUR"
 NUMBER = r"[-+]?\d{1,3}(?:,\d{2,3})*(?:\.\d+)?|\d+(?:\.\d+)?"
+# What a period's text is searched for, the first that matches decides (a date needs the names of the months).
+QUARTER = r"(?i)\bQ([1-4])\s*(?:FY)?\s*(\d{2,4})\b"
+TWO_YEARS = r"(?i)(?:FY\s*)?(\d{4})[-/](\d{2,4})"
+FISCAL_YEAR = r"(?i)\bFY\s*(\d{2,4})\b"
+DATE = r"(?i)(%s)\s+(\d{1,2}),?\s*(\d{4})"
+CALENDAR_YEAR = r"(?i)\b(?:CY\s*)?(\d{4})\b"
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -104,9 +110,7 @@ def normalize_period(text: Column) -> tuple[Column, Column]:
     """(start, end) of a quarter, a fiscal year (April to March), a date or a calendar year; the first
     rule that matches decides. Dates that do not exist are null."""
     t = strip(F.coalesce(text, F.lit("")))
-    quarter, hyphen, single = r"(?i)\bQ([1-4])\s*(?:FY)?\s*(\d{2,4})\b", r"(?i)(?:FY\s*)?(\d{4})[-/](\d{2,4})", r"(?i)\bFY\s*(\d{2,4})\b"
-    day = rf"(?i)({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s*(\d{{4}})"
-    calendar = r"(?i)\b(?:CY\s*)?(\d{4})\b"
+    quarter, hyphen, single, day, calendar = QUARTER, TWO_YEARS, FISCAL_YEAR, DATE % "|".join(MONTHS), CALENDAR_YEAR
     group = lambda p, i: F.regexp_extract(t, p, i)
     q, qy = group(quarter, 1).try_cast("int"), _year(group(quarter, 2))
     hy, he = group(hyphen, 1).try_cast("int"), _year(group(hyphen, 2))

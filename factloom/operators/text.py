@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -69,29 +70,38 @@ def printed_page_number(text: Column, number: Column) -> Column:
     return F.coalesce(found(-1), found(1), number.cast("string"))
 
 
+# Marks after which a chunk may end, the best first.
+BREAKS = ("\n\n", "\n", ". ", " ")
+
+
 def chunk_spans(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[str, int, int]]:
-    """(chunk, start, end) in the stripped text: each ends at the last break that lies in its later
-    part, looked for as a blank line, a line end, a sentence end or a blank, in this order."""
+    """(chunk, start, end) in the stripped text, none of it longer than `size`.
+
+    All places of each mark of BREAKS are listed once. From any start the chunk's end is then a lookup: the last place of the
+    best mark that lies wholly between start + overlap and start + size, or start + size itself. Starts
+    form a chain of such jumps, each `overlap` before the last end (half a chunk on if that is no step forward).
+    """
     text = (text or "").strip()
-    start, n = 0, len(text)
-    if n <= size:
-        if text:
-            yield text, 0, n
-        return
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            for mark, taken in (("\n\n", 2), ("\n", 1), (". ", 2), (" ", 1)):
-                at = text.rfind(mark, start + overlap, end)
-                if at >= 0:
-                    end = at + taken
-                    break
-        piece = text[start:end].strip()
-        if piece:
-            at = text.find(piece, start)
-            yield piece, at, at + len(piece)
-        if end >= n:
-            return
+    n = len(text)
+    marks = [([m.start() for m in re.finditer(f"(?={re.escape(b)})", text)], len(b)) for b in BREAKS] if n > size else []
+
+    def end_from(start: int) -> int:
+        last = start + size
+        if last >= n:
+            return n
+        for places, width in marks:
+            k = bisect_right(places, last - width)
+            if k and places[k - 1] >= start + overlap:
+                return places[k - 1] + width
+        return last
+
+    start = end = 0
+    while end < n:
+        end = end_from(start)
+        body = text[start:end].lstrip()
+        left = end - len(body)
+        if body := body.rstrip():
+            yield body, left, left + len(body)
         start = end - overlap if end - overlap > start else start + max(1, size // 2)
 
 
