@@ -22,14 +22,14 @@ COMMIT = "batch string, attempt string, n_facts long, n_evidence long"
 _PLACES = ("batch_of", "attempt_of", "dataset_of")
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
     """(batch, attempt, n_facts, n_evidence) of every batch that counts."""
-    path, files = _files(spark, f"{folder}/commits")
+    path, files = files_of(spark, f"{folder}/commits")
     if not files.exists(path):
         return spark.createDataFrame([], COMMIT)
     return spark.read.schema(COMMIT).option("pathGlobFilter", "*.json").json(f"{folder}/commits")
@@ -40,8 +40,8 @@ def _commit(spark: SparkSession, folder: str, batch: str, attempt: str, n_facts:
     name and renamed, so that it is whole or absent; a rename onto an existing file fails (on HDFS in one step, so that of
     two attempts at once one counts)."""
     name = uuid.uuid5(uuid.NAMESPACE_OID, batch).hex
-    final, files = _files(spark, f"{folder}/commits/{name}.json")
-    draft, _ = _files(spark, f"{folder}/commits/_{name}-{attempt}")
+    final, files = files_of(spark, f"{folder}/commits/{name}.json")
+    draft, _ = files_of(spark, f"{folder}/commits/_{name}-{attempt}")
     out = files.create(draft, False)
     out.write((json.dumps({"batch": batch, "attempt": attempt, "n_facts": n_facts, "n_evidence": n_evidence}) + "\n").encode())
     out.close()
@@ -119,7 +119,7 @@ def vacuum(spark: SparkSession, folder: str) -> int:
     good = {(r["b"], r["a"]) for r in commits(spark, folder).select(_place(F.col("batch")).alias("b"), F.concat(F.lit("a-"), "attempt").alias("a")).collect()}
     gone = 0
     for name in ("facts", "evidence"):
-        root, files = _files(spark, f"{folder}/{name}")
+        root, files = files_of(spark, f"{folder}/{name}")
         for b in files.listStatus(root) if files.exists(root) else []:
             for a in files.listStatus(b.getPath()) if b.isDirectory() else []:
                 if (b.getPath().getName().removeprefix("batch_of="), a.getPath().getName().removeprefix("attempt_of=")) not in good:
