@@ -202,3 +202,14 @@ SQL["candidates_for_fact"] = f"""SELECT query_id, id, score FROM (SELECT q AS qu
     WHERE query_id IN (SELECT id FROM {{fx_facts}} WHERE (bn + 25 * (y + 7 * k) + p) % 100 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
 SQL["format_misc"] = """SELECT o_orderkey, CASE WHEN n <= 0 THEN '0 B' ELSE concat(regexp_replace(printf('%.1f', floor(n / pow(1024.0, i) * 10 + 0.5) / 10), '[.]0$', ''), ' ', ['B', 'KB', 'MB', 'GB'][i + 1]) END AS size, strftime(o_orderdate, '%b %-d, %Y') AS day, concat(CAST(o_orderkey % 101 AS BIGINT), '%') AS confidence
     FROM (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS i FROM (SELECT *, CAST(trunc(o_totalprice * (o_orderkey % 1000)) AS BIGINT) AS n FROM orders))"""
+# What hides a secret, in order, as text of its own.
+_MASKS = (
+    (r"""(?i)([?&]key=)[^&\s'"]+""", r"\1[REDACTED_KEY]"), (r"""(?i)(x-goog-api-key["'\s:=]+)[a-zA-Z0-9_\-\.]{12,}""", r"\1[REDACTED_KEY]"), (r"(?i)(bearer\s+)[a-zA-Z0-9_\-\.]{15,}", r"\1[REDACTED_TOKEN]"),
+    (r"""(?i)(api[_-]?key["'\s:=]+)[a-zA-Z0-9_\-\.]{12,}""", r"\1[REDACTED_KEY]"), (r"(?i)(postgresql(?:ql|\+asyncpg)?://[^:]+:)[^@]+(@)", r"\1[REDACTED_PASSWORD]\2"), (r"\bAQ\.[a-zA-Z0-9_\-]{20,}\b", "[REDACTED_GEMINI_KEY]"),
+    (r"\bgsk_[a-zA-Z0-9_\-]{20,}\b", "[REDACTED_GROQ_KEY]"), (r"\bjina_[a-zA-Z0-9_\-]{20,}\b", "[REDACTED_JINA_KEY]"), (r"\beyJ[a-zA-Z0-9_\-]{20,}\.[a-zA-Z0-9_\-]{20,}\.[a-zA-Z0-9_\-]{20,}\b", "[REDACTED_JWT]"),
+)
+_MASKED = """concat(coalesce(text, ''), ' https://x/?key=k', doc_id, '&b=1 X-Goog-Api-Key: ', repeat('k', doc_id % 30), ' bearer ', repeat('b', doc_id % 33), ' API_KEY="', repeat('q', doc_id % 25), '" postgresql://u:pw', doc_id,
+    '@h/db AQ.', repeat('z', doc_id % 40), ' gsk_', repeat('g', doc_id % 41), ' jina_', repeat('j', doc_id % 42), ' eyJ', repeat('e', doc_id % 43), '.', repeat('f', doc_id % 44), '.', repeat('h', doc_id % 45))"""
+for _pattern, _shown in _MASKS:
+    _MASKED = "regexp_replace(" + _MASKED + ", '" + _pattern.replace("'", "''") + f"', '{_shown}', 'g')"
+SQL["redact_secrets"] = "SELECT doc_id, sha256(" + _MASKED + ") AS redacted FROM documents"

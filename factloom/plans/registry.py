@@ -337,7 +337,13 @@ def printed_page_number(documents):
 
 @query("documents")
 def redact_secrets(documents):
-    return documents.select("doc_id", F.sha2(X.redact_secrets(F.col("text")), 256).alias("redacted"))
+    """Texts with made-up secrets of lengths that follow from the id behind them, some too short to be masked."""
+    run = lambda letter, n: F.expr(f"repeat('{letter}', CAST(doc_id % {n} AS INT))")
+    made = (
+        F.lit(" https://x/?key=k"), F.col("doc_id").cast("string"), F.lit("&b=1 X-Goog-Api-Key: "), run("k", 30), F.lit(" bearer "), run("b", 33), F.lit(' API_KEY="'), run("q", 25), F.lit('" postgresql://u:pw'), F.col("doc_id").cast("string"),
+        F.lit("@h/db AQ."), run("z", 40), F.lit(" gsk_"), run("g", 41), F.lit(" jina_"), run("j", 42), F.lit(" eyJ"), run("e", 43), F.lit("."), run("f", 44), F.lit("."), run("h", 45),
+    )
+    return documents.select("doc_id", F.sha2(X.redact_secrets(F.concat(F.coalesce("text", F.lit("")), *made)), 256).alias("redacted"))
 
 
 @query("facts")
