@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from factloom.functions import matching as M
 from factloom.operators import compare as C
+from factloom.operators import pairs as P
 from factloom.plans import fixtures
 from factloom.sources import tables as S
 
@@ -35,3 +37,33 @@ def test_a_query_derives_totals_once(spark):
     made = {}
     fixtures.frame(spark, "/root/testdata/sf0.001", "fx_edges", made)
     assert "lineitem" not in made["fx_edges"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cosines_are_those_of_the_column_function(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None), (4, [0.0, 0.0]), (5, [-1.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, None])], "id long, embedding array<double>")
+    queries = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    want = queries.crossJoin(rows).select("query_id", "id", F.round(M.cosine_similarity(F.col("query"), F.col("embedding")), 4).alias("similarity"))
+    for part in (2, 2048):
+        got = P.cosines(queries, rows, part)
+        assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_candidates_are_the_same_in_parts_of_any_size(spark):
+    facts = spark.range(60).select(
+        F.concat(F.lit("f"), "id").alias("id"), F.lit("s").alias("dataset_id"), (F.col("id") % 7).cast("string").alias("document_id"), F.lit(None).cast("int").alias("page_number"), F.lit("brand").alias("subject"),
+        F.concat(F.lit("metric "), F.col("id") % 3).alias("predicate"), F.concat(F.lit("claim "), F.col("id") % 5).alias("raw_claim"), F.lit(None).cast("string").alias("normalized_unit"), F.lit(None).cast("string").alias("unit"),
+        F.when(F.col("id") % 4 > 0, F.array(F.cos("id"), F.sin("id"))).alias("embedding"),
+    )
+    queries = facts.where("id IN ('f1', 'f8', 'f20', 'f33')")
+    pairs = P.candidate_scores(facts, 0.45)
+    sides = pairs.selectExpr("fact_a_id q", "fact_b_id id", "score").unionByName(pairs.selectExpr("fact_b_id q", "fact_a_id id", "score")).where("q IN ('f1', 'f8', 'f20', 'f33')")
+    want = {}
+    for r in sorted(sides.collect(), key=lambda r: (r.q, -r.score, r.id)):
+        want.setdefault(r.q, []).append((r.id, r.score))
+    for part in (3, 4096):
+        found = P.candidates_for_fact(queries, facts, 5, 0.45, part=part)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.id, r.score))
+        assert got == {q: x[:5] for q, x in want.items()}
