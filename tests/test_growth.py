@@ -5,11 +5,13 @@ import os
 from pyspark.sql import functions as F
 
 from factloom.functions import matching as M
+from factloom.functions import normalize as N
 from factloom.operators import compare as C
 from factloom.operators import extraction as E
 from factloom.operators import pairs as P
 from factloom.operators import text as X
 from factloom.plans import fixtures
+from factloom.plans import registry
 from factloom.sources import tables as S
 
 
@@ -80,3 +82,18 @@ def test_no_page_is_copied_for_each_of_its_chunks(spark):
     want = X.ground_facts(E.chunk_of_fact(items, full)).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert not {"page_text", "chunk_text"} & set(got.columns)
+
+
+def test_order_lines_and_facts_of_pairs_move_once(spark):
+    made = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = registry._table(spark, "/root/testdata/sf0.001", "pairs", made)
+    for df in (pairs, fixtures.frame(spark, "/root/testdata/sf0.001", "fx_edges", made)):
+        assert plan(df).count("Exchange hashpartitioning") == plan(df).count("REPARTITION_BY_NUM") == 2  # totals only, once a side
+        assert "SortMergeJoin" not in plan(df)
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    one = spark.range(0x3100).where("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    t = one.select(F.explode(F.array("c", F.concat("c", F.lit("a b"), "c", F.lit("x"), "c", F.lit(" \n")))).alias("t"))
+    assert t.where(~N.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).isEmpty()
