@@ -8,6 +8,7 @@ from factloom.functions import matching as M
 from factloom.functions import normalize as N
 from factloom.operators import compare as C
 from factloom.operators import extraction as E
+from factloom.operators import pairing
 from factloom.operators import pairs as P
 from factloom.operators import text as X
 from factloom.plans import fixtures
@@ -97,3 +98,28 @@ def test_blanks_are_those_of_the_pattern(spark):
     one = spark.range(0x3100).where("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
     t = one.select(F.explode(F.array("c", F.concat("c", F.lit("a b"), "c", F.lit("x"), "c", F.lit(" \n")))).alias("t"))
     assert t.where(~N.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).isEmpty()
+
+
+def test_a_block_keeps_its_best_pairs_and_facts_move_once(spark, monkeypatch):
+    facts = spark.range(90).select(
+        F.concat(F.lit("f"), F.col("id") % 80).alias("id"), F.lit("s").alias("dataset_id"), F.col("id").cast("string").alias("document_id"), F.lit(None).cast("int").alias("page_number"), F.lit("brand").alias("subject"),
+        F.concat(F.lit("metric "), F.col("id") % 3).alias("predicate"), F.lit("claim").alias("raw_claim"), F.lit(None).cast("string").alias("normalized_unit"), F.lit(None).cast("string").alias("unit"),
+        F.when(F.col("id") % 6 > 0, F.array(F.cos("id"), F.sin("id")).cast("array<float>")).alias("embedding"),
+    )
+    assert P.candidate_scores(facts, 0.3).schema["score"].dataType.simpleString() == "double"
+    plain = lambda df: sorted((r.fact_a_id, r.fact_b_id, r.score) for r in df.collect())
+    doubles = facts.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    want = plain(P.candidate_scores(doubles, 0.3))
+    assert plain(P.candidate_scores(facts, 0.3)) == want and all(a < b for a, b, _ in want)
+    tops = [plain(P.max_candidates(P.candidate_scores(facts, 0.3, tile=20, block=8, most=n), n)) for n in (1, 7)]
+    best = sorted(want, key=lambda r: (-r[2], r[0], r[1]))
+    assert tops == [sorted(best[:1]), sorted(best[:7])]
+    assert pairing.measured(facts).schema["embedding"].dataType.simpleString() == "array<float>"
+    moved = lambda: P.candidate_scores(facts, 0.3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = moved()
+        monkeypatch.setattr(pairing, "FEW", 0)
+        assert few < moved() and plain(P.candidate_scores(facts, 0.3)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
