@@ -8,6 +8,7 @@ from factloom.functions import matching as M
 from factloom.functions import normalize as N
 from factloom.operators import compare as C
 from factloom.operators import extraction as E
+from factloom.operators import facts as O
 from factloom.operators import pairing
 from factloom.operators import pairs as P
 from factloom.operators import text as X
@@ -123,3 +124,43 @@ def test_a_block_keeps_its_best_pairs_and_facts_move_once(spark, monkeypatch):
         assert few < moved() and plain(P.candidate_scores(facts, 0.3)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tiles_end_with_datasets_and_angles_stay(spark):
+    facts = spark.range(90).select(
+        F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("id"), F.concat(F.lit("s"), F.floor(F.col("id") / 30)).alias("dataset_id"), F.col("id").cast("string").alias("document_id"), F.lit(None).cast("int").alias("page_number"),
+        F.lit("brand").alias("subject"), F.lit("metric").alias("predicate"), F.lit("claim").alias("raw_claim"), F.lit(None).cast("string").alias("normalized_unit"), F.lit(None).cast("string").alias("unit"), F.array(F.cos("id"), F.sin("id")).alias("embedding"),
+    )
+    tiles = pairing.tiles_of(facts.coalesce(1), 40)
+    assert "angles" not in tiles.columns and tiles.where("embedding IS NULL").isEmpty()
+    spread = tiles.groupBy("dataset_id").agg(F.count_distinct("tile").alias("n"), F.count_distinct(F.shiftright("place", 33)).alias("ranges")).collect()
+    assert len(spread) == 3 and all(r.n == r.ranges for r in spread)  # a tile for each range that holds some of a dataset
+
+
+def test_an_upsert_gives_its_changes_alone(spark):
+    old = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 2, "y", 2.0), ("b", 1, "z", 3.0)], "k string, n int, id string, v double")
+    new = spark.createDataFrame([("a", 2, "new", None), ("c", 1, "new", 5.0), ("c", 1, "new", 6.0), ("a", None, "new", 7.0)], "k string, n int, id string, v double")
+    full = O.upsert(old, new, ["k", "n"], ["id"])
+    want = sorted(map(str, full.where("id IN ('new', 'y')").collect()))
+    for few in (0, 100):
+        got = O.upsert(old, new, ["k", "n"], ["id"], changed=True, few=few)
+        assert got.columns == full.columns and sorted(map(str, got.collect())) == want and len(want) == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = lambda few: O.upsert(old, new, ["k", "n"], ["id"], changed=True, few=few)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert moved(100) < moved(0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chosen_pairs_join_their_facts_alone(spark):
+    facts = spark.range(60).select(
+        F.concat(F.lit("f"), "id").alias("id"), F.lit("s").alias("dataset_id"), F.col("id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.lit("brand").alias("subject"), F.lit("metric").alias("predicate"),
+        F.concat(F.lit("claim "), F.col("id") % 5).alias("raw_claim"), F.lit(None).cast("string").alias("normalized_unit"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("date").alias("period_start"), F.lit(None).cast("date").alias("period_end"),
+        F.lit(None).cast("string").alias("period_text"), F.lit("NUMERICAL").alias("fact_type"), F.array(F.cos("id"), F.sin("id")).alias("embedding"),
+    )
+    best = P.max_candidates(P.candidate_scores(facts, 0.45), 4)
+    got = P.candidate_pairs(facts, 0.45, most=4)
+    assert {(r.fact_a_id, r.fact_b_id, r.score) for r in got.collect()} == {(r.fact_a_id, r.fact_b_id, r.score) for r in best.collect()}
+    assert all(r.a.id == r.fact_a_id and r.b.id == r.fact_b_id for r in got.collect())
+    assert "Range (0, 60" not in got._jdf.queryExecution().optimizedPlan().toString()  # facts of chosen pairs are kept
