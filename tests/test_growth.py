@@ -164,3 +164,13 @@ def test_chosen_pairs_join_their_facts_alone(spark):
     assert {(r.fact_a_id, r.fact_b_id, r.score) for r in got.collect()} == {(r.fact_a_id, r.fact_b_id, r.score) for r in best.collect()}
     assert all(r.a.id == r.fact_a_id and r.b.id == r.fact_b_id for r in got.collect())
     assert "Range (0, 60" not in got._jdf.queryExecution().optimizedPlan().toString()  # facts of chosen pairs are kept
+
+
+def test_evidence_moves_the_start_of_a_text(spark):
+    sf = "/root/testdata/sf0.001"
+    made = {}
+    got = fixtures.frame(spark, sf, "fx_evidence", made)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(text" in plan.split("Window")[-1]  # below the numbering of pages
+    want = fixtures._recipe(spark, sf, "fx_evidence", made)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
