@@ -174,3 +174,29 @@ def test_evidence_moves_the_start_of_a_text(spark):
     assert "substring(text" in plan.split("Window")[-1]  # below the numbering of pages
     want = fixtures._recipe(spark, sf, "fx_evidence", made)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+
+
+def test_prepared_pairs_are_the_joined_ones(spark):
+    sf, made = "/root/testdata/sf0.001", {}
+    want = registry._table(spark, sf, "pairs", made)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    a, b = F.col("a"), F.col("b")
+    for name, rules in (
+        ("pairs for rules", lambda x, y: {"r": M.rule_relationship(x, y)}), ("pairs for the audit", lambda x, y: M.investigate(x, y, F.col("relationship_type"))), ("pairs for flags", lambda x, y: M.pair_flags(x, y)),
+    ):
+        got = registry._table(spark, sf, name, made)
+        assert plan(got).count("Exchange hashpartitioning") == 1 and "Join" not in plan(got).split("ObjectHashAggregate")[0]  # facts are made once
+        shown = lambda df, x, y: sorted(map(str, df.select("fact_a_id", "fact_b_id", "relationship_type", "confidence", "edge_created", *[c.cast("string").alias(k) for k, c in rules(x, y).items()]).collect()))  # noqa: E731, B023
+        assert shown(got, M.Prepared("a"), M.Prepared("b")) == shown(want, a, b)
+    both = {c: F.array(F.cos(F.col(f"{c}.bn")), F.sin(F.col(f"{c}.bn")), F.lit(1.0)) for c in "ab"}
+    held = want.select(*[F.struct(F.col(f"{c}.*"), both[c].alias("embedding")).alias(c) for c in "ab"])
+    ready = held.select("a", "b", *[F.struct(F.col(f"{c}.*"), F.struct(*[M.TRAITS[t](F.col(c)).alias(t) for t in registry.PREPARED["pairs for scores"][1]]).alias("traits")).alias(f"p{c}") for c in "ab"])
+    assert ready.where(M.hybrid_score(a, b) != M.hybrid_score(M.Prepared("pa"), M.Prepared("pb"))).isEmpty()
+
+
+def test_an_answer_is_read_once(spark):
+    answers = spark.createDataFrame([("a", "b", 'x {"relationship_type": "RELATED", "confidence": "0.5", "reason": "r"} y'), ("a", "c", '{"relationship_type": "RELATED", "confidence": "2", "reason": "r"}'), ("a", "d", None), ("a", "e", "none"), ("a", "f", '{"relationship_type": "RELATED", "confidence": "0.5"}')], "fact_a_id string, fact_b_id string, answer string")
+    got = P.parse_verdicts(answers)
+    assert [tuple(r) for r in got.collect()] == [("a", "b", "RELATED", 0.5, "r", None)]
+    assert all(line.count("from_json") <= 1 or "Generate" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert "Filter" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
