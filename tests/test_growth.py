@@ -200,3 +200,16 @@ def test_an_answer_is_read_once(spark):
     assert [tuple(r) for r in got.collect()] == [("a", "b", "RELATED", 0.5, "r", None)]
     assert all(line.count("from_json") <= 1 or "Generate" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert "Filter" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_facts_meet_a_selection_where_they_lie(spark):
+    facts = spark.range(40).selectExpr("concat('f', id) AS id", "concat('d', id % 4) AS document_id", "concat('s', floor(id / 4)) AS subject", "'p' AS predicate", "'c' AS raw_claim", "CAST(id AS double) AS value_numeric", "current_timestamp() AS created_at")
+    selection = spark.range(4).selectExpr("concat('c', id % 2) AS comparison_id", "CAST(1 + floor(id / 2) AS int) AS ordinal", "concat('d', id) AS document_id", "concat(id, '.pdf') AS filename")
+    summary = lambda few: C.comparison_summary(C.compare_documents(facts, selection, few=few))
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(document_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(summary(100)) == 0 < moved(summary(0))
+        assert sorted(map(tuple, summary(100).collect())) == sorted(map(tuple, summary(0).collect())) == [("c0", 10, 10, 0, 0, 0, 0, 0), ("c1", 10, 10, 0, 0, 0, 0, 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
